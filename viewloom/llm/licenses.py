@@ -59,14 +59,28 @@ def frequencies(files: DataFrame, vocab: list[str], text: str = "text") -> tuple
     return counts["n"], {v: counts[f"v{i}"] for i, v in enumerate(vocab)}
 
 
+def needed(tf: Counter, idf: dict[str, float], threshold: float) -> list[str]:
+    """The template's heaviest terms of which any line that reaches the threshold has at least one.
+
+    Without all of them the cosine is at most the root of what share of the squared length is left.
+    """
+    squares = sorted((((n * idf[v]) ** 2, v) for v, n in tf.items()), reverse=True)
+    total, out, held = sum(x for x, _ in squares), [], 0.0
+    for x, v in squares:
+        out.append(v)
+        held += x
+        if 1 - held / total < threshold**2 - 1e-9:
+            break
+    return out
+
+
 def own_license(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """``files`` with ``own_license`` and ``own_score``, the best cosine of its lines. No shuffle of texts."""
     tf = vocabulary(templates)
     vocab = sorted({v for t in tf.values() for v in t})
     n, df = frequencies(files, vocab, text)
     idf = {v: math.log((1 + n) / (1 + df[v])) + 1.0 for v in vocab}
-    # at least one rare term of the template is in any line that reaches the threshold
-    marks = sorted({max(t, key=lambda v: (idf[v], v)) for t in tf.values()} | {v for t in tf.values() for v in t if idf[v] > 1.5})
+    marks = sorted({v for t in tf.values() for v in needed(t, idf, threshold)})
     lines = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: x.rlike(r"\b(" + "|".join(map(re.escape, marks)) + r")\b"))
     row = files.withColumn("_lines", F.array_distinct(lines))
     scored = [(name, F.array_max(F.transform("_lines", _scorer(tf[name], idf)))) for name in tf]
