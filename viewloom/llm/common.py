@@ -36,6 +36,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
+def held(condition: Column) -> Column:
+    """``condition`` as a column by which rows can be filtered without Catalyst moving the filter below it.
+
+    A filter that moves through projections is written out by their expressions, once per use; over
+    long chains of array functions that multiplies the work.
+    """
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

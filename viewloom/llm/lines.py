@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, held
 from .spans import covered_places, identified, later_occurrences, merged
 
 WINDOW = 3
@@ -30,13 +30,14 @@ def _solid(lines: Column) -> Column:
 
 def windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per window: two hashes, document, place among the lines with text."""
-    solid = docs.select("id", "tx", _solid(F.split(F.col(text), "\n")).alias("s")).where(F.size("s") >= WINDOW)
+    solid = docs.select("id", "tx", _solid(F.split(F.col(text), "\n")).alias("s"))
 
     def both(i):
         said = [F.get(F.col("s"), i + k).getField("t") for k in range(WINDOW)]
         return F.struct(F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit(1), *reversed(said)).alias("h2"))
 
-    each = solid.select("id", "tx", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("s") - WINDOW), both)).alias("pos", "h"))
+    found = F.when(F.size("s") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("s") - WINDOW), both))
+    each = solid.select("id", "tx", F.posexplode(found).alias("pos", "h"))
     return each.select("h.h1", "h.h2", "id", "tx", "pos")
 
 
@@ -76,6 +77,6 @@ def keep_rest(docs: DataFrame) -> DataFrame:
     leaves without a word goes."""
     out = dedup(docs)
     empty = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(f"[^{SPACE}]")
-    out = out.where(~empty)
+    out = out.withColumn("_keep", held(~empty)).where("_keep")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n_chars).select(*docs.columns)

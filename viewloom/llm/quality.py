@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import SPACE, held, words
 
 
 @dataclass(frozen=True)
@@ -143,4 +143,4 @@ def keep_good(docs: DataFrame, policy: Policy = POLICIES[1]) -> DataFrame:
     """
     row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     judged = apply_policy(ledger(row, "_text", "_row"), policy)
-    return judged.where("kept").select("_row.*")
+    return judged.withColumn("_keep", held(F.col("kept"))).where("_keep").select("_row.*")
