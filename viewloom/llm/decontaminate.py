@@ -5,7 +5,7 @@ fewer) form one automaton. Each text is scanned once, in normalised form; matche
 places and from there to character offsets of the original text.
 
 The benchmark is measured first. Up to BLOCK_BYTES of it make one automaton; a larger one is cut by
-hash into blocks of that size, each scanned over the corpus, and a document's matches are merged.
+hash into blocks of that size, which follow each other over every batch of documents.
 
 Defined results: null or empty text has no words and is clean; items without words match nothing;
 rows with equal item ids count as one item, null item ids as item "null"; repeated documents each get
@@ -19,11 +19,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import stack
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -93,7 +93,7 @@ def _matcher(name: str, patterns) -> Matcher:
     return _matchers[name]
 
 
-MATCHED = "n_words long, hits array<int>, items array<string>, starts array<int>, ends array<int>"
+MATCHED = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[dict[str, list[str]]]:
@@ -105,35 +105,29 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[dict[str, list[s
         yield windows([tuple(r) for r in part.collect()])
 
 
-def match(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` but the text, with ``n_words``, ``hits`` (places of hit words), ``items``
-    and the offsets ``starts`` and ``ends`` of the hit runs in the original text."""
-    spark = docs.sparkSession
-    parts = []
+def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with ``n_words``, ``hits`` (places of hit words), ``items`` and the offsets ``starts`` and ``ends``
+    of the hit runs in the original text. Several blocks follow each other in the same tasks, without a shuffle."""
+    spark, out = docs.sparkSession, docs.withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    names = docs.columns
+    schema = StructType([*docs.schema.fields, *(StructField(n, from_arrow_type(t)) for n, t in MATCHED.items())])
     for patterns in _blocks(benchmark, block_bytes):
         sent, name = spark.sparkContext.broadcast(patterns), uuid.uuid4().hex
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent, name=name) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(name, sent)
             for b in batches:
                 rows = []
-                for t in stack(b["_text"]):
-                    n, hit, items = matcher.match(t)
-                    at = spans(t, hit)
-                    rows.append((n, np.flatnonzero(hit).tolist(), items, [x[0] for x in at], [x[1] for x in at]))
-                yield pd.concat([b.drop(columns="_text").reset_index(drop=True), pd.DataFrame(rows, columns=["n_words", "hits", "items", "starts", "ends"])], axis=1)
-
-        kind = docs.schema[key].dataType.simpleString()
-        parts.append(docs.select(key, F.xxhash64(text).alias("_row"), F.col(text).alias("_text")).mapInPandas(run, f"{key} {kind}, _row long, {MATCHED}"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        copies = F.count("*") / len(parts)
-        merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-        out = out.groupBy(key, "_row").agg(F.max("n_words").alias("n_words"), merged("hits"), merged("items"), merged("starts"), merged("ends"), copies.cast("int").alias("_n"))
-        out = out.withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).drop("_i", "_n")
-    return out.drop("_row")
+                for t, hits, items in zip(b.column(text).to_pylist(), b.column("hits").to_pylist(), b.column("items").to_pylist(), strict=True):
+                    n, hit, found = matcher.match(t or "")
+                    hit[hits or []] = True
+                    at = spans(t or "", hit)
+                    rows.append((n, np.flatnonzero(hit), sorted({*found, *(items or [])}), [x[0] for x in at], [x[1] for x in at]))
+                columns = zip(*rows, strict=True) if rows else [()] * len(MATCHED)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(list(c), k) for c, k in zip(columns, MATCHED.values(), strict=True))], [*names, *MATCHED])
+
+        out = out.mapInArrow(run, schema)
+    return out
 
 
 def contaminated(n_hit, n_words):
@@ -142,7 +136,7 @@ def contaminated(n_hit, n_words):
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    m = match(docs, benchmark)
+    m = match(docs.select("doc_id", "text"), benchmark)
     n_hit = F.size("hits").cast("long")
     return m.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -153,8 +147,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated; no shuffle for one block."""
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"), F.col("text").alias("_body"))
-    m = match(row, benchmark, "_whole", "_body")
-    return m.where(~contaminated(F.size("hits"), F.col("n_words"))).select("_whole.*")
-
+    """The rows of ``docs``, with all their columns, that are not contaminated; nothing is shuffled."""
+    m = match(docs, benchmark)
+    return m.where(~contaminated(F.size("hits"), F.col("n_words"))).select(*docs.columns)
