@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Names and standard notices, which are fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -148,5 +150,5 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    found = own_license(document_paths(docs)).drop("text")
+    found = materialize(own_license(document_paths(docs)).drop("text"), "own_licenses")
     return inherit(found).select("doc_id", "path", "own_license", "own_score", "license", "license_from")
