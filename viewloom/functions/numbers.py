@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def hhmmss(seconds: Column) -> Column:
@@ -63,7 +64,7 @@ def quota(batch: Column, select: int, of: int) -> Column:
     return F.ceil(batch * F.lit(select) / F.lit(of))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     """The logarithm of the gamma function, which Spark SQL lacks."""
     return x.map(math.lgamma, na_action="ignore")
