@@ -27,7 +27,8 @@ from pyspark.sql.types import StructField, StructType
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in a text before it is lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of words stay, A-Z in lower case; all others become spaces. Bytes from 0x80 are in words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -148,5 +149,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated; nothing is shuffled."""
-    m = match(docs, benchmark)
-    return m.where(~contaminated(F.size("hits"), F.col("n_words"))).select(*docs.columns)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("body"))
+    m = match(row, benchmark, "body")
+    return m.where(~contaminated(F.size("hits"), F.col("n_words"))).select("row.*")
