@@ -246,3 +246,45 @@ def test_positions_are_gapless(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("x"))
     got = ordering.numbered(df, ["x"], buckets=5).collect()
     assert all(r["x"] == r["pos"] for r in got)
+
+
+def test_log_mel_shapes_and_peak():
+    from viewloom.functions import audio
+
+    t = np.arange(16000 * 2) / 16000
+    x = np.sin(2 * np.pi * 1000 * t)
+    e = audio.examples(np.stack([x, x], 1), 16000)
+    assert e.shape == (2, 96, 64) and audio.examples(x[:100], 16000).shape == (0, 96, 64)
+    centre = np.linspace(audio.mel(125), audio.mel(7500), 66)[1:-1]
+    assert abs(e.mean((0, 1)).argmax() - np.abs(centre - audio.mel(1000)).argmin()) <= 1
+    assert audio.padded(e[0]).shape == (128, 64) and audio.framed(x, 400, 160).shape[0] == 1 + (len(x) - 400) // 160
+    assert (audio.masked(e[0], 1, 20, 0) != e[0]).any(1).sum() <= 20 and audio.hann(4).tolist() == pytest.approx([0, 0.5, 1, 0.5])
+    with pytest.raises(ValueError, match="band edges"):
+        audio.mel_matrix(8, 10, 100, 0, 80)
+
+
+def test_mel_columns(spark):
+    from viewloom.functions import audio
+
+    df = spark.createDataFrame([(RNG.normal(size=16000).tolist(),), (None,)], "x array<double>")
+    got = df.select(audio.clip_examples(F.col("x"), 16000).alias("e"), audio.evaluation_mel(F.col("x"), 16000).alias("m")).collect()
+    assert len(got[0]["e"]) == 1 and len(got[0]["e"][0]) == 96 * 64 and len(got[0]["m"]) == 128 * 80 and got[1]["m"] is None
+
+
+def test_crop_geometry(spark):
+    from viewloom.functions import geometry as g
+
+    df = spark.createDataFrame([(240, 320, 0), (240, 320, 2), (480, 200, 1)], "h int, w int, p int")
+    got = df.select(g.scaled(F.col("h"), F.col("w"), F.lit(120)).alias("s"), g.uniform_crop(F.col("h"), F.col("w"), 200, F.col("p")).alias("c"), g.drawn_crop(F.col("h"), F.col("w"), 100, F.col("p"), 1).alias("d"), g.flipped(F.col("p"), 1).alias("f")).collect()
+    assert tuple(got[0]["s"]) == (120, 160) and [tuple(r["c"]) for r in got] == [(20, 0), (20, 120), (140, 0)]
+    assert all(0 <= r["d"]["y"] <= 380 for r in got)
+
+
+def test_extraction_to_shards(spark):
+    from viewloom.operators import extract
+
+    df = spark.createDataFrame([("s", "a", bytearray(b"xyz")), ("s", "b", None)], "shard_name string, filename string, content binary")
+    rows = extract.extract(df, ["byte_histogram", "projection"])
+    assert {(r["filename"], r["layer"], len(r["vec"])) for r in rows.where("model = 'byte_histogram'").collect()} == {("a", "layer_0", 64), ("a", "layer_1", 16)}
+    shard = extract.as_shards(rows).collect()
+    assert len(shard) == 1 and {f["view"] for f in shard[0]["features"]} == {"audio", "video"}
