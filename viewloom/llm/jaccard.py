@@ -40,13 +40,15 @@ SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Hash bits of a shingle; the others of a word hold a document's place in its batch.
-BITS = 52
-#: Blocks of a sketch per shingle of the band's largest set; few blocks hold two shingles.
-SPREAD = 64
+BITS = 56
+#: Shingles per block for the largest sets of a band. Fuller blocks agree by chance less often.
+LOAD = 3
 #: Counters of the frequency sketch.
 COUNTERS = 1 << 18
 #: Rows of 8 bytes that may be broadcast; beyond, texts are joined by shuffling.
 BROADCAST_ROWS = 500_000
+#: A member is compared with a leader first if they share one of STRONG of its keys.
+STRONG = 3
 #: Members per task of one leader, and documents of one bucket block.
 FAN, BLOCK = 2000, 4096
 
@@ -70,7 +72,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     doc, edge = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
     h = np.zeros(len(w), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
+        for k in range(min(SHINGLE, len(w))):
             h[: len(w) - k] = h[: len(w) - k] * _A + mix(w[k:] + np.uint64(k))
         place = np.arange(len(w)) - edge[doc]
         whole = place + SHINGLE <= n[doc]
@@ -86,19 +88,24 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band(n: np.ndarray) -> np.ndarray:
-    """Sizes in [4**b, 4**(b + 1)) are band b."""
-    b = np.zeros(len(n), np.int64)
-    top = np.array(n) // 4
-    while top.any():
-        b += top > 0
-        top //= 4
-    return b
+    """Sizes in [2**b, 2**(b + 1)) are band b."""
+    return np.frexp(np.maximum(n, 1).astype(float))[1].astype(np.int64) - 1
+
+
+def blocks(cell: np.ndarray) -> np.ndarray:
+    """Blocks of a band's sketch: always many more than are needed to have d + 1 filled ones.
+
+    Small bands get more, since there d + 1 is nearly their size; the odds of too few are below 1e-8.
+    """
+    top = 2 ** (cell + 1)
+    return np.where(top <= 32, 64 * top, np.where(top <= 128, top, top // LOAD))
 
 
 def signatures(key: np.ndarray, n: np.ndarray, cell: np.ndarray, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Block keys under which each text is found in its ``cell`` (-1: none), and their number.
 
-    Within the text's place, a key's upper bits are the frequency level, so sorting puts rare blocks first.
+    A key's upper bits are the block's frequency level, then how few shingles it holds, so that sorting puts
+    rare and full blocks first; both depend on the block alone.
     """
     mask = np.uint64((1 << BITS) - 1)
     doc = (key >> np.uint64(BITS)).astype(np.int64)
@@ -107,12 +114,13 @@ def signatures(key: np.ndarray, n: np.ndarray, cell: np.ndarray, level: np.ndarr
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(len(n), np.int64)
     h = key & mask
-    blocks = (np.uint64(2) * (cell[doc].astype(np.uint64) + np.uint64(1))) + np.uint64(SPREAD.bit_length() - 1)
-    block = h >> (np.uint64(BITS) - blocks)
+    block = ((h >> np.uint64(BITS - 32)) * blocks(np.maximum(cell, 0))[doc].astype(np.uint64)) >> np.uint64(32)
     start = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])]))
+    few = 7 - np.minimum(7, np.diff(np.concatenate([start, [len(h)]])))
     with np.errstate(over="ignore"):
         value = np.bitwise_xor.reduceat(mix(h + _A), start)
-        value = mix(value + mix(block[start] + _B) + cell[doc[start]].astype(np.uint64)) >> np.uint64(64 - BITS + 4)
+        value = mix(value + mix(block[start] + _B) + cell[doc[start]].astype(np.uint64)) >> np.uint64(64 - BITS + 7)
+    value |= few.astype(np.uint64) << np.uint64(BITS - 7)
     if level is not None:
         at = np.minimum.reduceat(level[(h >> np.uint64(BITS - COUNTERS.bit_length() + 1)).astype(np.int64)], start)
         value |= at.astype(np.uint64) << np.uint64(BITS - 4)
@@ -120,7 +128,7 @@ def signatures(key: np.ndarray, n: np.ndarray, cell: np.ndarray, level: np.ndarr
     fdoc = (found >> np.uint64(BITS)).astype(np.int64)
     count = np.bincount(fdoc, minlength=len(n))
     rank = np.arange(len(found)) - (np.cumsum(count) - count)[fdoc]
-    largest = np.minimum(100 * n // PERCENT, 4 ** (np.maximum(cell, 0) + 1) - 1)
+    largest = np.minimum(100 * n // PERCENT, 2 ** (np.maximum(cell, 0) + 1) - 1)
     differ = (n + largest) * (100 - PERCENT) // (100 + PERCENT)
     take = rank <= differ[fdoc]
     return (found[take] & mask).astype(np.int64), np.bincount(fdoc[take], minlength=len(n))
@@ -158,8 +166,14 @@ def frequency_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
     return level
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parity of the shingles of each low-bit class, as packed bits; as many classes as the power of two above their number."""
+    size = max(8, 1 << int(len(h)).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
 def features(docs: DataFrame, level: np.ndarray | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, h1, h2, keys): set size, 128-bit hash of the set, block keys in all cells."""
+    """(id, n, h1, h2, sketch, keys): set size, 128-bit hash of the set, bit sketch, block keys of all cells."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +181,7 @@ def features(docs: DataFrame, level: np.ndarray | None, key: str = "doc_id", tex
             for lo, texts in _chunks(b, "_text"):
                 sets, n = shingles(texts)
                 some = np.flatnonzero(n)
+                bits = [sketch(x) for x in np.split(sets & np.uint64((1 << BITS) - 1), np.cumsum(n)[:-1])]
                 h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                 if len(some):
                     start = (np.cumsum(n) - n)[some]
@@ -174,18 +189,18 @@ def features(docs: DataFrame, level: np.ndarray | None, key: str = "doc_id", tex
                     with np.errstate(over="ignore"):
                         h1[some], h2[some] = np.bitwise_xor.reduceat(mix(h + _B), start), np.add.reduceat(mix(h * _A + np.uint64(1)), start)
                 own = np.where(n > 0, band(n), -1)
-                above = np.where((n > 0) & (100 * n // PERCENT >= 4 ** (own + 1)), own + 1, -1)
+                above = np.where((n > 0) & (100 * n // PERCENT >= 2 ** (own + 1)), own + 1, -1)
                 parts = [signatures(sets, n, c, sent.value) for c in (own, above)]
                 # per text, the keys of both cells one after the other
                 text = np.concatenate([np.repeat(np.arange(len(n)), m) for _, m in parts])
                 keys = np.concatenate([k for k, _ in parts])[np.argsort(text, kind="stable")]
                 edge = np.concatenate([[0], np.cumsum(parts[0][1] + parts[1][1])])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(lo, len(n)), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(keys))],
-                    ["id", "n", "h1", "h2", "keys"],
+                    [b.column("id").slice(lo, len(n)), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(keys))],
+                    ["id", "n", "h1", "h2", "sketch", "keys"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n long, h1 long, h2 long, sketch binary, keys array<long>")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -225,13 +240,6 @@ def _with_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFra
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).join(wanted, "id")
 
 
-def _sketch(h: np.ndarray) -> bytes:
-    """Parity of the shingles of each of 2 * 4**(band + 1) low-bit classes, packed."""
-    size = 2 * 4 ** (int(band(np.array([len(h)]))[0]) + 1)
-    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     """A sketch of ``size`` bytes from a larger one: classes that agree in the lower bits are XORed."""
     while len(bits) > size:
@@ -240,12 +248,12 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Each row's other columns with its set as binary, and its bit sketch."""
+    """Each row's other columns with its set as binary."""
     for b in batches:
         for lo, texts in _chunks(b, "_text"):
             key, n = shingles(texts)
             parts = np.split(key & np.uint64((1 << BITS) - 1), np.cumsum(n)[:-1])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, len(n)) for c in names), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([_sketch(p) for p in parts], pa.binary())], [*names, "set", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, len(n)) for c in names), pa.array([p.tobytes() for p in parts], pa.binary())], [*names, "set"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -254,101 +262,97 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verify_leaders(docs: DataFrame, best: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, lead, n, sketch, ok) of every member; a leader's members are dealt FAN to a task, each with its set."""
+    """Linked (u, v) of members (id, lead); a leader's members are dealt FAN to a task, each with the leader's set."""
     fan = best.groupBy("lead").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
     members = best.join(fan, "lead").select("id", "lead", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int").alias("part"), F.lit(1).alias("role"))
     leaders = fan.select(F.col("lead").alias("id"), "lead", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.lit(0).alias("role"))
     wanted = materialize(members.unionByName(leaders), "wanted")
     names = ["id", "lead", "part", "role"]
-    sets = _with_texts(docs, wanted, key, text).select(*names, "_text").mapInArrow(lambda it: _sets(it, names), "id long, lead long, part int, role int, set binary, sketch binary")
+    sets = _with_texts(docs, wanted, key, text).select(*names, "_text").mapInArrow(lambda it: _sets(it, names), "id long, lead long, part int, role int, set binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, []
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in ("id", "lead", "part", "role", "set", "sketch")}
-            rows = []
-            for i, lead, part, role, raw, sketch in zip(*c.values(), strict=True):
+            c = {n: b.column(n).to_pylist() for n in (*names, "set")}
+            u, v = [], []
+            for i, lead, part, role, raw in zip(*c.values(), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 if (lead, part) != at:
                     at, mine = (lead, part), []
                 if role == 0:
                     mine.append(s)  # more than one only where ids repeat
-                rows.append((i, lead, len(s), sketch, role == 1 and any(linked(s, m) for m in mine)))
-            ids, leads, n, sk, ok = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leads, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.binary()), pa.array(ok)], ["id", "lead", "n", "sketch", "ok"])
-
-    return sets.repartition("lead", "part").sortWithinPartitions("lead", "part", "role").mapInArrow(run, "id long, lead long, n long, sketch binary, ok boolean")
+                elif any(linked(s, m) for m in mine):
+                    u.append(i)
+                    v.append(lead)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return sets.repartition("lead", "part").sortWithinPartitions("lead", "part", "role").mapInArrow(run, "u long, v long")
+
+
+def _allowed(g: pd.DataFrame, cross: bool) -> Iterator[tuple[int, int, int, int, int]]:
+    """(component, component, excess, x, y) of a bucket's pairs in different components that sizes and sketches allow."""
+    n, comp, ids, side = (g[c].to_numpy() for c in ("n", "c", "id", "side"))
+    raw = [np.frombuffer(s, np.uint8) for s in g["sketch"]]
+    size = np.array([len(s) for s in raw])
+    folded = {z: np.stack([_fold(r, z) if len(r) >= z else np.zeros(z, np.uint8) for r in raw]) for z in np.unique(size)}
+    for a in range(len(g)):
+        near = np.arange(a + 1, np.searchsorted(n, 100 * n[a] // PERCENT, "right"))  # sizes ascend, so no later sketch is shorter
+        near = near[(comp[near] != comp[a]) & ((side[near] != side[a]) | (not cross))]
+        if len(near):
+            bits = folded[size[a]]
+            excess = np.bitwise_count(bits[near] ^ bits[a]).sum(axis=1, dtype=np.int64) - (n[near] + n[a]) * (100 - PERCENT) // (100 + PERCENT)
+            for x, e in zip(near[excess <= 0], excess[excess <= 0], strict=True):
+                yield min(comp[a], comp[x]), max(comp[a], comp[x]), e, ids[a], ids[x]
 
 
 def _across(rows: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs of one bucket in different components that their bit sketches allow.
+    """(k, x, y, more) of pairs in one bucket but different components that their bit sketches allow.
 
-    Streams over (key, block pair) groups of at most 2 * BLOCK documents on average. With ``best_only``,
-    of each bucket and pair of components only the closest pair.
+    Streams over (bucket, block pair) groups of about 2 * BLOCK documents at most. With ``best_only``, of each
+    bucket and pair of components only the closest pair, and ``more`` if there are others.
     """
 
-    def pairs(k: np.ndarray, g: pd.DataFrame, i: int, j: int) -> list[tuple[int, int]]:
-        g = g.drop_duplicates("id").sort_values("n", kind="stable")
-        n, comp, ids, side = g["n"].to_numpy(), g["c"].to_numpy(), g["id"].to_numpy(), g["side"].to_numpy()
-        sizes = g["sketch"].map(len).to_numpy()
-        least = int(sizes.min())
-        bits = np.stack([_fold(np.frombuffer(s, np.uint8), least) for s in g["sketch"]])
-        whole = {s: (np.flatnonzero(sizes == s), np.stack([np.frombuffer(x, np.uint8) for x in g["sketch"][sizes == s]])) for s in np.unique(sizes)}
-        out = []
-        for a in range(len(g)):
-            hi = np.searchsorted(n, 100 * n[a] // PERCENT, "right")
-            near = np.arange(a + 1, hi)
-            near = near[(comp[near] != comp[a]) & ((side[near] != side[a]) if i != j else True)]
-            if not len(near):
-                continue
-            limit = (n[near] + n[a]) * (100 - PERCENT) // (100 + PERCENT)
-            far = np.bitwise_count(bits[near] ^ bits[a]).sum(axis=1, dtype=np.int64)
-            ok = far <= limit
-            near, limit, far = near[ok], limit[ok], far[ok]
-            same = sizes[near] == sizes[a]
-            if same.any() and sizes[a] > least:  # the finer sketch where both have it
-                rows_, fine = whole[sizes[a]]
-                f = np.bitwise_count(fine[np.searchsorted(rows_, near[same])] ^ np.frombuffer(g["sketch"].iloc[a], np.uint8)).sum(axis=1, dtype=np.int64)
-                far[same] = f
-                keep = far <= limit
-                near, limit, far = near[keep], limit[keep], far[keep]
-            out += [(comp[a], comp[x], f - m, ids[a], ids[x]) for x, f, m in zip(near, far, limit, strict=True)]
-        if best_only:
-            best: dict[tuple, tuple] = {}
-            for ca, cx, f, x, y in out:
-                c = (min(ca, cx), max(ca, cx))
-                if c not in best or f < best[c][0]:
-                    best[c] = (f, x, y)
-            return [(x, y) for _, x, y in best.values()]
-        return [(x, y) for *_, x, y in out]
+    def pairs(k: int, i: int, j: int, g: pd.DataFrame) -> list[tuple]:
+        if g["c"].nunique() < 2:
+            return []
+        found = _allowed(g.drop_duplicates("id").sort_values("n", kind="stable"), i != j)
+        if not best_only:
+            return [(k, x, y, False) for *_, x, y in found]
+        best: dict[tuple, tuple] = {}
+        for ca, cb, e, x, y in found:
+            old = best.get((ca, cb))
+            best[ca, cb] = (e, x, y, False) if old is None else (*min(old[:3], (e, x, y)), True)
+        return [(k, x, y, more) for _, x, y, more in best.values()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-
-        def done(g: pd.DataFrame) -> list[tuple[int, int]]:
-            return [p for (k, i, j), part in g.groupby(["k", "i", "j"], sort=False) for p in (pairs(k, part, i, j) if part["c"].nunique() > 1 else [])]
-
+        held, at = [], None
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = (b[["k", "i", "j"]] == b[["k", "i", "j"]].iloc[-1]).all(axis=1)
-            rest = b[last]
-            if len(found := done(b[~last])):
-                yield pd.DataFrame(found, columns=["x", "y"])
-        if rest is not None and len(found := done(rest)):
-            yield pd.DataFrame(found, columns=["x", "y"])
-
-    count = rows.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1")
-    dealt = rows.join(count.select("k", "blocks"), "k").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            edge = np.flatnonzero((b[["k", "i", "j"]].shift() != b[["k", "i", "j"]]).any(axis=1).to_numpy())
+            out = []
+            for lo, hi in zip(edge, [*edge[1:], len(b)], strict=True):
+                part = b.iloc[lo:hi]
+                now = tuple(part[["k", "i", "j"]].iloc[0])
+                if at is not None and now != at:
+                    out += pairs(*at, pd.concat(held))
+                    held = []
+                at = now
+                held.append(part)
+            if out:
+                yield pd.DataFrame(out, columns=["k", "x", "y", "more"])
+        if held and (out := pairs(*at, pd.concat(held))):
+            yield pd.DataFrame(out, columns=["k", "x", "y", "more"])
+
+    count = rows.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(count, "k").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("k", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "c", "n", "sketch")
-    found = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "x long, y long")
-    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "k long, x long, y long, more boolean")
 
 
 def _verify_pairs(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (u, v) that are linked; only their texts are read into sets."""
     ids = materialize(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
-    sets = materialize(_with_texts(docs, ids, key, text).select("id", "_text").mapInArrow(lambda it: _sets(it, ["id"]), "id long, set binary, sketch binary").select("id", "set"), "sets")
+    sets = materialize(_with_texts(docs, ids, key, text).select("id", "_text").mapInArrow(lambda it: _sets(it, ["id"]), "id long, set binary"), "sets")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -357,7 +361,8 @@ def _verify_pairs(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> Dat
 
     a = sets.select(F.col("id").alias("x"), F.col("set").alias("a"))
     c = sets.select(F.col("id").alias("y"), F.col("set").alias("b"))
-    return pairs.join(a, "x").join(c, "y").select(F.col("x").alias("u"), F.col("y").alias("v"), "a", "b").mapInPandas(run, "u long, v long")
+    out = pairs.join(a, "x").join(c, "y").select(F.col("x").alias("u"), F.col("y").alias("v"), "a", "b").mapInPandas(run, "u long, v long")
+    return materialize(out, "linked")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -370,23 +375,29 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     few = copies.count() <= BROADCAST_ROWS
     reps = some.join(F.broadcast(copies) if few else copies.hint("merge"), "id", "left_anti")
     shared = materialize(_shared(reps.select("id", F.explode("keys").alias("k"))), "shared")
-    met = shared.where("id != lead").groupBy("id", "lead").agg(F.count("*").alias("n"))
-    best = met.groupBy("id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
     # rows that share an id or a set are links already
     links = member.where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    first = materialize(_verify_leaders(docs, materialize(best, "best"), key, text), "first")
-    edges = links.unionByName(first.where("ok").select(F.col("id").alias("u"), F.col("lead").alias("v")))
-    sketches = first.groupBy("id", "n").agg(F.first("sketch").alias("sketch"))
+    # most links by comparing each member with the leader that it shares most with, where that is much
+    met = shared.where("id != lead").groupBy("id", "lead").agg(F.count("*").alias("n"))
+    best = met.groupBy("id").agg(F.max("n").alias("n"), F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
+    strong = best.join(feats.select("id", F.size("keys").alias("m")), "id").where(STRONG * F.col("n") >= F.col("m")).select("id", "lead").distinct()
+    edges = links.unionByName(_verify_leaders(docs, materialize(strong, "strong"), key, text))
     comp = materialize(components(edges), "components")
+    # all other links between components
+    sketches = feats.select("id", "n", "sketch")
+    buckets = None
     for best_only in (True, False):
-        at = shared.select("k", "id").distinct().join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
-        mixed = at.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("k")
-        pairs = materialize(_across(at.join(mixed, "k").join(sketches, "id"), best_only), "pairs")
-        if pairs.isEmpty():
-            break
-        more = materialize(_verify_pairs(docs, pairs, key, text), "edges")
-        edges = edges.unionByName(more)
+        at = shared if buckets is None else shared.join(buckets, "k", "left_semi")
+        at = at.select("k", "id").join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
+        # of buckets with the same members one will do
+        who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+        mixed = at.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), *who).where("c0 != c1").groupBy("n", "x0", "x1").agg(F.min("k").alias("k")).select("k")
+        found = materialize(_across(at.join(mixed, "k").join(sketches, "id"), best_only), "pairs")
+        edges = edges.unionByName(_verify_pairs(docs, found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), key, text))
         comp = materialize(components(edges), "components")
+        buckets = found.where("more").select("k").distinct()
+        if not best_only or buckets.isEmpty():
+            break
     own = feats.select("id", "n").join(comp, "id", "left")
     return own.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
