@@ -9,7 +9,7 @@ that name it. Archives are written by Spark tasks into the shared folder under n
 list of archives that the successful tasks return is the manifest, so files of lost attempts are never
 read.
 
-Defined results: null html is an empty payload, null url an empty target; rows that repeat a response's
+Defined results: null html is an empty payload, null url an empty target, a null id the smallest; rows that repeat a response's
 id and payload are responses as well; extra columns are ignored; an empty table writes no archive.
 """
 
@@ -133,11 +133,11 @@ def resolve(pages: DataFrame) -> DataFrame:
     share is split by the adaptive join.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
-    digest = F.sha1(html)
-    keys = pages.select("page_id", digest.alias("sha"))
-    top = keys.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
-    later = keys.join(top.where("n > 1"), "sha").where("page_id < top or page_id is null").select("page_id", "sha", "top").distinct()
-    return pages.select("page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), html.alias("payload"), digest.alias("sha")).join(later, ["page_id", "sha"], "left").withColumnRenamed("top", "refers_to")
+    named = pages.select("page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), html.alias("payload"), F.sha1(html).alias("sha"), F.coalesce("page_id", F.lit(-(1 << 63)).cast("long")).alias("k"))
+    keys = named.select("k", "sha")
+    top = keys.groupBy("sha").agg(F.max("k").alias("top"), F.count("*").alias("n"))
+    later = keys.join(top.where("n > 1"), "sha").where("k < top").select("k", "sha", "top").distinct()
+    return named.join(later, ["k", "sha"], "left").select("page_id", "url", "payload", F.col("top").alias("refers_to"))
 
 
 def write(pages: DataFrame, uri: str) -> DataFrame:
