@@ -8,7 +8,7 @@ Lines are compared without the white space at their ends. Documents of fewer tha
 text have no window and stay as they are.
 
 Defined results: null text stays null with no lines; repeated rows of one document count as one and get
-equal results; extra columns are kept by ``dedup``; an empty table gives no rows.
+equal results; extra columns are kept by ``dedup`` whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ def _solid(lines: Column) -> Column:
     return F.filter(trimmed, lambda s: s.t != "")
 
 
-def windows(docs: DataFrame, text: str = "text") -> DataFrame:
+def windows(named: DataFrame, text: str = "text") -> DataFrame:
     """One row per window: two hashes, document, place among the lines with text."""
-    solid = docs.select("id", "tx", _solid(F.split(F.col(text), "\n")).alias("s"))
+    solid = named.select("id", "tx", _solid(F.split(F.col("row")[text], "\n")).alias("s"))
 
     def both(i):
         said = [F.get(F.col("s"), i + k).getField("t") for k in range(WINDOW)]
@@ -41,33 +41,39 @@ def windows(docs: DataFrame, text: str = "text") -> DataFrame:
     return each.select("h.h1", "h.h2", "id", "tx", "pos")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text deduplicated, ``n_lines`` and ``n_removed``.
+def _deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, new, n_lines, n_removed) of each row; ``new`` is its text without the removed lines.
 
     Two shuffles of window hashes find what to remove; the texts are shuffled once, to meet it.
     """
     named = identified(docs, key, text)
     places = covered_places(later_occurrences(windows(named, text)))
-    lines = F.split(F.col(text), "\n")
-    out = named.join(places, ["id", "tx"], "left").withColumn("_lines", lines)
+    old = F.col("row")[text]
+    out = named.join(places, ["id", "tx"], "left").select("row", "places", F.split(old, "\n").alias("lines"))
     # intervals among the lines with text, then among all lines
-    plain = out.withColumn("_solid", F.when(F.col("places").isNotNull(), F.transform(_solid(F.col("_lines")), lambda s: s.i)))
-    plain = plain.withColumn("_gone", merged(F.col("places"), WINDOW))
-    at = lambda i: F.get(F.col("_solid"), i)
-    plain = plain.withColumn("_gone", F.transform("_gone", lambda g: F.struct(at(g.first).alias("a"), at(g.last).alias("b"))))
+    solid = F.when(F.col("places").isNotNull(), F.transform(_solid(F.col("lines")), lambda s: s.i))
+    out = out.select("row", "lines", solid.alias("solid"), merged(F.col("places"), WINDOW).alias("gone"))
+    at = lambda i: F.get(F.col("solid"), i)
+    out = out.select("row", "lines", F.transform("gone", lambda g: F.struct(at(g.first).alias("a"), at(g.last).alias("b"))).alias("gone"))
     # what lies before each interval, and after the last
-    begin = lambda j: F.coalesce(F.get(F.col("_gone"), j - 1).getField("b") + 1, F.lit(0))
-    before = F.transform("_gone", lambda g, j: F.slice("_lines", begin(j) + 1, g.a - begin(j)))
-    tail = begin(F.size("_gone"))
-    rest = F.slice("_lines", tail + 1, F.greatest(F.size("_lines") - tail, F.lit(0)))
-    kept = plain.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.concat(F.flatten(before), rest)))
-    return kept.select(
-        *[F.coalesce(F.array_join("_kept", "\n"), F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"),
+    begin = lambda j: F.coalesce(F.get(F.col("gone"), j - 1).getField("b") + 1, F.lit(0))
+    before = F.transform("gone", lambda g, j: F.slice("lines", begin(j) + 1, g.a - begin(j)))
+    tail = begin(F.size("gone"))
+    rest = F.slice("lines", tail + 1, F.greatest(F.size("lines") - tail, F.lit(0)))
+    out = out.select("row", "lines", F.when(F.col("gone").isNotNull(), F.concat(F.flatten(before), rest)).alias("kept"))
+    return out.select(
+        "row", F.coalesce(F.array_join("kept", "\n"), old).alias("new"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),
     )
 
 
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the text deduplicated, ``n_lines`` and ``n_removed``, which replace columns of these names."""
+    kept = [F.col("new").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _deduped(docs, key, text).select(*kept, "n_lines", "n_removed")
+
+
 def report(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text"))
 
@@ -75,8 +81,9 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_rest(docs: DataFrame) -> DataFrame:
     """``docs`` with deduplicated texts, ``n_chars`` brought up to date; a document that the removal
     leaves without a word goes."""
-    out = dedup(docs)
-    empty = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(f"[^{SPACE}]")
-    out = out.withColumn("_keep", held(~empty)).where("_keep")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    out = _deduped(docs)
+    cut = F.col("n_removed") > 0
+    empty = cut & ~F.coalesce(F.col("new"), F.lit("")).rlike(f"[^{SPACE}]")
+    out = out.withColumn("keep", held(~empty)).where("keep")
+    fresh = {"text": F.col("new"), "n_chars": F.when(cut, F.length("new")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -18,4 +18,59 @@ QUERIES = {
     "op10_quality_rules": lambda spark, d: quality.verdicts(read(spark, d, "documents")).drop("fail_bits"),
 }
 
-ORACLE: dict[str, str] = {}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+_OP2 = rf"""
+with dw as (select doc_id, regexp_extract_all({_LOW}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') w from documents),
+iw as (select coalesce(item_id::varchar, 'null') item, regexp_extract_all({_LOW}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') w from benchmark),
+win as (select distinct item, least(13, len(w)) k, w[p:p + least(13, len(w)) - 1] x from iw, unnest(generate_series(1, greatest(1, len(w) - 12))) u(p) where len(w) > 0),
+sizes as (select distinct k from win),
+dwin as (select doc_id, k, p, w[p:p + k - 1] x from dw, sizes, unnest(generate_series(1, len(w) - k + 1)) u(p) where len(w) >= k),
+m as (select doc_id, p, d.k, item from dwin d join win using (k, x)),
+hit as (select doc_id, count(distinct q) n_hit from m, unnest(generate_series(p, p + k - 1)) v(q) group by 1),
+its as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) s from m group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from dw left join hit using (doc_id) left join its using (doc_id)"""
+
+_OP3 = """
+with p as (select page_id, coalesce(html, '') h, max(page_id) over (partition by coalesce(html, '')) top, sha1(coalesce(html, '')) x from pages)
+select page_id, strlen(h)::bigint payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (i // 4) * 5 + 1, 5))::int >> (15 - 5 * (i % 4))) & 31) + 1)::int, 1)), '') payload_digest,
+  case when page_id = top then 'response' else 'revisit' end record_type, case when page_id <> top then top end refers_to
+from p"""
+
+_OP6 = r"""
+with l as (select doc_id, text, i - 1 i, x, trim(x, E' \t\n\x0b\x0c\r') t from (select doc_id, text, string_split(text, E'\n') ls from documents), unnest(ls) with ordinality u(x, i)),
+s as (select doc_id, i, t, row_number() over (partition by doc_id order by i) - 1 j from l where t <> ''),
+w as (select doc_id, j, t, lead(t, 1) over o t1, lead(t, 2) over o t2 from s window o as (partition by doc_id order by j)),
+r as (select doc_id, j, row_number() over (partition by t, t1, t2 order by doc_id, j) rn from w where t2 is not null),
+c as (select distinct doc_id, j + k j from r, unnest([0, 1, 2]) u(k) where rn > 1),
+e as (select c.doc_id, s.i, n.i nxt from c join s using (doc_id, j) left join c c2 on c2.doc_id = c.doc_id and c2.j = c.j + 1 left join s n on n.doc_id = c2.doc_id and n.j = c2.j),
+g as (select distinct doc_id, q i from e, unnest(generate_series(i, coalesce(nxt - 1, i))) u(q))
+select l.doc_id, coalesce(string_agg(x, E'\n' order by l.i) filter (where g.i is null), '') as "text", count(*) n_lines, count(g.i) n_removed
+from l left join g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id"""
+
+_OP9 = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOW}, '{_SPACED}') w from documents),
+sh as (select distinct doc_id, w[p:p + 4] x from w, unnest(generate_series(1, greatest(1, len(w) - 4))) u(p) where len(w) > 0),
+n as (select doc_id, count(*) n from sh group by 1),
+shared as (select a.doc_id a, b.doc_id b, count(*) k from sh a join sh b on a.x = b.x and a.doc_id < b.doc_id group by all),
+link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+sym as (select a, b from link union select b, a from link),
+reach(d, c) as (select a, a from sym union select d, b from reach join sym on a = c)
+select w.doc_id, coalesce(n.n, 0) n_shingles, coalesce(least(w.doc_id, min(c)), w.doc_id) component_id from w left join n using (doc_id) left join reach on d = w.doc_id group by w.doc_id, n.n"""
+
+_OP10 = rf"""
+with t as (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') w, list_filter(string_split(coalesce(text, ''), E'\n'), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from documents),
+g as (select doc_id, p, w[p:p + 4] x from t, unnest(generate_series(1, len(w) - 4)) u(p) where len(w) >= 5),
+r as (select doc_id, count(distinct q) n from (select doc_id, p, count(*) over (partition by doc_id, x) c from g), unnest(generate_series(p, p + 4)) u(q) where c > 1 group by 1),
+m as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
+  coalesce(n, 0) n_repeat_words, len(regexp_extract_all(text, '!')) ex, length(regexp_replace(text, '[^A-Z]+', '', 'g')) up, length(regexp_replace(text, '[^a-z]+', '', 'g')) lo from t left join r using (doc_id)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 10 * n_symbols > 3 * n_words or 2 * ex > n_words or (up > 20 and up > lo) or word_chars > 40 * n_words) kept from b"""
+
+ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_warc": _OP3, "op6_line_dedup": _OP6, "op9_jaccard": _OP9, "op10_quality_rules": _OP10}

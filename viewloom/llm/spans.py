@@ -14,8 +14,10 @@ OCCURRENCE = ["h1", "h2", "id", "tx", "pos"]
 
 
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``id`` and ``tx``, which name a document even where ids repeat or are null."""
-    return docs.withColumns({"id": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")), "tx": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    """(row, id, tx): each row whole, and two numbers that name its document even where ids repeat or are null."""
+    return docs.select(
+        F.struct(*docs.columns).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tx"),
+    )
 
 
 def later_occurrences(runs: DataFrame) -> DataFrame:

@@ -19,9 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from .common import stack
 from .spans import covered_places, identified, later_occurrences
@@ -29,6 +33,7 @@ from .spans import covered_places, identified, later_occurrences
 SPAN, LEAST, LONG = 2, 16, 25
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|\n\s*|[.!?]+|$)")
 _WORD = re.compile(r"\S+\s*")
+NEW = {"new": pa.string(), "n_sentences": pa.int64(), "n_removed": pa.int64(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
 
 def sentences(text: str) -> list[str]:
@@ -103,25 +108,26 @@ def _removed(text: str, places: list[int]) -> tuple[int, list[int], list[int], s
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text deduplicated, ``n_sentences``, ``n_removed`` (characters) and the removed
-    stretches as ``starts`` and ``ends`` in the original text."""
+    stretches as ``starts`` and ``ends`` in the original text; these replace columns of their names."""
     named = identified(docs, key, text)
-    found = named.select("id", "tx", F.col(text).alias("text")).mapInPandas(_occurrences, "h1 long, h2 long, id long, tx long, pos int")
+    found = named.select("id", "tx", F.col("row")[text].alias("text")).mapInPandas(_occurrences, "h1 long, h2 long, id long, tx long, pos int")
     places = covered_places(later_occurrences(found))
-    joined = named.join(places, ["id", "tx"], "left").drop("id", "tx")
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    joined = named.join(places, ["id", "tx"], "left").select("row", "places")
+    schema = StructType([joined.schema["row"], *(StructField(n, from_arrow_type(t)) for n, t in NEW.items())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_removed(t, p if p is not None else []) for t, p in zip(stack(b[text]), b["places"], strict=True)]
-            out = b[names].reset_index(drop=True)
-            out[text] = [r[3] if isinstance(t, str) else None for r, t in zip(rows, b[text], strict=True)]
-            out["n_sentences"] = [r[0] for r in rows]
-            out["n_removed"] = [sum(r[2]) - sum(r[1]) for r in rows]
-            out["starts"], out["ends"] = [r[1] for r in rows], [r[2] for r in rows]
-            yield out
-
-    return joined.mapInPandas(run, f"{schema}, n_sentences long, n_removed long, starts array<int>, ends array<int>")
+            texts = pc.struct_field(b.column("row"), text).to_pylist()
+            rows = []
+            for t, p in zip(texts, b.column("places").to_pylist(), strict=True):
+                n, starts, ends, new = _removed(t or "", p or [])
+                rows.append((None if t is None else new, n, sum(ends) - sum(starts), starts, ends))
+            columns = zip(*rows, strict=True) if rows else [()] * len(NEW)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(list(c), k) for c, k in zip(columns, NEW.values(), strict=True))], ["row", *NEW])
+
+    out = joined.mapInArrow(run, schema)
+    kept = [F.col("new").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in NEW]
+    return out.select(*kept, *[c for c in NEW if c != "new"])
 
 
 def report(docs: DataFrame) -> DataFrame:
