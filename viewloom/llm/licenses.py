@@ -83,7 +83,7 @@ def own_license(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     n, df = frequencies(files, vocab, text)
     idf = {v: math.log((1 + n) / (1 + df[v])) + 1.0 for v in vocab}
     marks = sorted({v for t in tf.values() for v in needed(t, idf, threshold)})
-    lines = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: x.rlike(r"\b(" + "|".join(map(re.escape, marks)) + r")\b"))
+    lines = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: x.rlike(f"(?<![0-9a-z])({'|'.join(map(re.escape, marks))})(?![0-9a-z])"))
     row = files.withColumn("_lines", F.array_distinct(lines))
     scored = [(name, F.array_max(F.transform("_lines", _scorer(tf[name], idf)))) for name in tf]
     best = F.array_max(F.array(*[F.struct(F.round(F.coalesce(s, F.lit(0.0)), 6).alias("score"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scored)]))
@@ -142,11 +142,12 @@ def inherit(files: DataFrame, path: str = "path") -> DataFrame:
 def document_paths(docs: DataFrame) -> DataFrame:
     """Documents as files of a tree: source / language / hundred / name.
 
-    Every 25th document stands for the license file of its directory.
+    Every 25th document stands for the license file of its directory, every 50th for that of the one above.
     """
-    name = F.when(F.col("doc_id") % 25 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string")))
-    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.floor(F.col("doc_id") / 100).cast("string")), name)
-    return docs.select("doc_id", "text", path.alias("path"))
+    n = F.col("doc_id")
+    name = F.when(n % 25 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("f"), n.cast("string")))
+    hundred = F.when(n % 50 != 0, F.concat(F.lit("d"), F.floor(n / 100).cast("string")))  # null parts are left out
+    return docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", hundred, name).alias("path"))
 
 
 def report(docs: DataFrame) -> DataFrame:
