@@ -77,3 +77,16 @@ def split_by_class(df: DataFrame, label: str, ratio: float, order: list[Column |
     rank = F.row_number().over(W.partitionBy(label).orderBy(*order))
     size = F.count("*").over(W.partitionBy(label))
     return df.withColumn("is_train", rank <= F.bround(size * F.lit(ratio)))
+
+
+def without_remainder(shards: DataFrame, key: str, parts: int) -> DataFrame:
+    """Shards in name order, as many as ``parts`` divides; their number is counted first."""
+    n = shards.count()
+    return shards.orderBy(key).limit(n - n % parts)
+
+
+def epoch_length(sizes: DataFrame, nodes: int, workers: int, batch: int) -> DataFrame:
+    """Batches of an epoch when shards (pos, n) are dealt to nodes, then to their workers: the longest worker's."""
+    worker = F.floor(F.col("pos") / nodes) % workers
+    per = sizes.groupBy((F.col("pos") % nodes).alias("node"), worker.alias("worker")).agg(F.sum("n").alias("n"))
+    return per.agg(F.max(F.ceil(F.col("n") / batch)).cast("bigint").alias("batches"))

@@ -94,3 +94,24 @@ def covering_models(models: DataFrame, shards: list[str], subset: bool = True) -
 def completeness(rows: DataFrame, keys: list[str], expected: int) -> DataFrame:
     """Groups that do not have the expected number of rows."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") != expected)
+
+
+def new_sizes(rows: DataFrame, cached: DataFrame) -> DataFrame:
+    """Sizes of the shards that the cache (shard_name, shard_size) lacks, with those that it has."""
+    fresh = rows.join(cached.select("shard_name"), "shard_name", "left_anti").groupBy("shard_name").agg(F.count("*").alias("shard_size"))
+    return cached.select("shard_name", "shard_size").unionByName(fresh)
+
+
+def merged_last_wins(parts: list[DataFrame], key: str, values: list[str]) -> DataFrame:
+    """The union of parts in which, of rows with one key, that of the latest part stays."""
+    each = [p.select(key, *values, F.lit(i).alias("_part")) for i, p in enumerate(parts)]
+    out = each[0]
+    for p in each[1:]:
+        out = out.unionByName(p)
+    return last_wins(out, key, "_part", values)
+
+
+def no_nan(df: DataFrame, column: str) -> DataFrame:
+    """``df``, or an error if a value is not a number."""
+    bad = F.raise_error(F.concat(F.lit("not a number in "), F.lit(column)))
+    return df.withColumn(column, F.when(F.isnan(column), bad.cast("double")).otherwise(F.col(column)))

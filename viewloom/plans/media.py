@@ -269,3 +269,45 @@ def fold_split(spark, d):
     s = F.concat_ws("-", (F.col("doc_id") % 5 + 1).cast("string"), F.col("doc_id").cast("string"), "source")
     docs = table(spark, d, "documents").select("doc_id", s.alias("stem"))
     return docs.select("doc_id", (F.col("doc_id") % 5 + 1).alias("fold"), F.regexp_extract("stem", "-([^-]*)$", 1).alias("label"), (F.split_part("stem", F.lit("-"), F.lit(1)).cast("int") != 2).alias("is_train"))
+
+
+@query("drop_remainder", "select shard from (select distinct source shard from documents) order by shard limit (select count(distinct source) // 7 * 7 from documents)")
+def drop_remainder(spark, d):
+    return ordering.without_remainder(table(spark, d, "documents").select(F.col("source").alias("shard")).distinct(), "shard", 7)
+
+
+@query("epoch_length", "with s as (select n_nationkey pos, n_nationkey * 37 % 11 + 5 n from nation) select max(b) batches from (select ceil(sum(n) / 4)::bigint b from s group by pos % 3, (pos // 3) % 2)")
+def epoch_length(spark, d):
+    sizes = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), (F.col("n_nationkey") * 37 % 11 + 5).alias("n"))
+    return ordering.epoch_length(sizes, 3, 2, 4)
+
+
+@query("size_cache", "select source shard_name, case when source in ('src1', 'src2') then 7 else count(*) end shard_size from documents group by 1")
+def size_cache(spark, d):
+    rows = table(spark, d, "documents").select(F.col("source").alias("shard_name"))
+    return records.new_sizes(rows, rows.where("shard_name in ('src1', 'src2')").distinct().withColumn("shard_size", F.lit(7).cast("bigint")))
+
+
+@query("merge_parts", "select doc_id, coalesce(l.quality + 10, d.doc_id % 3)::bigint v from documents d left join labels l using (doc_id)")
+def merge_parts(spark, d):
+    a = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3).alias("v"))
+    b = table(spark, d, "labels").select("doc_id", (F.col("quality") + 10).cast("bigint").alias("v"))
+    return records.merged_last_wins([a, b], "doc_id", ["v"])
+
+
+@query("nan_guard", "select o_orderkey, o_totalprice from orders")
+def nan_guard(spark, d):
+    return records.no_nan(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
+
+
+@query("brace_form", "select n_regionkey, '{' || string_agg(n_name, ',' order by n_name) || '}' pattern from nation group by 1")
+def brace_form(spark, d):
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    return n.select("n_regionkey", names.brace_form(F.col("names")).alias("pattern"))
+
+
+@query("run_ids", "select s_suppkey, s_name || '_' || s_suppkey || '_' || s_nationkey run, split_part('v' || s_nationkey || '_l_' || s_suppkey, '_', 1) \"view\", 'l_' || s_suppkey layer from supplier")
+def run_ids(spark, d):
+    s = table(spark, d, "supplier")
+    key = F.concat(F.lit("v"), F.col("s_nationkey").cast("string"), F.lit("_l_"), F.col("s_suppkey").cast("string"))
+    return s.select("s_suppkey", names.run_id(F.col("s_name"), F.col("s_suppkey"), F.col("s_nationkey")).alias("run"), names.view_of(key).alias("view"), names.layer_of(key).alias("layer"))
