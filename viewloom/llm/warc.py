@@ -30,6 +30,8 @@ from .common import materialize, shared_dir, stack
 SKIPPABLE = 0x184D2A5D
 #: Uncompressed bytes of records per archive, of those kept to train on, and of a dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 64 << 20, 1 << 20, 32 << 10
+#: Revisits, of some 50 bytes, that may be broadcast.
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -127,17 +129,19 @@ def filesystem(uri: str):
 
 
 def resolve(pages: DataFrame) -> DataFrame:
-    """Pages with their digest and ``refers_to``, null for responses. Only ids and digests are shuffled.
+    """Pages with their digest and ``refers_to``, null for responses.
 
-    The largest id per digest is aggregated before the shuffle; a digest that a third of the rows
-    share is split by the adaptive join.
+    Ids and digests are shuffled; payloads only if more pages are revisits than may be broadcast. The
+    largest id per digest is aggregated before the shuffle; a digest that a third of the rows share is
+    split by the adaptive join.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     named = pages.select("page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), html.alias("payload"), F.sha1(html).alias("sha"), F.coalesce("page_id", F.lit(-(1 << 63)).cast("long")).alias("k"))
     keys = named.select("k", "sha")
     top = keys.groupBy("sha").agg(F.max("k").alias("top"), F.count("*").alias("n"))
-    later = keys.join(top.where("n > 1"), "sha").where("k < top").select("k", "sha", "top").distinct()
-    return named.join(later, ["k", "sha"], "left").select("page_id", "url", "payload", F.col("top").alias("refers_to"))
+    later = materialize(keys.join(top.where("n > 1"), "sha").where("k < top").select("k", "sha", "top").distinct(), "revisits")
+    few = later.count() <= BROADCAST_ROWS
+    return named.join(F.broadcast(later) if few else later.hint("merge"), ["k", "sha"], "left").select("page_id", "url", "payload", F.col("top").alias("refers_to"))
 
 
 def write(pages: DataFrame, uri: str) -> DataFrame:
