@@ -327,11 +327,14 @@ def _across(rows: DataFrame, best_only: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, at = [], None
         for b in batches:
-            edge = np.flatnonzero((b[["k", "i", "j"]].shift() != b[["k", "i", "j"]]).any(axis=1).to_numpy())
+            if not len(b):
+                continue
+            group = b[["k", "i", "j"]].to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
             out = []
             for lo, hi in zip(edge, [*edge[1:], len(b)], strict=True):
                 part = b.iloc[lo:hi]
-                now = tuple(part[["k", "i", "j"]].iloc[0])
+                now = tuple(group[lo].tolist())
                 if at is not None and now != at:
                     out += pairs(*at, pd.concat(held))
                     held = []
