@@ -315,7 +315,7 @@ def _across(rows: DataFrame, best_only: bool) -> DataFrame:
     def pairs(k: int, i: int, j: int, g: pd.DataFrame) -> list[tuple]:
         if g["c"].nunique() < 2:
             return []
-        found = _allowed(g.drop_duplicates("id").sort_values("n", kind="stable"), i != j)
+        found = _allowed(g.drop_duplicates(["id", "n", "sketch"]).sort_values("n", kind="stable"), i != j)
         if not best_only:
             return [(k, x, y, False) for *_, x, y in found]
         best: dict[tuple, tuple] = {}
@@ -384,18 +384,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     met = shared.where("id != lead").groupBy("id", "lead").agg(F.count("*").alias("n"))
     best = met.groupBy("id").agg(F.max("n").alias("n"), F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
     strong = best.join(feats.select("id", F.size("keys").alias("m")), "id").where(STRONG * F.col("n") >= F.col("m")).select("id", "lead").distinct()
-    edges = links.unionByName(_verify_leaders(docs, materialize(strong, "strong"), key, text))
+    strong = materialize(strong, "strong")
+    edges = links if strong.isEmpty() else links.unionByName(_verify_leaders(docs, strong, key, text))
     comp = materialize(components(edges), "components")
     # all other links between components
     sketches = feats.select("id", "n", "sketch")
     buckets = None
-    for best_only in (True, False):
+    for best_only in () if shared.isEmpty() else (True, False):
         at = shared if buckets is None else shared.join(buckets, "k", "left_semi")
         at = at.select("k", "id").join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
         # of buckets with the same members one will do
         who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
         mixed = at.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), *who).where("c0 != c1").groupBy("n", "x0", "x1").agg(F.min("k").alias("k")).select("k")
         found = materialize(_across(at.join(mixed, "k").join(sketches, "id"), best_only), "pairs")
+        if found.isEmpty():
+            break
         edges = edges.unionByName(_verify_pairs(docs, found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), key, text))
         comp = materialize(components(edges), "components")
         buckets = found.where("more").select("k").distinct()
