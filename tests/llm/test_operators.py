@@ -156,6 +156,38 @@ def test_passages_go_from_all_but_the_first(docs, by_id):
     assert all(out[d]["text"].startswith("Intro number") and "Outro" in out[d]["text"] and len(out[d]["text"]) < 60 for d in rest)
 
 
+def _passage_rows(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("sizes", [[6] * 10, [1] * 60, [3, 9, 2, 10, 10, 2, 4, 12, 1, 5], [10, 10, 2, 10, 10, 10, 2]])
+def test_passages_of_short_sentences_are_found_whole(spark, sizes):
+    rng = __import__("random").Random(3)
+    passage = "".join(fx.prose(rng, n) + ".\n" for n in sizes)
+    texts = [f"{fx.prose(rng, 9)}.\n{passage}{fx.prose(rng, 9)}." for _ in range(3)]
+    out = fx.as_dict(substrings.dedup(_passage_rows(spark, texts)))
+    assert out[0]["text"] == texts[0]
+    assert all(out[i]["text"] == texts[i].replace(passage, "") for i in (1, 2))
+
+
+def test_passages_that_begin_mid_sentence(spark):
+    rng = __import__("random").Random(4)
+    texts, want = [], 0
+    for i in range(40):
+        passage = fx.prose(rng, 120)
+        texts += [f"{fx.prose(rng, 20 + k * (i % 24 + 1))} {passage} {fx.prose(rng, 20)}." for k in (0, 1)]
+        want += len(passage)
+    out = fx.as_dict(substrings.dedup(_passage_rows(spark, texts)))
+    assert sum(out[i]["n_removed"] for i in range(0, 80, 2)) == 0
+    assert all(out[i]["n_removed"] > 0 for i in range(1, 80, 2)) and sum(out[i]["n_removed"] for i in range(1, 80, 2)) > 0.6 * want
+
+
+def test_pieces_join_to_the_sentence_and_keep_their_sizes():
+    for t in (fx.prose(__import__("random").Random(5), 5000), "a b c d e " * 60, "x " * 400, "a\tb\tc " * 30):
+        cut = substrings.sentences(t)
+        assert "".join(cut) == t and all(substrings.LEAST // 2 <= len(s.split()) <= substrings.LONG for s in cut)
+
+
 def test_line_dedup_equals_brute_force(docs, by_id):
     want = fx.deduped_lines(by_id)
     out = lines.dedup(docs)

@@ -20,8 +20,8 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def later_occurrences(runs: DataFrame) -> DataFrame:
-    """(id, tx, pos) of every occurrence but the first of each run.
+def later_occurrences(runs: DataFrame, inside: Column | None = None) -> DataFrame:
+    """(id, tx, pos) of every occurrence but the first of each run; where ``inside`` is false, of those in other documents.
 
     The first is found by an aggregation that combines before the shuffle, so a run that a third of the
     documents share is no hot group. The join back to the occurrences is a plain sort-merge join
@@ -29,7 +29,10 @@ def later_occurrences(runs: DataFrame) -> DataFrame:
     """
     first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "tx", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     at = F.struct("id", "tx", "pos")
-    return runs.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(at != F.col("first")).select("id", "tx", "pos")
+    later = at != F.col("first")
+    if inside is not None:
+        later &= inside | (F.col("id") != F.col("first.id")) | (F.col("tx") != F.col("first.tx"))
+    return runs.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(later).select("id", "tx", "pos")
 
 
 def covered_places(later: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Substring deduplication by sliding sentence spans.
 
-Texts are cut into sentences; a sentence of more than LONG words counts as several, cut every LONG
-words from its start. Every run of SPAN consecutive sentences with at least LEAST words in all is
-hashed by its lower-case words. A run that occurs more than once in the corpus keeps its first
-occurrence, by (doc_id, place), and the sentences of all others are removed.
+Texts are cut into sentences; a sentence of more than LONG words counts as several, cut where a hash of
+the words around is least, so that equal stretches are cut alike wherever they begin. At every sentence
+the run of SPAN sentences that begins there is hashed by its lower-case words; where it has fewer than LEAST
+words, the shortest longer runs that begin and that end there and reach LEAST are. A run that occurs more
+than once in the corpus keeps its first occurrence, by (doc_id, place), and the sentences of all others are
+removed; runs of more than SPAN sentences count only outside the document of the first occurrence.
 
-With SPAN = 2 a shared passage of over 50 words, which has at least two sentences by this rule, is found
-whole where it begins at a sentence.
+A shared passage of over 50 words is found whole where it begins and ends at sentences. Of one that begins
+or ends inside a sentence of more than LONG words the parts between common cuts are found; a piece has LEAST / 2
+to LONG words, so of such a passage with fewer than three common cuts nothing may be found.
 
 Defined results: null text stays null without sentences; texts of one sentence are left alone; repeated
 rows of one document count as one; extra columns are kept by ``dedup``; an empty table gives no rows.
@@ -15,7 +18,9 @@ rows of one document count as one; extra columns are kept by ``dedup``; an empty
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,6 +38,10 @@ from .spans import covered_places, identified, later_occurrences
 SPAN, LEAST, LONG = 2, 16, 25
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|\n\s*|[.!?]+|$)")
 _WORD = re.compile(r"\S+\s*")
+#: Words of a long sentence's piece at least, so that two pieces have LEAST.
+_PIECE = LEAST // 2
+#: A place is the run's first sentence << _BITS | its sentences, which are LEAST at most.
+_BITS = 5
 NEW = {"new": pa.string(), "n_sentences": pa.int64(), "n_removed": pa.int64(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
 
@@ -52,28 +61,66 @@ def sentences(text: str) -> list[str]:
         out.append(held)
     cut: list[str] = []
     for s in out:
-        if s.count(" ") < LONG:
+        if len(s) < 2 * LONG or len(s.split()) <= LONG:
             cut.append(s)
             continue
         lead = s[: len(s) - len(s.lstrip())]
         w = _WORD.findall(s)
-        parts = ["".join(w[i : i + LONG]) for i in range(0, len(w), LONG)] or [s]
-        parts[0] = lead + parts[0] if w else parts[0]
+        edges = [0, *_cuts(w), len(w)]
+        parts = ["".join(w[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        parts[0] = lead + parts[0]
         cut += parts
     return cut
 
 
+def _cuts(w: list[str]) -> list[int]:
+    """Where a long sentence is cut: at hashes of two neighbouring words that are the least of _PIECE - 1 on
+    either side, and then in stretches of more than LONG words at the least within reach of the last cut."""
+    words = [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in "".join(w).lower().split()]
+    h = [0, *[((y + x * 0x9E3779B1) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 16 for x, y in zip(words, words[1:], strict=False)]]
+    r, i, least = _PIECE - 1, _PIECE, []
+    while i < len(h) - r:
+        right = h[i + 1 : i + r + 1]
+        m = min(right)
+        if h[i] >= m:
+            i += 1 + right.index(m)
+            continue
+        if h[i] <= min(h[i - r : i]):
+            least.append(i)
+        i += r + 1
+    out, at = [], 0
+    for c in [*least, len(w)]:
+        while c - at > LONG:
+            reach = h[at + _PIECE : at + LONG - _PIECE + 1]
+            at += _PIECE + reach.index(min(reach))
+            out.append(at)
+        if c < len(w):
+            out.append(c)
+        at = c
+    return out
+
+
 def runs(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Two hashes and the first sentence of each run; sentences without words are skipped."""
-    said = [(i, w) for i, s in enumerate(sentences(text)) if (w := s.lower().split())]
-    h1, h2, pos = [], [], []
-    joined = [" ".join(w) for _, w in said]
+    """Two hashes and the place of each run; sentences without words are skipped."""
+    said = [w for s in sentences(text) if (w := s.lower().split())]
+    edge = [0, *accumulate(map(len, said))]
+    joined = [" ".join(w) for w in said]
+    found = []
     for j in range(len(said) - SPAN + 1):
-        if sum(len(w) for _, w in said[j : j + SPAN]) >= LEAST:
-            d = xxhash.xxh3_128_intdigest("\n".join(joined[j : j + SPAN]).encode("utf-8", "surrogatepass"))
-            h1.append(d >> 64)
-            h2.append(d & 0xFFFFFFFFFFFFFFFF)
-            pos.append(j)
+        if edge[j + SPAN] - edge[j] >= LEAST:
+            found.append((j, j + SPAN))
+            continue
+        end, begin = bisect_left(edge, edge[j] + LEAST), bisect_right(edge, edge[j + SPAN] - LEAST) - 1
+        if end < len(edge):
+            found.append((j, end))
+        if begin >= 0:
+            found.append((begin, j + SPAN))
+    h1, h2, pos = [], [], []
+    for i, j in dict.fromkeys(found):
+        d = xxhash.xxh3_128_intdigest("\n".join(joined[i:j]).encode("utf-8", "surrogatepass"))
+        h1.append(d >> 64)
+        h2.append(d & 0xFFFFFFFFFFFFFFFF)
+        pos.append(i << _BITS | j - i)
     return h1, h2, pos
 
 
@@ -98,7 +145,7 @@ def _removed(text: str, places: list[int]) -> tuple[int, list[int], list[int], s
     if not len(places):
         return len(cut), [], [], text
     solid = [i for i, s in enumerate(cut) if s.strip()]
-    gone = sorted({solid[p + k] for p in places for k in range(SPAN)})
+    gone = sorted({solid[(p >> _BITS) + k] for p in places for k in range(p & (1 << _BITS) - 1)})
     edge = np.concatenate([[0], np.cumsum([len(s) for s in cut])])
     starts = [int(edge[g]) for j, g in enumerate(gone) if j == 0 or gone[j - 1] != g - 1]
     ends = [int(edge[g + 1]) for j, g in enumerate(gone) if j == len(gone) - 1 or gone[j + 1] != g + 1]
@@ -111,7 +158,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     stretches as ``starts`` and ``ends`` in the original text; these replace columns of their names."""
     named = identified(docs, key, text)
     found = named.select("id", "tx", F.col("row")[text].alias("text")).mapInPandas(_occurrences, "h1 long, h2 long, id long, tx long, pos int")
-    places = covered_places(later_occurrences(found))
+    places = covered_places(later_occurrences(found, F.col("pos").bitwiseAND((1 << _BITS) - 1) == SPAN))
     joined = named.join(places, ["id", "tx"], "left").select("row", "places")
     schema = StructType([joined.schema["row"], *(StructField(n, from_arrow_type(t)) for n, t in NEW.items())])
 
