@@ -268,6 +268,24 @@ def test_jaccard_of_families_that_straddle_the_limit(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_jaccard_of_chains_whose_rows_occur_twice(spark):
+    """Buckets of equal ids an even number of times must not count as buckets with the same members."""
+    rng = __import__("random").Random(12)
+    rows = []
+    for n in (14, 40, 90, 260):
+        for _ in range(6):
+            base = [f"v{rng.randrange(4000)}" for _ in range(n)]
+            for _ in range(8):
+                for _ in range(max(1, n // 60)):
+                    base[rng.randrange(len(base))] = f"n{rng.randrange(9000)}"
+                rows.append(" ".join(base))
+    data = dict(enumerate(rows))
+    for times in (lambda d: 2, lambda d: 1 + d % 2):
+        got = jaccard.report(spark.createDataFrame([x for x in data.items() for _ in range(times(x[0]))], "doc_id long, text string")).collect()
+        assert len(got) == sum(map(times, data))
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(d, *x) for d, x in fx.components(data).items()}
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
     for n in (10, 100, 1000):

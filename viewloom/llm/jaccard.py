@@ -204,13 +204,18 @@ def features(docs: DataFrame, level: np.ndarray | None, key: str = "doc_id", tex
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(k, id, lead) of the keys that several ids have; streams over partitions sorted by key."""
+    """(k, id, lead) of the keys that several ids have, each id once a key; streams over partitions sorted by both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # of the last key so far: the leader alone, or nothing once it is out
-        last_lead = None
+        last_lead = last = None
         for b in batches:
+            if not b.num_rows:
+                continue
             k, i = (b.column(c).to_numpy() for c in ("k", "id"))
+            new = np.concatenate([[(k[0], i[0]) != last], (k[1:] != k[:-1]) | (i[1:] != i[:-1])])
+            last = (k[-1], i[-1])
+            k, i = k[new], i[new]
             k, i = np.concatenate([held[0], k]), np.concatenate([held[1], i])
             if not len(k):
                 continue
