@@ -242,6 +242,24 @@ def test_ledger_scans_each_blob_once(spark):
     assert secrets.scan_unseen(more, entries)[0].count() == 1
 
 
+def test_second_run_keeps_the_findings_of_old_paths(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = [(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "x"), (4, None)]
+    more = [*rows, (5, "secret: zzzzzzzz"), (6, "x"), (7, "token=abcdefgh")]
+    first, second = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows, more))
+    assert sum(r["n_assign"] for r in secrets.report(first, path).collect()) == 2
+    assert secrets.read_ledger(spark, path).count() == 3
+    ledger = secrets.read_ledger(spark, path)
+    want = fx.as_dict(secrets.report(second))
+    assert sum(r["n_assign"] for r in want.values()) == 4
+    assert {r["doc_id"] for r in secrets.findings(second, ledger).collect() if r["kinds"]} == {1, 2, 5, 7}
+    assert fx.as_dict(secrets.report(second, path)) == want
+    assert secrets.read_ledger(spark, path).count() == 4
+    stale = spark.createDataFrame([(r["blob"], "older", ["hex"], [0], [1]) for r in want.values()], secrets.FOUND)
+    stale.write.mode("append").parquet(path)
+    assert fx.as_dict(secrets.report(second, path)) == want
+
+
 def test_jaccard_components_equal_brute_force(docs, by_id):
     want = fx.components(by_id)
     got = jaccard.report(docs).collect()

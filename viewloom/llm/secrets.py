@@ -1,8 +1,9 @@
 """Secret scans over an incremental blob ledger.
 
-Every text version is content-addressed. The ledger lists which (blob, rule version) pairs have been
-scanned; a run scans only pairs that it lacks, each blob once however many paths hold it, and the
-findings are joined back to all paths.
+Every text version is content-addressed. The ledger is a table of the scanned (blob, rule version) pairs with
+their findings, also empty ones; a run scans only pairs that it lacks, each blob once however many paths
+hold it, appends them, and joins stored and new findings back to all paths. Rows of a ledger do not depend on
+each other, so after a run that broke off the next one scans what is missing.
 
 Defined results: null text is the empty blob; equal texts share one scan; a blob without findings
 gives an empty span list; repeated rows each get their findings; extra columns are ignored; an empty
@@ -12,14 +13,16 @@ table scans nothing.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, stack
+from .common import materialize, shared_dir, stack
 
 
 @dataclass(frozen=True)
@@ -79,7 +82,7 @@ def address(versions: DataFrame, text: str = "text") -> DataFrame:
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings of the newly scanned blobs, all versions with their blobs).
 
-    ``ledger`` has (blob, rule_version) rows of earlier runs. Of each unseen blob the copy with the
+    ``ledger`` has the (blob, rule_version) rows of earlier runs. Of each unseen blob the copy with the
     smallest key is scanned. The keys not to scan are broadcast only if they are few.
     """
     at = materialize(address(versions, text).select(key, "blob"), "blobs")
@@ -94,16 +97,38 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, key: str =
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Spans of every document: findings of its blob joined back by content address."""
+    """Spans of every document: stored and new findings of its blob joined back by content address."""
     found, at = scan_unseen(docs, ledger)
     found = materialize(found, "findings")
-    hit = found.where(F.size("kinds") > 0).groupBy("blob").agg(F.first("kinds").alias("kinds"), F.first("starts").alias("starts"), F.first("ends").alias("ends"))
+    return _joined_back(at, found if ledger is None else found.unionByName(ledger.select(*found.columns)))
+
+
+def _joined_back(at: DataFrame, found: DataFrame) -> DataFrame:
+    hit = found.where((F.col("rule_version") == RULE_VERSION) & (F.size("kinds") > 0))
+    hit = hit.groupBy("blob").agg(F.first("kinds").alias("kinds"), F.first("starts").alias("starts"), F.first("ends").alias("ends"))
     return at.join(hit, "blob", "left")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, their digest, and all spans."""
-    f = findings(docs)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``; without rows where nothing has been written."""
+    try:
+        return spark.read.schema(FOUND).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FOUND)
+
+
+def run(docs: DataFrame, path: str) -> DataFrame:
+    """``findings`` with the ledger at ``path``, to which the newly scanned blobs are appended first."""
+    found, at = scan_unseen(docs, read_ledger(docs.sparkSession, path))
+    ledger_entries(found).write.mode("append").option("compression", "zstd").parquet(path)
+    return _joined_back(at, read_ledger(docs.sparkSession, path))
+
+
+def report(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row per document: counts of the base kinds, their digest, and all spans; without a ``path`` from an empty ledger."""
+    f = run(docs, path or f"{shared_dir(docs.sparkSession)}/viewloom-{uuid.uuid4().hex}/ledger")
     none = F.array().cast("array<string>")
     spans = F.coalesce(F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.struct(s.kinds.alias("kind"), F.concat_ws(":", s.kinds, s.starts.cast("string"), s.ends.cast("string")).alias("span"))), F.array().cast("array<struct<kind:string,span:string>>"))
     f = f.select("doc_id", "blob", F.coalesce("kinds", none).alias("kinds"), spans.alias("s"))
@@ -116,6 +141,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def ledger_entries(found: DataFrame) -> DataFrame:
-    """What a run appends to the ledger."""
-    return found.select("blob", "rule_version").distinct()
+    """What a run appends to the ledger: each pair once with its findings."""
+    return found.dropDuplicates(["blob", "rule_version"])
 
