@@ -248,6 +248,18 @@ def test_positions_are_gapless(spark):
     assert all(r["x"] == r["pos"] for r in got)
 
 
+def test_positions_are_gapless_beyond_the_sample_of_a_range_partition(spark):
+    """With pruned and with extra columns; bounds drawn twice would differ on a table of this size."""
+    n = 3_000_000
+    df = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("x"), F.md5(F.col("id").cast("string")).alias("part"), F.lit(1).alias("at"), F.lit(2).alias("row"))
+    got = ordering.numbered(df, ["x"], buckets=8)
+    assert got.columns == [*df.columns, "pos"]
+    bad, least, most, distinct = got.agg(F.sum((F.col("x") != F.col("pos")).cast("int")), F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()
+    assert (bad, least, most, distinct) == (0, 0, n - 1, n)
+    drawn = ordering.numbered(df.select("part", "x"), ["part", "x"], buckets=8).agg(F.max("pos"), F.count_distinct("pos")).first()
+    assert tuple(drawn) == (n - 1, n)
+
+
 def test_log_mel_shapes_and_peak():
     from viewloom.functions import audio
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def draw(seed: int, key: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
@@ -40,17 +42,23 @@ def top_by(df: DataFrame, by: list[str], score: str, n: int, key: str = "id") ->
 
 
 def numbered(df: DataFrame, order: list[str], column: str = "pos", buckets: int = 1024) -> DataFrame:
-    """Gapless positions from 0 in a total order without one global window.
+    """Gapless positions from 0 in a total order without one global window; ties are numbered in any order.
 
-    The rows are range-partitioned and sorted; positions are counted within a partition and start
-    after the counts of those before, of which there are as many as partitions.
+    The rows are range-partitioned, sorted and written once, since the bounds of a range partition are drawn anew
+    whenever it is computed. Positions are counted within a partition and start after the counts of
+    those before, of which there are as many as partitions. Extra columns stay, whatever their names.
     """
-    ranged = df.repartitionByRange(buckets, *order) if buckets > 1 else df.coalesce(1)
-    part = ranged.sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"))
-    part = part.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return part.join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+    row = df.select(F.struct(*df.columns).alias("row"))
+    by = [F.col("row")[c] for c in order]
+    ranged = row.repartitionByRange(buckets, *by).sortWithinPartitions(*by)
+    # an id holds the partition in its upper bits and the row's place there in the lower 33
+    at = materialize(ranged.select("row", F.monotonically_increasing_id().alias("at")), "ranged")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = at.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = at.select("row", part.alias("part"), place.alias("place")).join(F.broadcast(before), "part")
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c != column]
+    return placed.select(*kept, (F.col("before") + F.col("place")).alias(column))
 
 
 def chunks_of(pos: Column, size: int) -> Column:
