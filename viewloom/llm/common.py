@@ -1,34 +1,42 @@
-"""Shared pieces: where intermediate tables go, and small column helpers."""
+"""Shared pieces: what workers keep, and small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import platform
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import forget, materialize, shared_dir
+
+__all__ = ["SPACE", "forget", "held", "kept_in_worker", "materialize", "read", "released", "shared_dir", "stack", "words"]
+
 #: White space of the word rule, as a Java regular expression class body.
 SPACE = r" \t-\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+def released(batches: Iterator) -> Iterator:
+    """``batches``, after which the worker's freed memory goes back to the system: workers live on
+    between tasks, beside those of other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if platform.libc_ver()[0] == "glibc":
+        ctypes.CDLL(None).malloc_trim(0)
 
-    Only where the session names none (tests, a single machine) a local folder is set up.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='viewloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+
+_slot: dict[str, object] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later reads survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/viewloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def kept_in_worker(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` gives, kept between the tasks of a Python worker in its only slot, so that
+    stages that follow each other in one worker do not add up."""
+    if name not in _slot:
+        _slot.clear()
+        _slot[name] = build()
+    return _slot[name]
 
 
 def words(text: Column) -> Column:
@@ -36,13 +44,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def held(condition: Column) -> Column:
-    """``condition`` as a column by which rows can be filtered without Catalyst moving the filter below it.
+def held(value: Column) -> Column:
+    """``value`` as a column by which rows can be filtered without Catalyst moving the filter below it.
 
     A filter that moves through projections is written out by their expressions, once per use; over
     long chains of array functions that multiplies the work.
     """
-    return condition & (F.monotonically_increasing_id() >= 0)
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

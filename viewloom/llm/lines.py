@@ -60,7 +60,7 @@ def _deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     before = F.transform("gone", lambda g, j: F.slice("lines", begin(j) + 1, g.a - begin(j)))
     tail = begin(F.size("gone"))
     rest = F.slice("lines", tail + 1, F.greatest(F.size("lines") - tail, F.lit(0)))
-    out = out.select("row", "lines", F.when(F.col("gone").isNotNull(), F.concat(F.flatten(before), rest)).alias("kept"))
+    out = out.select("row", "lines", held(F.when(F.col("gone").isNotNull(), F.concat(F.flatten(before), rest))).alias("kept"))
     return out.select(
         "row", F.coalesce(F.array_join("kept", "\n"), old).alias("new"),
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
@@ -84,6 +84,6 @@ def keep_rest(docs: DataFrame) -> DataFrame:
     out = _deduped(docs)
     cut = F.col("n_removed") > 0
     empty = cut & ~F.coalesce(F.col("new"), F.lit("")).rlike(f"[^{SPACE}]")
-    out = out.withColumn("keep", held(~empty)).where("keep")
+    out = out.where(~empty)
     fresh = {"text": F.col("new"), "n_chars": F.when(cut, F.length("new")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)}
     return out.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

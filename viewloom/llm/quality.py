@@ -38,8 +38,8 @@ RULES = (
     Rule("repeat_words", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbol_heavy", "10 * n_symbols > 3 * n_words"),
     Rule("shouting", "2 * n_exclaims > n_words"),
-    Rule("capitals", "n_upper > 20 and n_upper > n_lower"),
-    Rule("long_words", "word_chars > 40 * n_words"),
+    Rule("capitals", "n_upper > 20 and 2 * n_upper > n_letters"),
+    Rule("long_words", "word_chars - n_unspaced > 40 * n_words"),
     Rule("repeat_lines", "2 * n_dup_lines > n_lines"),
 )
 POLICIES = (
@@ -48,6 +48,8 @@ POLICIES = (
     Policy("lenient", tuple(r.name for r in RULES), tolerated=1),
 )
 WINDOW = 5
+#: Letters of scripts that are written without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def mask(policy: Policy, rules: tuple[Rule, ...] = RULES) -> int:
@@ -62,7 +64,7 @@ def _windows(w: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The measurements of each row, in one pass without a shuffle.
+    """The measurements of each row, in one pass without a shuffle. Filters on them stay above them.
 
     Words in repeated windows: hashes that occur twice are found by sorting (hash, place), and the
     covered words are counted from the gaps between places, so the work is n log n in a text's words.
@@ -78,8 +80,9 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("_t", F.lit("!")).cast("long").alias("n_exclaims"),
-        F.length(F.regexp_replace("_t", "[^A-Z]+", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("_t", "[^a-z]+", "")).cast("long").alias("n_lower"),
+        F.length(F.regexp_replace("_t", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("_t", r"\P{L}+", "")).cast("long").alias("n_letters"),
+        F.regexp_count("_t", F.lit(UNSPACED)).cast("long").alias("n_unspaced"),
     )
     kept = [c for c in out.columns if c != "_w"]
     out = out.select(*kept, _windows(F.col("_w")).alias("_h"))
@@ -89,7 +92,7 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     twice = F.filter("_s", lambda s, i: (s.x == F.get("_s", i - 1).x) | (s.x == F.get("_s", i + 1).x))
     out = out.select(*kept, F.sort_array(F.transform(twice, lambda s: s.i)).alias("_p"))
     gaps = F.transform("_p", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", j + 1) - p, F.lit(WINDOW))))
-    return out.select(*kept, F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"))
+    return out.select(*kept, held(F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")).alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -142,5 +145,4 @@ def keep_good(docs: DataFrame, policy: Policy = POLICIES[1]) -> DataFrame:
     The measurements are taken beside each row, so no join and no shuffle is needed.
     """
     row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    judged = apply_policy(ledger(row, "_text", "_row"), policy)
-    return judged.withColumn("_keep", held(F.col("kept"))).where("_keep").select("_row.*")
+    return apply_policy(ledger(row, "_text", "_row"), policy).where("kept").select("_row.*")

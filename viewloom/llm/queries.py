@@ -91,9 +91,10 @@ with t as (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(t
 g as (select doc_id, p, w[p:p + 4] x from t, unnest(generate_series(1, len(w) - 4)) u(p) where len(w) >= 5),
 r as (select doc_id, count(distinct q) n from (select doc_id, p, count(*) over (partition by doc_id, x) c from g), unnest(generate_series(p, p + 4)) u(q) where c > 1 group by 1),
 m as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
-  coalesce(n, 0) n_repeat_words, len(regexp_extract_all(text, '!')) ex, length(regexp_replace(text, '[^A-Z]+', '', 'g')) up, length(regexp_replace(text, '[^a-z]+', '', 'g')) lo from t left join r using (doc_id)),
+  coalesce(n, 0) n_repeat_words, len(regexp_extract_all(text, '!')) ex, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) up, length(regexp_replace(text, '\P{{L}}+', '', 'g')) letters,
+  len(regexp_extract_all(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]')) unspaced from t left join r using (doc_id)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > 3 * n_words or 2 * ex > n_words or (up > 20 and up > lo) or word_chars > 40 * n_words) kept from b"""
+  not (base_failed or 10 * n_symbols > 3 * n_words or 2 * ex > n_words or (up > 20 and 2 * up > letters) or word_chars - unspaced > 40 * n_words) kept from b"""
 
 ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_warc": _OP3, "op4_licenses": _OP4, "op6_line_dedup": _OP6, "op9_jaccard": _OP9, "op10_quality_rules": _OP10}
