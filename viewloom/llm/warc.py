@@ -21,11 +21,12 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import materialize, shared_dir, stack
+from .common import materialize, released, shared_dir
 
 SKIPPABLE = 0x184D2A5D
 #: Uncompressed bytes of records per archive, of those kept to train on, and of a dictionary.
@@ -147,16 +148,16 @@ def resolve(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, uri: str) -> DataFrame:
     """Writes all pages to archives under ``uri``; returns the manifest, itself written there."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(uri)
         store.create_dir(base)
         seen = {"raw": 0, "n": 0}
 
         def records() -> Iterator[bytes]:
-            for b in batches:
-                for page, url, payload, top in zip(b["page_id"], stack(b["url"]), b["payload"], b["refers_to"], strict=True):
-                    page, top, payload = _whole(page), _whole(top), bytes(payload)
-                    r = record(page, url, payload, sha1(payload), top)
+            for b in released(batches):
+                for at in range(b.num_rows):
+                    page, url, payload, top = (b.column(c)[at].as_py() for c in ("page_id", "url", "payload", "refers_to"))
+                    r = record(page, url or "", payload, sha1(payload), top)
                     seen["raw"] += len(r)
                     seen["n"] += 1
                     yield r
@@ -174,48 +175,48 @@ def write(pages: DataFrame, uri: str) -> DataFrame:
                 for frame in frames(bounded(head)):
                     f.write(frame)
                 size = f.tell()
-            yield pd.DataFrame([(path, seen["n"], seen["raw"], size)], columns=["path", "records", "raw_bytes", "bytes"])
+            yield pa.RecordBatch.from_pydict({"path": [path], "records": [seen["n"]], "raw_bytes": [seen["raw"]], "bytes": [size]})
 
-    return materialize(resolve(pages).select("page_id", "url", "payload", "refers_to").mapInPandas(run, MANIFEST), "manifest")
+    return materialize(resolve(pages).select("page_id", "url", "payload", "refers_to").mapInArrow(run, MANIFEST), "manifest")
 
 
-READ = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+READ = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()),
+])
 
 
 def read(manifest: DataFrame, uri: str, tasks: int = 64) -> DataFrame:
     """The records of the manifest's archives; a response's payload is checked against its digest."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(store, path: str) -> Iterator[tuple]:
+        with store.open_input_stream(path) as f:
+            for raw in unframe(f):
+                h, n, payload = parse(raw)
+                digest, revisit = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "revisit"
+                if not revisit and (sha1(payload) != digest or len(payload) != n):
+                    raise ValueError(f"{path}: the payload of page {h['Page-Id']} is damaged")
+                page, top = (None if x in (None, "None") else int(x) for x in (h["Page-Id"], h.get("Refers-To-Page-Id")))
+                yield page, h["WARC-Target-URI"], h["WARC-Type"], top, digest, n, payload
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(uri)
-        for b in batches:
-            for path in b["path"]:
-                with store.open_input_stream(path) as f:
-                    rows, size = [], 0
-                    for raw in unframe(f):
-                        h, n, payload = parse(raw)
-                        digest, revisit = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "revisit"
-                        if not revisit and (sha1(payload) != digest or len(payload) != n):
-                            raise ValueError(f"{path}: the payload of page {h['Page-Id']} is damaged")
-                        ids = (None if x in (None, "None") else int(x) for x in (h["Page-Id"], h.get("Refers-To-Page-Id")))
-                        rows.append((next(ids), h["WARC-Target-URI"], h["WARC-Type"], next(ids), digest, n, payload))
-                        size += len(raw)
-                        if size > 8 << 20:
-                            yield _frame(rows)
-                            rows, size = [], 0
-                    if rows:
-                        yield _frame(rows)
-
-    return manifest.select("path").repartition(tasks, "path").mapInPandas(run, READ)
-
-
-def _whole(x: object) -> int | None:
-    """An id from a pandas column, which holds ids beside nulls as floats."""
-    return None if pd.isna(x) else int(x)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        for b in released(batches):
+            for path in b.column("path").to_pylist():
+                held, size = [], 0
+                for r in rows(store, path):
+                    held.append(r)
+                    size += 256 + len(r[-1])
+                    if size > 8 << 20:
+                        yield _batch(held)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held)
+
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, from_arrow_schema(READ))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
 
 
 def archive_uri(spark: SparkSession) -> str:
