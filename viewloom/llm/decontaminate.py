@@ -5,11 +5,11 @@ fewer) form one automaton. Each text is scanned once, in normalised form; matche
 places and from there to character offsets of the original text.
 
 The benchmark is measured first. Up to BLOCK_BYTES of it make one automaton; a larger one is cut by
-hash into blocks of that size, which follow each other over every batch of documents.
+hash into blocks of that size, and each block is a pass of its own over the documents.
 
 Defined results: null or empty text has no words and is clean; items without words match nothing;
 rows with equal item ids count as one item, null item ids as item "null"; repeated documents each get
-their row; extra columns are ignored; empty tables give clean or no rows.
+their row; extra columns are kept whatever their names; empty tables give clean or no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+from .common import forget, kept_in_worker, materialize, released
+
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+#: Bytes of text whose results are held at once.
+_CHUNK = 4 << 20
 #: A word in a text before it is lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of words stay, A-Z in lower case; all others become spaces. Bytes from 0x80 are in words.
@@ -83,51 +88,62 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in edge.reshape(-1, 2)]
 
 
-_matchers: dict[str, Matcher] = {}
-
-
-def _matcher(name: str, patterns) -> Matcher:
-    """The automaton of a broadcast, built once per Python worker; only the last one is kept."""
-    if name not in _matchers:
-        _matchers.clear()
-        _matchers[name] = Matcher(patterns.value)
-    return _matchers[name]
-
-
 MATCHED = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[dict[str, list[str]]]:
+def _scanned(docs: DataFrame, patterns: dict[str, list[str]], text: str, before: bool) -> DataFrame:
+    """(row, found): ``found`` as MATCHED, with what ``before`` says is in it already."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
+    kind = pa.struct(list(MATCHED.items()))
+    schema = StructType([docs.schema["row"], StructField("found", from_arrow_type(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = kept_in_worker(f"matcher {name}", lambda: Matcher(sent.value))
+        for b in released(batches):
+            rows = b.column("row")
+            texts = pc.fill_null(pc.struct_field(rows, text), "")
+            size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // _CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), len(texts)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                old = b.column("found").slice(lo, hi - lo).to_pylist() if before else [None] * (hi - lo)
+                found = []
+                for t, o in zip(texts.slice(lo, hi - lo).to_pylist(), old, strict=True):
+                    n, hit, items = matcher.match(t)
+                    if o:
+                        hit[o["hits"]] = True
+                        items = sorted({*items, *o["items"]})
+                    at = spans(t, hit)
+                    found.append({"n_words": n, "hits": np.flatnonzero(hit), "items": items, "starts": [x[0] for x in at], "ends": [x[1] for x in at]})
+                yield pa.RecordBatch.from_arrays([rows.slice(lo, hi - lo), pa.array(found, kind)], ["row", "found"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, dict[str, list[str]]]]:
+    """(how many follow, windows) of each block of items."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
     for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i) if n > 1 else items
-        yield windows([tuple(r) for r in part.collect()])
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else items
+        yield n - 1 - i, windows([tuple(r) for r in part.collect()])
 
 
 def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``n_words``, ``hits`` (places of hit words), ``items`` and the offsets ``starts`` and ``ends``
-    of the hit runs in the original text. Several blocks follow each other in the same tasks, without a shuffle."""
-    spark, out = docs.sparkSession, docs.withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    names = docs.columns
-    schema = StructType([*docs.schema.fields, *(StructField(n, from_arrow_type(t)) for n, t in MATCHED.items())])
-    for patterns in _blocks(benchmark, block_bytes):
-        sent, name = spark.sparkContext.broadcast(patterns), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(name, sent)
-            for b in batches:
-                rows = []
-                for t, hits, items in zip(b.column(text).to_pylist(), b.column("hits").to_pylist(), b.column("items").to_pylist(), strict=True):
-                    n, hit, found = matcher.match(t or "")
-                    hit[hits or []] = True
-                    at = spans(t or "", hit)
-                    rows.append((n, np.flatnonzero(hit), sorted({*found, *(items or [])}), [x[0] for x in at], [x[1] for x in at]))
-                columns = zip(*rows, strict=True) if rows else [()] * len(MATCHED)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(list(c), k) for c, k in zip(columns, MATCHED.values(), strict=True))], [*names, *MATCHED])
-
-        out = out.mapInArrow(run, schema)
+    """(row, found): each row of ``docs`` whole, and its ``n_words``, ``hits`` (places of hit words), ``items`` and
+    the offsets ``starts`` and ``ends`` of the hit runs in the original text.
+
+    One block of the benchmark is one scan without a shuffle. Of several, each is a pass of its own over the
+    rows that the one before has written, so driver and tasks hold one block at a time.
+    """
+    out, written = docs.select(F.struct(*docs.columns).alias("row")), None
+    for left, patterns in _blocks(benchmark, block_bytes):
+        out = _scanned(out, patterns, text, written is not None)
+        if left:
+            last, written = written, materialize(out, "scanned")
+            out = written
+            if last is not None:
+                forget(last)
     return out
 
 
@@ -137,7 +153,7 @@ def contaminated(n_hit, n_words):
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    m = match(docs.select("doc_id", "text"), benchmark)
+    m = match(docs.select("doc_id", "text"), benchmark).select("row.doc_id", "found.*")
     n_hit = F.size("hits").cast("long")
     return m.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -149,6 +165,4 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated; nothing is shuffled."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("body"))
-    m = match(row, benchmark, "body")
-    return m.where(~contaminated(F.size("hits"), F.col("n_words"))).select("row.*")
+    return match(docs, benchmark).where(~contaminated(F.size("found.hits"), F.col("found.n_words"))).select("row.*")
