@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -78,7 +79,9 @@ def test_decontamination_equals_brute_force(spark, block):
     docs = fx.documents(spark, [text, text.upper() + fx.prose(__import__("random").Random(1), 900)])
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     items = [("null" if i is None else i, t) for i, t in ITEMS]
-    for r in decontaminate.match(docs.select("doc_id", "text"), bench, block_bytes=block).collect():
+    found = decontaminate.match(docs, bench, block_bytes=block)
+    assert found.select("row.*").columns == docs.columns
+    for r in found.select("row.text", "found.*").collect():
         n, hit, which, _, _ = fx.hits(r["text"], items)
         assert (r["n_words"], len(r["hits"]), len(r["items"])) == (n, hit, which)
         for s, e in zip(r["starts"], r["ends"], strict=True):
@@ -110,6 +113,32 @@ def test_warc_round_trip(spark):
     assert sizes["sum(records)"] == len(pages) and sizes["sum(bytes)"] < sizes["sum(raw_bytes)"]
 
 
+def test_decontamination_of_empty_tables(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = fx.documents(spark)
+    assert decontaminate.report(docs.limit(0), bench).count() == 0
+    clean = decontaminate.report(docs, bench.limit(0)).collect()
+    assert len(clean) == docs.count() and not any(r["n_hit"] or r["n_items"] or r["contaminated"] for r in clean)
+
+
+BIG = 1 << 60
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    rows = [(BIG + 1, "a b c d e f token=abcdefgh"), (BIG + 3, "a b c d e f token=abcdefgh"), (None, "x"), (BIG + 5, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(BIG + 7, "c d"), (None, "q")], "item_id long, text string")
+    ids = sorted(d for d, _ in rows if d)
+    for f in (packing.packed, lambda d: decontaminate.report(d, bench), substrings.report, lines.report, sharding.shards, secrets.report, jaccard.report, quality.verdicts):
+        assert sorted(r["doc_id"] for r in f(docs).collect() if r["doc_id"]) == ids
+    assert {r["component_id"] for r in jaccard.report(docs).collect()} == {BIG + 1, BIG + 5, None}
+    files = docs.withColumn("path", F.concat(F.lit("a/"), F.col("doc_id").cast("string")))
+    assert sorted(r["doc_id"] for r in licenses.inherit(licenses.own_license(files)).collect() if r["doc_id"]) == ids
+    pages = spark.createDataFrame([(BIG + 1, "u", "same"), (BIG + 3, "u", "same"), (None, "u", "same"), (7, "u", "x")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {BIG + 1: ("revisit", BIG + 3), BIG + 3: ("response", None), None: ("revisit", BIG + 3), 7: ("response", None)}
+
+
 def test_warc_of_nothing_and_damage(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     with pytest.raises(ValueError, match="WARC"):
@@ -338,6 +367,20 @@ def test_quality_measurements_equal_brute_force(docs, by_id):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
 
 
+def test_filters_on_verdicts_end_on_long_texts(spark):
+    rng = __import__("random").Random(2)
+    rows = [(i, fx.prose(rng, 20_000 if i % 50 == 0 else 200)) for i in range(200)]
+    got = quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("kept").count() == 200 and got.where("base_failed").count() == 0 and got.where("n_repeat_words > 0").count() < 200
+
+
+def test_rules_of_other_scripts(spark):
+    rows = [(1, "Это обычный русский текст про ООН, НАТО, США, СНГ и ЕС " * 3 + "x y NATO USA UNESCO"), (2, "WHO NATO UNESCO UNICEF OPEC " + "هذا نص عربي عادي عن العالم والناس والمدن " * 12), (3, "今天天气很好我们去公园散步" * 9 + " 一 二 三 四 五 六 七 八 九"), (4, " ".join(f"LOUD WORDS NUMBER {i}" for i in range(20)))]
+    got = {r["doc_id"]: r["fail_bits"] for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bit = lambda name: 1 << [r.name for r in quality.RULES].index(name)
+    assert not any(got[d] & (bit("capitals") | bit("long_words")) for d in (1, 2, 3)) and got[4] & bit("capitals")
+
+
 def test_ablations_count_what_a_rule_costs(docs):
     entries = quality.ledger(docs).cache()
     for r in quality.ablations(entries).collect():
