@@ -71,6 +71,12 @@ def mi_after_adding(state: DataFrame, cells: DataFrame, candidates: DataFrame, p
     return joined.select("id", "pair", mi_from_sums(grown("nn", "cn"), grown("aa", "ca"), grown("bb", "cb"), F.col("n") + 1).alias("mi"))
 
 
+def co_assigned(assignments: DataFrame) -> DataFrame:
+    """(clustering, pairs): pairs of rows in one cluster, from the cluster sizes."""
+    n = assignments.groupBy("clustering", "centroid").agg(F.count("*").alias("n"))
+    return n.groupBy("clustering").agg(F.sum(pairs_of(F.col("n"))).alias("pairs"))
+
+
 def entropies(cells: DataFrame) -> DataFrame:
     """(pair, ha, hb): entropies of both marginals."""
 

@@ -107,11 +107,12 @@ def train(rows: DataFrame, k: int, epochs: int = 2, batches: int = 4, seed: int
     return model
 
 
-def whiten(rows: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame:
-    """Each dimension divided by its population deviation, without centring; d numbers are joined back."""
-    dev = rows.select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.stddev_pop(F.col("x").cast("double")).alias("s"))
-    all_dev = dev.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda p: p.s).alias("_s"))
-    return rows.crossJoin(F.broadcast(all_dev)).withColumn(vec, F.zip_with(vec, "_s", lambda x, s: F.try_divide(x.cast("double"), s))).drop("_s")
+def whiten(rows: DataFrame, by: str = "clustering", vec: str = "vec") -> DataFrame:
+    """Each dimension divided by its population deviation in its clustering, without centring; clusterings x d
+    numbers are joined back."""
+    dev = rows.select(by, F.posexplode(vec).alias("pos", "x")).groupBy(by, "pos").agg(F.stddev_pop(F.col("x").cast("double")).alias("s"))
+    all_dev = dev.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda p: p.s).alias("_s"))
+    return rows.join(F.broadcast(all_dev), by).withColumn(vec, F.zip_with(vec, "_s", lambda x, s: F.try_divide(x.cast("double"), s))).drop("_s")
 
 
 def principal(rows: DataFrame, n: int, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:

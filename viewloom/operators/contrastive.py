@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import affine, dot, normalized
+from . import ordering
 
 TEMPERATURE = 0.1
 
@@ -111,11 +112,19 @@ def score(rows: DataFrame, p: Projection) -> DataFrame:
     return rows.withColumn("pa", a).withColumn("pb", b).withColumn("score", dot(F.col("pa"), F.col("pb"))).drop("pa", "pb")
 
 
-def batch_loss(scores: DataFrame) -> DataFrame:
-    """The symmetric loss of one batch from its scores (a, b, s) of all pairs of the batch's ids."""
-    s = F.col("s") / TEMPERATURE
-    rows = scores.groupBy("a").agg(F.log(F.sum(F.exp(s))).alias("z"))
-    cols = scores.groupBy("b").agg(F.log(F.sum(F.exp(s))).alias("z"))
-    true = scores.where("a = b").agg(F.avg(s).alias("t"))
-    both = rows.agg(F.avg("z").alias("za")).crossJoin(cols.agg(F.avg("z").alias("zb"))).crossJoin(true)
-    return both.select((((F.col("za") + F.col("zb")) / 2) - F.col("t")).alias("loss"))
+def batched(rows: DataFrame, size: int, seed: int = 0, buckets: int = 1024) -> DataFrame:
+    """``rows`` with ``batch``: every ``size`` rows in md5(seed-id) order make one."""
+    drawn = ordering.numbered(rows.withColumn("_draw", ordering.draw(seed)), ["_draw", "id"], "_pos", buckets)
+    return drawn.withColumn("batch", ordering.chunks_of(F.col("_pos"), size)).drop("_draw", "_pos")
+
+
+def batch_losses(rows: DataFrame) -> DataFrame:
+    """(batch, n, loss): the symmetric loss of each batch of (id, va, vb) without a projection; a batch is one task's group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (_unit(np.stack(pdf[c].to_list()).astype(float))[0] for c in ("va", "vb"))
+        s = a @ b.T / TEMPERATURE
+        z = [np.log(np.exp(x - x.max(1, keepdims=True)).sum(1)) + x.max(1) for x in (s, s.T)]
+        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "n": [len(pdf)], "loss": [(z[0].mean() + z[1].mean()) / 2 - np.diag(s).mean()]})
+
+    return rows.select("batch", "va", "vb").groupBy("batch").applyInPandas(run, "batch long, n long, loss double")

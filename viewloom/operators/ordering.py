@@ -87,6 +87,29 @@ def split_by_class(df: DataFrame, label: str, ratio: float, order: list[Column |
     return df.withColumn("is_train", rank <= F.bround(size * F.lit(ratio)))
 
 
+def class_numbers(df: DataFrame, by: str, column: str = "label") -> DataFrame:
+    """``df`` with the number of each row's class, classes numbered from 0 in name order.
+
+    There may be as many classes as rows, so Spark chooses the join by their size.
+    """
+    classes = numbered(df.select(by).distinct(), [by], column, buckets=8)
+    return df.join(classes, by)
+
+
+def folds(df: DataFrame, stem: str, held_out: int) -> DataFrame:
+    """``fold``, ``label`` and ``is_train`` from names of the form fold-...-label."""
+    fold = F.split_part(stem, F.lit("-"), F.lit(1)).cast("int")
+    return df.withColumns({"fold": fold, "label": F.regexp_extract(stem, "-([^-]*)$", 1), "is_train": fold != held_out})
+
+
+def merged_scores(parts: list[DataFrame], keys: list[str], score: str = "score") -> DataFrame:
+    """The union of scored parts with the best score of each key, combined before the shuffle."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(*keys).agg(F.max(score).alias(score))
+
+
 def without_remainder(shards: DataFrame, key: str, parts: int) -> DataFrame:
     """Shards in name order, as many as ``parts`` divides; their number is counted first."""
     n = shards.count()

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import agreement, ordering
 from .pairing import Pair
 
 
@@ -178,6 +179,19 @@ def start_rows(kind: str, rows: np.ndarray, labels: np.ndarray | None = None) ->
     return out
 
 
+def chunked(rows: DataFrame, size: int, seed: int = 98052, buckets: int = 1024) -> DataFrame:
+    """``rows`` with ``chunk``: every ``size`` rows in md5(seed-id) order make one, however many there are."""
+    drawn = ordering.numbered(rows.withColumn("_draw", ordering.draw(seed)), ["_draw", "id"], "_pos", buckets)
+    return drawn.withColumn("chunk", ordering.chunks_of(F.col("_pos"), size)).drop("_draw", "_pos")
+
+
+def step_scores(selected: DataFrame, candidates: DataFrame, pairs: list[Pair]) -> DataFrame:
+    """(id, score): the mean MI over pairs after adding each candidate alone, scored as one aggregation over the
+    counts of the selected rows."""
+    have = agreement.contingency(selected, pairs)
+    return agreement.mi_after_adding(agreement.sums(have), have, candidates, pairs).groupBy("id").agg(F.avg("mi").alias("score"))
+
+
 def select(rows: DataFrame, pairs: list[Pair], ratio: float, chunk: str = "chunk", measure: str = "mi", strategy: str = "batch", start: str = "zero", seed: int = 98052, **options) -> DataFrame:
     """(chunk, id, rank, score): ``ratio`` of each chunk's rows (id, a), chosen independently of other chunks.
 

@@ -25,6 +25,12 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", "label", F.explode(cut).alias("f")).select("id", "label", "f.clustering", F.col("f.vec").cast("array<double>").alias("vec"))
 
 
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(id, label, clustering, vec): whole vectors, as one clustering named all."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), "label", F.lit("all").alias("clustering"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
 def label_centers(rows: DataFrame) -> DataFrame:
     """(clustering, k, center): the mean vector of each label, as deterministic centres."""
     each = rows.select("clustering", F.col("label").alias("k"), F.posexplode("vec").alias("pos", "x")).groupBy("clustering", "k", "pos").agg(F.avg("x").alias("c"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import clips, contrastive, evaluation, retrieval
-from .base import ASSIGN_SQL, CENTERS_SQL, VIEWS_SQL, features, label_centers, table, views
+from .base import ASSIGN_SQL, VIEWS_SQL, label_centers, table, vectors, views
 from .registry import query
 
 _TWO = "tw as (select 'a' \"view\", vec_id id, label from embeddings where vec_id % 3 <> 0 union all select 'b', vec_id, label from embeddings where vec_id % 4 <> 0 and label <> 9)"
@@ -120,15 +120,13 @@ def contrastive_score(spark, d):
     return contrastive.score(views(spark, d), _weights()).select("id", F.round("score", 6).alias("score"))
 
 
-@query("infonce_loss", f"""with {VIEWS_SQL}, s as (select x.id a, y.id b, list_inner_product(x.va, y.vb) / sqrt(list_inner_product(x.va, x.va)) / sqrt(list_inner_product(y.vb, y.vb)) s from vw x, vw y where x.id < 64 and y.id < 64),
-  za as (select ln(sum(exp(s / 0.1))) z from s group by a), zb as (select ln(sum(exp(s / 0.1))) z from s group by b)
-  select round(((select avg(z) from za) + (select avg(z) from zb)) / 2 - (select avg(s / 0.1) from s where a = b), 6) loss""")
+@query("infonce_loss", f"""with {VIEWS_SQL}, n as (select *, (row_number() over (order by md5('0-' || id), id) - 1) // 128 batch from vw),
+  s as (select batch, x.id a, y.id b, list_inner_product(x.va, y.vb) / sqrt(list_inner_product(x.va, x.va)) / sqrt(list_inner_product(y.vb, y.vb)) s from n x join n y using (batch)),
+  za as (select batch, avg(z) z from (select batch, a, ln(sum(exp(s / 0.1))) z from s group by all) group by batch), zb as (select batch, avg(z) z from (select batch, b, ln(sum(exp(s / 0.1))) z from s group by all) group by batch),
+  t as (select batch, avg(s / 0.1) t, count(*) n from s where a = b group by batch)
+  select batch, n, round((za.z + zb.z) / 2 - t, 6) loss from za join zb using (batch) join t using (batch)""")
 def infonce_loss(spark, d):
-    from ..functions.vectors import cosine
-
-    v = views(spark, d).where("id < 64")
-    s = v.select(F.col("id").alias("a"), "va").crossJoin(F.broadcast(v.select(F.col("id").alias("b"), "vb"))).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s"))
-    return contrastive.batch_loss(s).select(F.round("loss", 6).alias("loss"))
+    return contrastive.batch_losses(contrastive.batched(views(spark, d), 128, buckets=8)).withColumn("loss", F.round("loss", 6))
 
 
 @query("contrastive_train")
@@ -138,13 +136,14 @@ def contrastive_train(spark, d):
     return contrastive.score(rows, p).select("id", "score")
 
 
-_SCORES = CENTERS_SQL + """, sc as (select f.id, any_value(f.label) label, c.k "class", round(-sum((f.x - c.c) * (f.x - c.c)), 6) score from features f join centers c using (clustering, pos) where clustering = 'a_layer0' group by f.id, c.k)"""
+_SCORES = """e as (select vec_id id, label, unnest(generate_series(0, 63)) pos, unnest(embedding)::double x from embeddings), c0 as (select label "class", pos, avg(x) c from e group by all),
+  sc as (select id, any_value(label) label, "class", round(-sum((x - c) * (x - c)), 6) score from e join c0 using (pos) group by id, "class")"""
 
 
 def _scores(spark, d):
     from ..functions.vectors import l2
 
-    rows = features(spark, d).where("clustering = 'a_layer0'")
+    rows = vectors(spark, d)
     centers = label_centers(rows).select(F.col("k").alias("class"), "center")  # one per label
     return rows.crossJoin(F.broadcast(centers)).select("id", "label", "class", F.round(l2(F.col("vec"), F.col("center")), 6).alias("score"))
 
@@ -220,7 +219,7 @@ def json_lines(spark, d):
     return line.select(F.get_json_object("line", "$.o_orderkey").cast("bigint").alias("o_orderkey"), F.get_json_object("line", "$.priority").alias("priority"))
 
 
-_PAIRSIM = "cl as (select label video, vec_id clip, embedding[1:32]::double[] v from embeddings where vec_id % 10 = 1)"
+_PAIRSIM = "cl as (select vec_id // 10 video, vec_id clip, embedding[1:32]::double[] v from embeddings)"
 
 
 @query("clip_similarity", f"with {_PAIRSIM} select x.video, x.clip a, y.clip b, round(list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v)) / sqrt(list_inner_product(y.v, y.v)), 6) score from cl x join cl y on x.video = y.video and x.clip < y.clip")
@@ -231,7 +230,7 @@ def clip_similarity(spark, d):
 def _clip_pairs(spark, d):
     from ..functions.vectors import cosine
 
-    c = table(spark, d, "embeddings").where("vec_id % 10 = 1").select(F.col("label").alias("video"), F.col("vec_id").alias("clip"), F.slice("embedding", 1, 32).cast("array<double>").alias("vec"))
+    c = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("video"), F.col("vec_id").alias("clip"), F.slice("embedding", 1, 32).cast("array<double>").alias("vec"))
     return clips.similar_pairs(c, cosine)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import agreement, clustering, pairing, selection
-from .base import ASSIGN_SQL, CELLS_SQL, CENTERS_SQL, FEATURES_SQL, NAMES, PAIRS, WIDTH, assignments, features, models, table, wide
+from .base import ASSIGN_SQL, CELLS_SQL, CENTERS_SQL, FEATURES_SQL, NAMES, PAIRS, WIDTH, assignments, features, models, table, vectors, wide
 from .registry import query
 
 _MI = CELLS_SQL + ", mi as (select pair, sum(n / t * (ln(n) + ln(t) - ln(a) - ln(b))) mi from marg group by pair)"
@@ -38,14 +38,18 @@ def assign_discount(spark, d):
     return clustering.assign(rows.select("id", "clustering", "vec"), found, discount=True).select("id", "clustering", "centroid")
 
 
-@query("sgd_step", f"""with {CENTERS_SQL}, dist as (select f.id, c.k, sum((f.x - c.c) * (f.x - c.c)) d from features f join centers c using (clustering, pos) where clustering = 'a_layer0' and f.id % 2 = 0 group by all),
+_WHOLE = """e as (select vec_id id, label, unnest(generate_series(0, 63)) pos, unnest(embedding)::double x from embeddings),
+  c0 as (select label k, pos, avg(x) c from e group by all)"""
+
+
+@query("sgd_step", f"""with {_WHOLE}, dist as (select id, k, sum((x - c) * (x - c)) d from e join c0 using (pos) group by all),
   near as (select id, k from (select *, row_number() over (partition by id order by d, k) rn from dist) where rn = 1),
-  cnt as (select k, count(*) n from near group by k), mean as (select k, pos, avg(x) m from near join features using (id) where clustering = 'a_layer0' group by all)
-  select k, pos, round(c + coalesce(greatest(0.01, n / (n + 1.0)), 0) * coalesce(m - c, 0), 6) x, 1 + coalesce(n, 0) n from centers left join cnt using (k) left join mean using (k, pos) where clustering = 'a_layer0'""")
+  cnt as (select k, count(*) n from near group by k), mean as (select k, pos, avg(x) m from near join e using (id) group by all)
+  select k, pos::bigint pos, round(c + coalesce(greatest(0.01, n / (n + 1.0)), 0) * coalesce(m - c, 0), 6) x, 1 + coalesce(n, 0) n from c0 left join cnt using (k) left join mean using (k, pos)""")
 def sgd_step(spark, d):
-    rows = features(spark, d).where("clustering = 'a_layer0'")
-    model = models(rows)["a_layer0"]
-    sums, counts, _ = clustering.gather(rows.where("id % 2 = 0"), model, discount=False)
+    rows = vectors(spark, d)
+    model = models(rows)["all"]
+    sums, counts, _ = clustering.gather(rows, model, discount=False)
     new = clustering.step(model, sums, counts, 0.01)
     data = [(k, c.tolist(), int(n)) for k, (c, n) in enumerate(zip(new.centers, new.counts, strict=True))]
     out = spark.createDataFrame(data, "k int, center array<double>, n long")
@@ -53,10 +57,9 @@ def sgd_step(spark, d):
 
 
 @query("whiten", f"""with {FEATURES_SQL}, s as (select clustering, pos, stddev_pop(x) s from features group by all)
-  select id, clustering, pos, round(x / nullif(s, 0), 6) x from features join s using (clustering, pos) where clustering = 'b_layer2'""")
+  select id, clustering, pos, round(x / nullif(s, 0), 6) x from features join s using (clustering, pos)""")
 def whiten(spark, d):
-    rows = features(spark, d).where("clustering = 'b_layer2'")
-    out = clustering.whiten(rows)
+    out = clustering.whiten(features(spark, d), by="clustering")
     return out.select("id", "clustering", F.posexplode("vec").alias("pos", "x")).select("id", "clustering", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
@@ -103,8 +106,7 @@ def contingency_orders(spark, d):
 
 @query("co_assigned", f"with {ASSIGN_SQL}, c as (select clustering, k, count(*) n from assigned group by all) select clustering, sum(n * (n - 1) / 2) pairs from c group by 1")
 def co_assigned(spark, d):
-    n = assignments(spark, d).groupBy("clustering", "centroid").agg(F.count("*").alias("n"))
-    return n.groupBy("clustering").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    return agreement.co_assigned(assignments(spark, d))
 
 
 @query("mi", f"with {_MI} select pair, round(mi, 6) mi from mi")
@@ -112,16 +114,20 @@ def mi(spark, d):
     return agreement.mutual_information(cells(spark, d)).select("pair", F.round("mi", 6).alias("mi"))
 
 
-@query("mi_incremental", f"""with {CELLS_SQL.replace('join assigned x on x.clustering = c1', 'join assigned x on x.clustering = c1 and x.id % 5 <> 0')},
-  cand as (select x.id, pair, x.k i, y.k j from pairs join assigned x on x.clustering = c1 join assigned y on y.clustering = c2 and y.id = x.id where x.id % 50 = 0),
-  grown as (select c.id, c.pair, m.i, m.j, m.n from cand c join cells m using (pair) union all select id, pair, i, j, 1 from cand),
-  g as (select id, pair, i, j, sum(n) n from grown group by all), gm as (select *, sum(n) over (partition by id, pair, j) a, sum(n) over (partition by id, pair, i) b, sum(n) over (partition by id, pair) t from g)
-  select id, pair, round(sum(n / t * (ln(n) + ln(t) - ln(a) - ln(b))), 6) mi from gm group by id, pair""")
+_ADDED = f"""with {CELLS_SQL}, sel as (@selected), held as (select pair, x.k i, y.k j, count(*) n from pairs join assigned x on x.clustering = c1 join assigned y on y.clustering = c2 and y.id = x.id where x.id in (select id from sel) group by all),
+  ha as (select pair, j, sum(n) a from held group by all), hb as (select pair, i, sum(n) b from held group by all), f as (select 0 v),
+  tot as (select pair, sum(n)::double n, sum(n * ln(n)) nn from held group by pair), ta as (select pair, sum(a * ln(a)) aa from ha group by pair), tb as (select pair, sum(b * ln(b)) bb from hb group by pair),
+  cand as (select x.id, pair, x.k i, y.k j from pairs join assigned x on x.clustering = c1 join assigned y on y.clustering = c2 and y.id = x.id where @candidates),
+  st as (select id, pair, tot.n + 1 n, nn, aa, bb, coalesce(held.n, 0) c, coalesce(a, 0) a, coalesce(b, 0) b from cand join tot using (pair) join ta using (pair) join tb using (pair) left join held using (pair, i, j) left join ha using (pair, j) left join hb using (pair, i)),
+  added as (select id, pair, (nn + (c + 1) * ln(c + 1) - c * ln(greatest(c, 1)) - aa - (a + 1) * ln(a + 1) + a * ln(greatest(a, 1)) - bb - (b + 1) * ln(b + 1) + b * ln(greatest(b, 1))) / n + ln(n) mi from st)"""
+
+
+@query("mi_incremental", _ADDED.replace("@selected", "select distinct id from assigned").replace("@candidates", "true") + " select id, pair, round(mi, 6) mi from added")
 def mi_incremental(spark, d):
+    """Every row as if it were added once more to the counts of all rows."""
     rows = wide(spark, d)
-    have = agreement.contingency(rows.where("id % 5 <> 0"), PAIRS)
-    out = agreement.mi_after_adding(agreement.sums(have), have, rows.where("id % 50 = 0"), PAIRS)
-    return out.select("id", "pair", F.round("mi", 6).alias("mi"))
+    have = agreement.contingency(rows, PAIRS)
+    return agreement.mi_after_adding(agreement.sums(have), have, rows, PAIRS).select("id", "pair", F.round("mi", 6).alias("mi"))
 
 
 @query("entropy", f"with {_ENT} select pair, round(ha, 6) ha, round(hb, 6) hb from ha join hb using (pair)")
@@ -200,20 +206,17 @@ def closest_cluster(spark, d):
     return agreement.closest_cluster(_profile(spark, d))
 
 
-_STEP = f"""with {CELLS_SQL.replace('join assigned x on x.clustering = c1', 'join assigned x on x.clustering = c1 and x.id < 100')},
-  cand as (select x.id, pair, x.k i, y.k j from pairs join assigned x on x.clustering = c1 join assigned y on y.clustering = c2 and y.id = x.id where x.id between 100 and 119),
-  grown as (select c.id, c.pair, m.i, m.j, m.n from cand c join cells m using (pair) union all select id, pair, i, j, 1 from cand),
-  g as (select id, pair, i, j, sum(n) n from grown group by all), gm as (select *, sum(n) over (partition by id, pair, j) a, sum(n) over (partition by id, pair, i) b, sum(n) over (partition by id, pair) t from g),
-  s as (select id, pair, sum(n / t * (ln(n) + ln(t) - ln(a) - ln(b))) mi from gm group by id, pair)
-  select id, round(avg(mi), 6) score from s group by id"""
+_STEP = _ADDED.replace("@selected", "select min(vec_id) id from embeddings group by label").replace("@candidates", "x.id not in (select id from sel)") + " select id, round(avg(mi), 6) score from added group by id"
 
 
 @query("greedy_step_scores", _STEP)
 def greedy_step_scores(spark, d):
+    """The first step after a start of one row per class: the scores of all other rows."""
+    from ..operators.retrieval import start_per_class
+
     rows = wide(spark, d)
-    have = agreement.contingency(rows.where("id < 100"), PAIRS)
-    out = agreement.mi_after_adding(agreement.sums(have), have, rows.where("id between 100 and 119"), PAIRS)
-    return out.groupBy("id").agg(F.round(F.avg("mi"), 6).alias("score"))
+    start = start_per_class(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")).select("id")  # one per class
+    return selection.step_scores(rows.join(start, "id", "left_semi"), rows.join(start, "id", "left_anti"), PAIRS).withColumn("score", F.round("score", 6))
 
 
 @query("batch_step_topk", f"select id, score from (select *, row_number() over (order by score desc, id) rn from ({_STEP})) where rn <= 4")
@@ -224,7 +227,7 @@ def batch_step_topk(spark, d):
 
 
 def _chunks(spark, d):
-    return wide(spark, d).withColumn("chunk", F.col("id") % 4)
+    return selection.chunked(wide(spark, d), 500, buckets=8)
 
 
 @query("greedy_select_batch")
@@ -249,14 +252,13 @@ def greedy_select_pair_measure(spark, d):
 
 @query("kmeans_train")
 def kmeans_train(spark, d):
-    rows = features(spark, d).where("clustering = 'a_layer3'").select("id", "vec")
-    model = clustering.train(rows, 8)
-    return clustering.assign(rows.withColumn("clustering", F.lit("a_layer3")), {"a_layer3": model}, discount=True)
+    rows = vectors(spark, d).select("id", "clustering", "vec")
+    return clustering.assign(rows, {"all": clustering.train(rows, 8)}, discount=True)
 
 
 @query("kmeans_multi_k")
 def kmeans_multi_k(spark, d):
-    rows = features(spark, d).where("clustering = 'b_layer0'").select("id", "vec")
+    rows = vectors(spark, d).select("id", "vec")
     found = {f"k{k}": clustering.train(rows, k, epochs=1) for k in (4, 8)}
     each = rows.select("id", "vec", F.explode(F.array(*map(F.lit, found))).alias("clustering"))
     return clustering.assign(each, found).groupBy("clustering", "centroid").agg(F.count("*").alias("n"))

@@ -144,10 +144,10 @@ def shard_complete(spark, d):
     return records.complete_shards(m.where("doc_id % 97 <> 5"), m.groupBy("shard_name").agg(F.count("*").alias("shard_size")), 0.99)
 
 
-@query("shard_partition", """with logs as (select o_orderkey % 50 part, o_orderdate::varchar ts, o_custkey % 40 s from orders where o_custkey % 3 = 0),
+@query("shard_partition", """with logs as (select o_orderkey % 50 part, o_orderdate::varchar ts, o_custkey % 40 s from orders),
   latest as (select s, arg_max(part, (ts, part)) p from logs group by s) select n_nationkey shard_name, coalesce(p, -1) "partition" from nation left join latest on s = n_nationkey""")
 def shard_partition(spark, d):
-    logs = table(spark, d, "orders").where("o_custkey % 3 = 0").select((F.col("o_orderkey") % 50).alias("partition"), F.col("o_orderdate").cast("string").alias("timestamp"), F.array(F.col("o_custkey") % 40).alias("shards"))
+    logs = table(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("partition"), F.col("o_orderdate").cast("string").alias("timestamp"), F.array(F.col("o_custkey") % 40).alias("shards"))
     return records.shard_partitions(table(spark, d, "nation").select(F.col("n_nationkey").alias("shard_name")), logs)
 
 
@@ -226,8 +226,7 @@ def per_file_topk(spark, d):
 @query("merge_scored", "select l_returnflag, l_partkey, max(l_quantity) score from lineitem group by all")
 def merge_scored(spark, d):
     li = table(spark, d, "lineitem").select("l_returnflag", "l_partkey", F.col("l_quantity").alias("score"))
-    a, b = li.where("l_returnflag = 'A'"), li.where("l_returnflag <> 'A'")
-    return a.unionByName(b).groupBy("l_returnflag", "l_partkey").agg(F.max("score").alias("score"))
+    return ordering.merged_scores([li.where("l_returnflag = 'A'"), li.where("l_returnflag <> 'A'")], ["l_returnflag", "l_partkey"])
 
 
 @query("chunking", "select vec_id, (row_number() over (order by vec_id) - 1) // 64 by_size, (row_number() over (order by vec_id) - 1) // ceil(count(*) over () / 7)::bigint by_parts from embeddings")
@@ -255,20 +254,16 @@ def split_train_test(spark, d):
     return ordering.split_by_class(table(spark, d, "embeddings").select("vec_id", "label"), "label", 0.75, ["vec_id"]).select("vec_id", "is_train")
 
 
-@query("class_index", "select doc_id, dense_rank() over (order by source) - 1 label, clip from documents, (select unnest(generate_series(0, 2)) clip) where doc_id % 11 = 0")
+@query("class_index", "select doc_id, dense_rank() over (order by source) - 1 label, clip from documents, (select unnest(generate_series(0, 2)) clip)")
 def class_index(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 11 = 0").select("doc_id", "source")
-    from pyspark.sql import Window as W
-
-    classes = docs.select("source").distinct().withColumn("label", F.dense_rank().over(W.orderBy("source")) - 1)
-    return docs.join(F.broadcast(classes), "source").select("doc_id", "label", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("clip"))
+    found = ordering.class_numbers(table(spark, d, "documents").select("doc_id", "source"), "source")
+    return found.select("doc_id", "label", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("clip"))
 
 
 @query("fold_split", "select doc_id, (doc_id % 5) + 1 fold, regexp_extract(stem, '-([^-]*)$', 1) label, split_part(stem, '-', 1)::int <> 2 is_train from (select doc_id, ((doc_id % 5) + 1) || '-' || doc_id || '-' || source stem from documents)")
 def fold_split(spark, d):
     s = F.concat_ws("-", (F.col("doc_id") % 5 + 1).cast("string"), F.col("doc_id").cast("string"), "source")
-    docs = table(spark, d, "documents").select("doc_id", s.alias("stem"))
-    return docs.select("doc_id", (F.col("doc_id") % 5 + 1).alias("fold"), F.regexp_extract("stem", "-([^-]*)$", 1).alias("label"), (F.split_part("stem", F.lit("-"), F.lit(1)).cast("int") != 2).alias("is_train"))
+    return ordering.folds(table(spark, d, "documents").select("doc_id", s.alias("stem")), "stem", 2).select("doc_id", F.col("fold").cast("bigint").alias("fold"), "label", "is_train")
 
 
 @query("drop_remainder", "select shard from (select distinct source shard from documents) order by shard limit (select count(distinct source) // 7 * 7 from documents)")
