@@ -147,18 +147,51 @@ def test_warc_of_nothing_and_damage(spark):
         warc.parse(warc.record(1, "u", b"abc", warc.sha1(b"abc"), None)[:-3])
 
 
+def _template(name, i=0):
+    return licenses.TEMPLATES[name][i]
+
+
 def test_license_scan(spark):
+    wrapped = "import x\n# Licensed under the Apache\n# License, Version 2.0.\nprint(1)"
+    header = "/*\n * Copyright 2020 Someone\n *\n * " + _template("Apache-2.0", 2).replace(" may", "\n * may").replace(" You", "\n * You") + "\n *\n *     http://x.org/\n */\nint main() {}\n"
+    body = "MIT License\n\nCopyright (c) 2021 A. Person\n\n" + "\n\n".join(_template("MIT", 2).replace("files (the", "files (the\n").split(": ")) + "\n"
     files = [
-        (1, "a/LICENSE", licenses.TEMPLATES["MIT"]), (2, "a/b/c/code.py", "print"), (3, "a/b/x.py", "/* " + licenses.TEMPLATES["Apache-2.0"] + " */"),
-        (4, "z/y.py", None), (5, "LICENSE.md", licenses.TEMPLATES["GPL-3.0"]), (6, None, ""), (7, "a/b/LICENSE", "nothing here"), (8, "z/y.py", "long " * 5000 + "\n" + licenses.TEMPLATES["CC-BY-NC-4.0"]),
+        (1, "a/LICENSE", _template("MIT")), (2, "a/b/c/code.py", "print"), (3, "a/b/x.py", "/* " + _template("Apache-2.0") + " */"),
+        (4, "z/y.py", None), (5, "LICENSE.md", _template("GPL-3.0")), (6, None, ""), (7, "a/b/LICENSE", "nothing here"), (8, "z/y.py", "long " * 5000 + "\n" + _template("CC-BY-NC-4.0")),
+        (9, "w/x.py", wrapped), (10, "w/y.c", header), (11, "m/LICENSE-MIT.txt", body), (12, "m/sub/q.py", "pass"), (13, "g/COPYING", _template("GPL-2.0") + "\n\n" + "Preamble of the text. " * 900),
+        (14, "r/x.py", "Released under the\n\n\nMIT\n\nLicense."), (15, "e/LICENSE", "\n" * 50_000 + _template("Zlib") + "\n" * 50_000), (16, "t/x.py", _template("AGPL-3.0", 1)), (17, "t/y.py", _template("GPL-3.0", 2)), (18, "t/z.py", "software license permission notice " * 40),
     ]
-    df = spark.createDataFrame(files, "doc_id long, path string, text string")
-    got = {r["doc_id"]: (r["own_license"], r["license"], r["license_from"]) for r in licenses.inherit(licenses.own_license(df)).collect()}
+    df = spark.createDataFrame([(*f, 1, 2, 3) for f in files], "doc_id long, path string, text string, row int, dir int, best int")
+    out = licenses.inherit(licenses.own_license(df))
+    assert out.columns == [*df.columns, "own_license", "own_score", "license", "license_from"]
+    got = {r["doc_id"]: (r["own_license"], r["license"], r["license_from"]) for r in out.collect()}
     assert got[2] == (None, "MIT", "a") and got[3][0] == "Apache-2.0" and got[4] == (None, "GPL-3.0", "")
     assert got[6] == (None, None, None) and got[7] == (None, "MIT", "a") and got[8] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", "own")
+    assert [got[d][0] for d in (9, 10, 11, 13, 14, 15, 16, 17, 18)] == ["Apache-2.0", "Apache-2.0", "MIT", "GPL-2.0", "MIT", "Zlib", "AGPL-3.0", "GPL-3.0", None]
+    assert got[12] == (None, "MIT", "m")
     assert licenses.inherit(licenses.own_license(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_template_is_found_in_a_comment(name):
+    """Each template, wrapped at 70 characters and marked as a comment, is one paragraph whose best template is its own license's."""
+    import textwrap
+
+    kinds = licenses.vocabulary(licenses.TEMPLATES)
+    for text in licenses.TEMPLATES[name]:
+        said = collections.Counter(t for t in re.split("[^0-9a-z]+", "\n".join(f"# {x}" for x in textwrap.wrap(text, 70)).lower()) if t)
+        dot = lambda a, b: sum(n * b[v] for v, n in a.items())
+        cos = [(dot(said, tf) / (dot(said, said) * dot(tf, tf)) ** 0.5, n) for n, tf in kinds]
+        assert max(cos)[0] > 0.999 and name in {n for c, n in cos if c == max(cos)[0]}
+
+
+def test_license_ties_and_repeated_rows(spark):
+    rows = [(1, "d/LICENSE", _template("MIT")), (2, "d/COPYING", _template("Apache-2.0")), (3, "d/x", ""), (3, "d/x", ""), (None, "d/y", None), (None, None, _template("MIT"))]
+    out = licenses.inherit(licenses.own_license(spark.createDataFrame(rows, "doc_id long, path string, text string"))).collect()
+    assert len(out) == len(rows) and {r["license"] for r in out if r["path"] and r["path"][2] in "xy"} == {"MIT"}
+    assert [r["license"] for r in out if r["path"] is None] == ["MIT"]
+
+
 def test_substring_dedup_equals_brute_force(docs, by_id):
     seen, later = {}, collections.defaultdict(set)
     for d in sorted(by_id):

@@ -7,9 +7,12 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
+sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
 
 import fixtures as fx  # noqa: E402
 
+from viewloom.llm.queries import ORACLE, QUERIES  # noqa: E402
+
 
 def test_pipeline_equals_brute_force(spark, data):
     import corpus_pipeline
@@ -45,18 +48,12 @@ COLUMNS = {
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query_columns(spark, data, name):
-    from viewloom.llm.queries import QUERIES
-
     q = next(f for k, f in QUERIES.items() if k.startswith(f"{name}_"))
     assert q(spark, data).columns == COLUMNS[name].split()
 
 
-def test_queries_equal_sql(spark, data):
-    sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, data, name):
     from compare import connect, same
 
-    from viewloom.llm.queries import ORACLE, QUERIES
-
-    con = connect(data)
-    for name, sql in ORACLE.items():
-        same(QUERIES[name](spark, data), con, sql)
+    same(QUERIES[name](spark, data), connect(data), ORACLE[name])

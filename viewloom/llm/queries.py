@@ -44,23 +44,26 @@ from p"""
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^0-9a-z]+'), lambda x: x <> '')"
 
-_OP4 = f"""
-with t(name, txt) as (values {", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())}),
-voc as (select name, v, count(*) n from (select name, unnest({_TOKENS.format("txt")}) v from t) group by all),
+_TEXTS = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate((n, t) for n, texts in sorted(licenses.TEMPLATES.items()) for t in texts))
+
+#: The templates' texts are values that both sides share; the rule is written out. Every run, paragraph and license file is scored here.
+_OP4 = rf"""
+with t(i, name, txt) as (values {_TEXTS}),
+voc as (select i, v, count(*) n from (select i, unnest({_TOKENS.format("txt")}) v from t) group by all),
 idf as (select v, ln((1 + (select count(*) from documents)) / (1 + coalesce(df, 0))) + 1.0 idf from (select distinct v from voc)
   left join (select v, count(*) df from (select distinct doc_id, unnest({_TOKENS.format("text")}) v from documents) group by v) using (v)),
-w as (select name, v, n * idf w from voc join idf using (v)),
-len as (select name, sum(w * w) tot from w group by name),
-cum as (select name, v, tot, sum(w * w) over (partition by name order by w * w desc, v desc rows between unbounded preceding and 1 preceding) prev from w join len using (name)),
-marks as (select list(distinct v) m from cum where prev is null or 1 - prev / tot >= {licenses.THRESHOLD**2 - 1e-9}),
-l as (select doc_id, i, {_TOKENS.format("x")} tk from (select doc_id, string_split(text, E'\\n') ls from documents), unnest(ls) with ordinality u(x, i)),
-c as (select doc_id, i, v, count(*) n from (select doc_id, i, unnest(tk) v from l, marks where list_has_any(tk, m)) group by all),
-cw as (select doc_id, i, v, n * coalesce(idf, (select max(idf) from idf)) x from c left join idf using (v)),
-nr as (select doc_id, i, sum(x * x) nn from cw group by all),
-sc as (select doc_id, name, round(max(dot / (sqrt(nn) * sqrt(tot))), 6) s from (select doc_id, i, name, sum(x * w) dot from cw join w using (v) group by all) join nr using (doc_id, i) join len using (name) group by all),
-best as (select doc_id, s, name from (select *, row_number() over (partition by doc_id order by s desc, name) rn from sc) where rn = 1),
-f as (select doc_id, concat_ws('/', source, lang, case when doc_id % 50 <> 0 then 'd' || (doc_id // 100) end) dir, case when doc_id % 25 = 0 then 'LICENSE' else 'f' || doc_id end nm,
-  case when s >= {licenses.THRESHOLD} then name end own, coalesce(s, 0.0) s from documents left join best using (doc_id)),
+w as (select i, v, n * idf w from voc join idf using (v)),
+len as (select i, sqrt(sum(w * w)) tot from w group by i),
+f0 as (select doc_id, lower(coalesce(text, '')) low, concat_ws('/', source, lang, case when doc_id % 50 <> 0 then 'd' || (doc_id // 100) end) dir, case when doc_id % 25 = 0 then 'LICENSE' else 'f' || doc_id end nm from documents),
+l as (select doc_id, j, x from (select doc_id, list_filter(string_split(low, E'\n'), lambda x: regexp_matches(x, '[0-9a-z]')) ls from f0), unnest(ls) with ordinality u(x, j)),
+u as (select doc_id, x from l union select doc_id, x || ' ' || lead(x) over (partition by doc_id order by j) from l union select doc_id, x || ' ' || lead(x) over (partition by doc_id order by j) || ' ' || lead(x, 2) over (partition by doc_id order by j) from l
+  union select doc_id, unnest(regexp_split_to_array(low, '\n[^0-9a-z]*\n')) from f0 union select doc_id, low from f0 where nm = 'LICENSE'),
+c as (select doc_id, x, v, count(*) n from (select doc_id, x, unnest({_TOKENS.format("x")}) v from u where x is not null) group by all),
+cw as (select doc_id, x, v, n * coalesce(idf, (select max(idf) from idf)) y from c left join idf using (v)),
+nr as (select doc_id, x, sum(y * y) nn from cw group by all),
+sc as (select doc_id, i, round(max(dot / (sqrt(nn) * tot)), 6) s from (select doc_id, x, i, sum(y * w) dot from cw join w using (v) group by all) join nr using (doc_id, x) join len using (i) group by all),
+best as (select doc_id, s, name from (select *, row_number() over (partition by doc_id order by s desc, i) rn from sc) join t using (i) where rn = 1 and s >= 0.8),
+f as (select doc_id, dir, nm, name own, s from f0 left join best using (doc_id)),
 li as (select dir above, arg_max(own, (s, own)) lic from f where nm = 'LICENSE' and own is not null group by dir),
 near as (select dir, arg_max(lic, length(above)) lic, arg_max(above, length(above)) above from (select distinct dir from f) join li on dir = above or starts_with(dir, above || '/') group by dir)
 select doc_id, dir || '/' || nm path, own own_license, s own_score, coalesce(own, lic) license, case when own is not null then 'own' else above end license_from from f left join near using (dir)"""
