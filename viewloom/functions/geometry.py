@@ -32,3 +32,9 @@ def drawn_crop(height: Column, width: Column, size: int, key: Column, seed: int)
 def flipped(key: Column, seed: int) -> Column:
     """Whether a row is mirrored: half of them, by a hash of the key."""
     return F.pmod(F.xxhash64(key, F.lit(seed), F.lit("flip")), F.lit(2)) == 1
+
+
+def color_normalized(pixels: Column, mean: list[float], deviation: list[float]) -> Column:
+    """Channel by channel less its mean, over its deviation; ``pixels`` has one array per channel."""
+    of = lambda values, c: F.get(F.array(*map(F.lit, map(float, values))), c)
+    return F.transform(pixels, lambda channel, c: F.transform(channel, lambda x: (x - of(mean, c)) / of(deviation, c)))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def hhmmss(seconds: Column) -> Column:
@@ -64,7 +62,12 @@ def quota(batch: Column, select: int, of: int) -> Column:
     return F.ceil(batch * F.lit(select) / F.lit(of))
 
 
-@F.pandas_udf(DoubleType())
-def lgamma(x: pd.Series) -> pd.Series:
-    """The logarithm of the gamma function, which Spark SQL lacks."""
-    return x.map(math.lgamma, na_action="ignore")
+def lgamma(x: Column) -> Column:
+    """The logarithm of the gamma function of x >= 1, which Spark SQL lacks: Stirling's series at x + 8, less the
+    logarithm of the factors between."""
+    z = x + 8.0
+    factors = x
+    for k in range(1, 8):
+        factors = factors * (x + float(k))
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * z * z * z * z * z * z * z)
+    return (z - 0.5) * F.ln(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series - F.ln(factors)

@@ -50,4 +50,12 @@ def affine(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
     return F.array(*[dot(x, F.array(*[F.lit(float(v)) for v in w])) + F.lit(float(b)) for w, b in zip(weights, bias, strict=True)])
 
 
+def mean_pool(frames: Column) -> Column:
+    """The mean over time of an array of equally long vectors, position by position."""
+    n = F.size(frames)
+    zeros = F.transform(F.get(frames, F.lit(0)), lambda _: F.lit(0.0))
+    added = F.aggregate(frames, zeros, lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    return F.when(n > 0, F.transform(added, lambda x: x / n))
+
+
 SIMILARITIES = {"ip": dot, "cs": cosine, "l1": l1, "l2": l2}

@@ -118,6 +118,41 @@ def adjusted_mi(cells: DataFrame, mean: str = "arithmetic") -> DataFrame:
     return j.select("pair", ((F.col("mi") - F.col("emi")) / below).alias("ami"))
 
 
+#: Standard deviations around its mean within which a count is summed: beyond, less than exp(-2 * WIDE) of it is left.
+WIDE = 18.0
+
+
+def expected_mi(cells: DataFrame) -> DataFrame:
+    """(pair, emi): the mean MI of random tables with the same marginals.
+
+    Each cell's count is hypergeometric. Of its possible values those within WIDE deviations of the mean are
+    rows, so their number grows with the root of the counts and not with the counts.
+    """
+    total = cells.groupBy("pair").agg(F.sum("n").alias("t"))
+    a, b = (cells.groupBy("pair", x).agg(F.sum("n").alias(y)).select("pair", y) for x, y in (("j", "a"), ("i", "b")))
+    m = a.join(b, "pair").join(F.broadcast(total), "pair").select("pair", *[F.col(c).cast("double").alias(c) for c in "abt"])
+    mean = F.col("a") * F.col("b") / F.col("t")
+    spread = F.sqrt(mean * (F.col("t") - F.col("a")) * (F.col("t") - F.col("b")) / F.col("t") / F.greatest(F.col("t") - 1, F.lit(1.0))) * WIDE + WIDE
+    low = F.greatest(F.lit(1.0), F.col("a") + F.col("b") - F.col("t"), F.floor(mean - spread))
+    high = F.least("a", "b", F.ceil(mean + spread))
+    g = lambda x: lgamma(x + 1.0)
+    a, b, t, n = (F.col(c) for c in ("a", "b", "t", "n"))
+    m = m.withColumn("fixed", g(a) + g(b) + g(t - a) + g(t - b) - g(t))
+    m = m.select("*", low.cast("long").alias("low"), high.cast("long").alias("high")).where("low <= high")
+    m = m.select("pair", "a", "b", "t", "fixed", F.explode(F.sequence("low", "high")).alias("n")).withColumn("n", F.col("n").cast("double"))
+    log_p = F.col("fixed") - g(n) - g(a - n) - g(b - n) - g(t - a - b + n)
+    emi = m.groupBy("pair").agg(F.sum(n / t * (F.ln(n) + F.ln(t) - F.ln(a) - F.ln(b)) * F.exp(log_p)).alias("emi"))
+    return total.join(emi, "pair", "left").select("pair", F.coalesce("emi", F.lit(0.0)).alias("emi"))
+
+
+def usual_ami(cells: DataFrame, mean: str = "arithmetic") -> DataFrame:
+    """(MI - EMI) / (mean entropy - EMI) with the mean over all tables; the divisor keeps its sign and eps as least size."""
+    j = mutual_information(cells).join(entropies(cells), "pair").join(expected_mi(cells), "pair")
+    below = MEANS[mean](F.col("ha"), F.col("hb")) - F.col("emi")
+    below = F.when(below < 0, F.least(below, F.lit(-EPS))).otherwise(F.greatest(below, F.lit(EPS)))
+    return j.select("pair", ((F.col("mi") - F.col("emi")) / below).alias("ami"))
+
+
 def pair_counts(cells: DataFrame) -> DataFrame:
     """(pair, tp, fp, fn, tn): pairs of rows together in both, in the second, in the first, in neither."""
     grain = lambda by, name: cells.groupBy("pair", by).agg(F.sum("n").alias("n")).groupBy("pair").agg(F.sum(pairs_of(F.col("n"))).alias(name))
@@ -154,7 +189,7 @@ def constant(cells: DataFrame) -> DataFrame:
 
 #: Measures by name, each from cells to (pair, value).
 MEASURES = {
-    "mi": mutual_information, "ami": adjusted_mi, "nmi": normalized_mi, "doubled_nmi": doubled_nmi, "fm": fowlkes_mallows,
+    "mi": mutual_information, "ami": usual_ami, "cell_ami": adjusted_mi, "nmi": normalized_mi, "doubled_nmi": doubled_nmi, "fm": fowlkes_mallows,
     "rand": rand, "arand": adjusted_rand, "agreement": pair_agreement, "constant": constant,
 }
 

@@ -74,3 +74,99 @@ def diverse(pairs: DataFrame, k: int) -> DataFrame:
 
     clip = dict(pairs.dtypes)["a"]
     return pairs.groupBy("video").applyInPandas(run, f"video {dict(pairs.dtypes)['video']}, clip {clip}, rank long")
+
+
+def _matrix(pdf):
+    """Clips in order and their symmetric similarities."""
+    import numpy as np
+
+    clips = sorted({*pdf["a"], *pdf["b"]})
+    at = {c: i for i, c in enumerate(clips)}
+    sim = np.zeros((len(clips), len(clips)))
+    for a, b, s in zip(pdf["a"], pdf["b"], pdf["score"], strict=True):
+        sim[at[a], at[b]] = sim[at[b], at[a]] = s
+    return clips, sim
+
+
+def _nearest_unused(sim, k: int, rng) -> list[int]:
+    """From the first clip on, each time the least similar to the last one that is not chosen yet."""
+    import numpy as np
+
+    chosen = [0]
+    while len(chosen) < min(k, len(sim)):
+        rest = np.setdiff1d(np.arange(len(sim)), chosen)
+        chosen.append(int(rest[sim[chosen[-1], rest].argmin()]))
+    return chosen
+
+
+def _greedy_sum(sim, k: int, rng) -> list[int]:
+    """From a random clip on, each time the one least similar in sum to those chosen."""
+    import numpy as np
+
+    order = rng.permutation(len(sim))
+    chosen = [int(order[0])]
+    while len(chosen) < min(k, len(sim)):
+        rest = order[~np.isin(order, chosen)]
+        chosen.append(int(rest[sim[chosen][:, rest].sum(axis=0).argmin()]))
+    return chosen
+
+
+def _local_search(sim, k: int, rng, eps: float = 0.1) -> list[int]:
+    """The least similar pair and clips in order, then swaps as long as one lowers the sum by the factor 1 + eps / n."""
+    import numpy as np
+
+    n = len(sim)
+    if k >= n:
+        return list(range(n))
+    off = sim + np.where(np.eye(n, dtype=bool), np.inf, 0)
+    first = [int(x) for x in np.unravel_index(off.argmin(), off.shape)][:k]
+    now = sorted(first) + [i for i in range(n) if i not in first][: k - len(first)]
+    swapped = True
+    while swapped:
+        swapped = False
+        for i in now:
+            rest = [x for x in now if x != i]
+            to_rest = sim[rest].sum(axis=0)
+            own = to_rest[i]
+            to_rest[rest] = np.inf
+            best = int(to_rest.argmin())
+            if best != i and (1 + eps / n) * to_rest[best] < own:
+                now = [*rest, best]
+                swapped = True
+                break
+    return now
+
+
+def _random(sim, k: int, rng) -> list[int]:
+    return [int(x) for x in rng.permutation(len(sim))[:k]]
+
+
+def _random_then(sim, k: int, rng, n_random: int) -> list[int]:
+    """Random clips, then those that are least similar to them in sum."""
+    order = rng.permutation(len(sim))
+    first, rest = order[:n_random], order[n_random:]
+    return [int(x) for x in [*first, *rest[sim[first][:, rest].sum(axis=0).argsort(kind="stable")[: max(k - n_random, 0)]]]]
+
+
+#: Ways to pick k diverse clips of a video from its similarities.
+DIVERSITY = {
+    "greedy": _greedy_sum, "min_pair": _nearest_unused, "sum_pairs": _local_search, "random": _random,
+    "random_then": lambda sim, k, rng: _random_then(sim, k, rng, -(-k // 2)), "random1_then": lambda sim, k, rng: _random_then(sim, k, rng, 1),
+}
+
+
+def picked(pairs: DataFrame, k: int, strategy: str = "greedy", seed: int = 0) -> DataFrame:
+    """(video, clip, rank) of k clips per video by one of DIVERSITY; a video's clips are few and one task's group."""
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, sim = _matrix(pdf)
+        video = pdf["video"].iloc[0]
+        got = DIVERSITY[strategy](sim, k, np.random.default_rng([seed, zlib.crc32(str(video).encode())]))[:k]
+        return pd.DataFrame({"video": video, "clip": [names[i] for i in got], "rank": range(len(got))})
+
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy("video").applyInPandas(run, f"video {kinds['video']}, clip {kinds['a']}, rank long")

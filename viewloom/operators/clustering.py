@@ -136,3 +136,22 @@ def principal(rows: DataFrame, n: int, vec: str = "vec") -> tuple[np.ndarray, np
     cov = m[1:, 1:] / count - np.outer(mean, mean)
     _, axes = np.linalg.eigh(cov)
     return mean, axes[:, ::-1][:, :n].T
+
+
+def library(rows: DataFrame, k: int, vec: str = "vec", epochs: int = 20, seed: int = 0) -> Model:
+    """Spark's own k-means over whole rows."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    found = KMeans(k=k, maxIter=epochs, seed=seed, featuresCol="_x").fit(rows.select(array_to_vector(vec).alias("_x")))
+    return Model(np.array(found.clusterCenters()), np.array(found.summary.clusterSizes, float))
+
+
+#: Ways to cluster, each from rows and k to a model.
+CLUSTERINGS = {"online": train, "library": library}
+
+
+def cluster_all(rows: DataFrame, ks: list[int], kind: str = "online", **options) -> dict[str, Model]:
+    """A model for each clustering name in ``rows`` (clustering, vec, id) and each k, named name_k if there are several."""
+    names = sorted(r[0] for r in rows.select("clustering").distinct().collect())  # a handful, set by the extractors
+    return {f"{n}_{k}" if len(ks) > 1 else n: CLUSTERINGS[kind](rows.where(F.col("clustering") == n), k, **options) for n in names for k in ks}

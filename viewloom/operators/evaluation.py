@@ -76,3 +76,23 @@ def spatial_view(index: Column, crops: int) -> tuple[Column, Column]:
 def view_start(delta: Column, index: Column, views: int) -> Column:
     """Start of a view when views are spread evenly over the spare length."""
     return F.greatest(delta, F.lit(0.0)) * index / F.lit(max(views - 1, 1))
+
+
+def experiment_means(results: DataFrame, by: str, values: list[str]) -> DataFrame:
+    """The mean of each value over repeated experiments."""
+    return results.groupBy(by).agg(*[F.avg(v).alias(v) for v in values])
+
+
+def positives_ratio(batches: DataFrame, truth: DataFrame) -> DataFrame:
+    """(batch, ratio): which share of each batch's ids are true ones."""
+    marked = batches.join(truth.select("id").distinct().withColumn("_true", F.lit(1)), "id", "left")
+    return marked.groupBy("batch").agg(F.avg(F.coalesce("_true", F.lit(0))).alias("ratio"))
+
+
+def compared_runs(runs: DataFrame) -> DataFrame:
+    """(first, second, same, gain_difference) of all pairs of runs (run, pos, id, gain): the share of places with
+    equal ids and the mean absolute difference of gains. Runs are few; places are joined."""
+    a, b = (runs.select("pos", *[F.col(c).alias(f"{c}_{x}") for c in ("run", "id", "gain")]) for x in "ab")
+    both = a.join(b, "pos").where("run_a < run_b")
+    out = both.groupBy("run_a", "run_b").agg(F.avg((F.col("id_a") == F.col("id_b")).cast("int")).alias("same"), F.avg(F.abs(F.col("gain_a") - F.col("gain_b"))).alias("gain_difference"))
+    return out.select(F.col("run_a").alias("first"), F.col("run_b").alias("second"), "same", "gain_difference")

@@ -110,6 +110,15 @@ def merged_scores(parts: list[DataFrame], keys: list[str], score: str = "score")
     return out.groupBy(*keys).agg(F.max(score).alias(score))
 
 
+def ranked_merge(parts: list[DataFrame], score: str, rest: list[str], keep_score: bool = False) -> DataFrame:
+    """Scored parts as one table without repeated rows, best score first, then by the other columns; the score goes."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.groupBy(*rest).agg(F.max(score).alias(score)).orderBy(F.desc(score), *rest)
+    return out if keep_score else out.drop(score)
+
+
 def without_remainder(shards: DataFrame, key: str, parts: int) -> DataFrame:
     """Shards in name order, as many as ``parts`` divides; their number is counted first."""
     n = shards.count()

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SIMILARITIES
-from .ordering import draw
+from .ordering import draw, numbered
 
 
 def clip_classes(views: DataFrame, cap: int | None = None) -> DataFrame:
@@ -69,3 +69,20 @@ def prefix_metrics(chosen: DataFrame, truth: DataFrame) -> DataFrame:
 
 def start_per_class(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(F.min("id").alias("id"))
+
+
+def sharded(rows: DataFrame, shards: int, size: int, buckets: int = 1024) -> DataFrame:
+    """``rows`` (id, ...) with ``shard`` and ``local``: every ``size`` rows in id order make a shard; what lies beyond
+    the last one stays in it. A row's global place is shard * size + local."""
+    n = numbered(rows, ["id"], "_pos", buckets)
+    shard = F.least(F.floor(F.col("_pos") / size), F.lit(shards - 1))
+    return n.withColumns({"shard": shard, "local": F.col("_pos") - shard * size}).drop("_pos")
+
+
+def sharded_selection(rows: DataFrame, pairs: list, ratio: float, shards: int, size: int, buckets: int = 1024, **options) -> DataFrame:
+    """(shard, place, rank, score): a selection of each shard (id, a) by itself, with places in the whole set."""
+    from .selection import select
+
+    dealt = sharded(rows, shards, size, buckets)
+    got = select(dealt.select("shard", F.col("local").alias("id"), "a"), pairs, ratio, chunk="shard", **options)
+    return got.select("shard", (F.col("shard") * size + F.col("id")).alias("place"), "rank", "score")

@@ -101,12 +101,49 @@ def adjusted_rand(state: Counts, ids: np.ndarray) -> np.ndarray:
     return _safe(2 * (tp * tn - fn * fp), (tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)).mean(axis=1)
 
 
+def _expected_information(a: np.ndarray, b: np.ndarray) -> float:
+    """The mean MI of random tables with marginals ``a`` and ``b``."""
+    a, b = a[a > 0], b[b > 0]
+    n = int(a.sum())
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])  # of factorials
+    x, y = (v.astype(int) for v in np.meshgrid(a, b, indexing="ij"))
+    low, high = np.maximum(1, x + y - n).ravel(), np.minimum(x, y).ravel()
+    count = high - low + 1
+    x, y = np.repeat(x.ravel(), count), np.repeat(y.ravel(), count)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)
+    log_p = logs[x] + logs[y] + logs[n - x] + logs[n - y] - logs[n] - logs[k] - logs[x - k] - logs[y - k] - logs[n - x - y + k]
+    return float((k / n * np.log(n * k / (x * y)) * np.exp(log_p)).sum())
+
+
+def adjusted_information(state: Counts, ids: np.ndarray) -> np.ndarray:
+    """Mean usual AMI; the expectation depends on the marginals alone, so it is found once for each pair of centroids."""
+    c, a, b = state.around(ids)
+    total = [_xlogx(x).sum(axis=tuple(range(1, x.ndim))) for x in (state.cells, state.of_first, state.of_second)]
+    g = [t + _xlogx(x + 1) - _xlogx(x) for t, x in zip(total, (c, a, b), strict=True)]
+    n = state.n + 1
+    mi = (g[0] - g[1] - g[2]) / n + math.log(n)
+    known: dict[tuple[int, int, int], float] = {}
+    emi = np.empty_like(mi)
+    for r, (i, j) in enumerate(zip(state.first[ids], state.second[ids], strict=True)):
+        for p in state.at:
+            at = (int(p), int(i[p]), int(j[p]))
+            if at not in known:
+                u, v = state.of_first[p].copy(), state.of_second[p].copy()
+                u[at[1]] += 1
+                v[at[2]] += 1
+                known[at] = _expected_information(u, v)
+            emi[r, p] = known[at]
+    below = (_entropy(g[1], n) + _entropy(g[2], n)) / 2 - emi
+    eps = np.finfo(float).eps
+    return ((mi - emi) / np.where(below < 0, np.minimum(below, -eps), np.maximum(below, eps))).mean(axis=1)
+
+
 def constant(state: Counts, ids: np.ndarray) -> np.ndarray:
     return np.ones(len(ids))
 
 
 Score = Callable[[Counts, np.ndarray], np.ndarray]
-MEASURES: dict[str, Score] = {"mi": information, "nmi": normalized_information, "fm": fowlkes_mallows, "rand": rand, "arand": adjusted_rand, "constant": constant}
+MEASURES: dict[str, Score] = {"mi": information, "ami": adjusted_information, "nmi": normalized_information, "fm": fowlkes_mallows, "rand": rand, "arand": adjusted_rand, "constant": constant}
 
 
 def greedy(rows: np.ndarray, pairs: list[Pair], size: int, score: Score, start: list[int]) -> list[tuple[int, float]]:
@@ -141,11 +178,16 @@ def batch(rows: np.ndarray, pairs: list[Pair], size: int, score: Score, start: l
     return out[:size]
 
 
-def lazy(rows: np.ndarray, pairs: list[Pair], size: int, score: Score, start: list[int]) -> list[tuple[int, float]]:
-    """Lazy greedy: exact if gains only shrink, which these measures do not promise."""
-    state, out = Counts(rows, pairs), [(s, 0.0) for s in start]
-    state.add(np.array(start, int))
-    left = np.setdiff1d(np.arange(len(rows)), start)
+def lazy(rows: np.ndarray, pairs: list[Pair], size: int, score: Score, start: list[int], plain: float = 0.0) -> list[tuple[int, float]]:
+    """Lazy greedy: exact if gains only shrink, which these measures do not promise.
+
+    The first ``plain`` share of the steps is plain greedy.
+    """
+    first = len(start) + round((size - len(start)) * plain) if size > len(start) else size
+    out = greedy(rows, pairs, first, score, start) if plain else [(s, 0.0) for s in start]
+    state = Counts(rows, pairs)
+    state.add(np.array([r for r, _ in out], int))
+    left = np.setdiff1d(np.arange(len(rows)), [r for r, _ in out])
     heap = [(-float(v), int(r), 0) for r, v in zip(left, score(state, left), strict=True)] if len(left) else []
     heapq.heapify(heap)
     step = 0
@@ -160,7 +202,12 @@ def lazy(rows: np.ndarray, pairs: list[Pair], size: int, score: Score, start: li
     return out[:size]
 
 
-STRATEGIES = {"greedy": greedy, "batch": batch, "lazy": lazy}
+def hybrid(rows: np.ndarray, pairs: list[Pair], size: int, score: Score, start: list[int], ratio: float = 0.5) -> list[tuple[int, float]]:
+    """Plain greedy for the first 1 - ``ratio`` of the steps, lazy greedy for the rest."""
+    return lazy(rows, pairs, size, score, start, plain=1 - ratio)
+
+
+STRATEGIES = {"greedy": greedy, "batch": batch, "lazy": lazy, "hybrid": hybrid}
 
 
 def start_rows(kind: str, rows: np.ndarray, labels: np.ndarray | None = None) -> list[int]:
@@ -192,17 +239,19 @@ def step_scores(selected: DataFrame, candidates: DataFrame, pairs: list[Pair]) -
     return agreement.mi_after_adding(agreement.sums(have), have, candidates, pairs).groupBy("id").agg(F.avg("mi").alias("score"))
 
 
-def select(rows: DataFrame, pairs: list[Pair], ratio: float, chunk: str = "chunk", measure: str = "mi", strategy: str = "batch", start: str = "zero", seed: int = 98052, **options) -> DataFrame:
+def select(rows: DataFrame, pairs: list[Pair], ratio: float, chunk: str = "chunk", measure: str | Score = "mi", strategy: str = "batch", start: str = "zero", seed: int = 98052, **options) -> DataFrame:
     """(chunk, id, rank, score): ``ratio`` of each chunk's rows (id, a), chosen independently of other chunks.
 
-    Rows enter in md5(seed-id) order. Memory of a task: rows of a chunk x clusterings, plus pairs x centroids squared.
+    ``measure`` is a name of MEASURES or a function of the counts and candidate rows. Rows enter in md5(seed-id) order. Memory of a task: rows of a chunk x clusterings, plus pairs x centroids squared.
     """
 
+    score = MEASURES[measure] if isinstance(measure, str) else measure
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_draw", "id"], ignore_index=True)
         a = np.array(pdf["a"].tolist(), int)
         size = max(1, round(len(pdf) * ratio))
-        got = STRATEGIES[strategy](a, pairs, size, MEASURES[measure], start_rows(start, a), **options)
+        got = STRATEGIES[strategy](a, pairs, size, score, start_rows(start, a), **options)
         return pd.DataFrame({chunk: pdf[chunk].iloc[0], "id": pdf["id"].to_numpy()[[r for r, _ in got]], "rank": np.arange(len(got)), "score": [s for _, s in got]})
 
     types = dict(rows.dtypes)

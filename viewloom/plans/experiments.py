@@ -239,6 +239,54 @@ def diversity_sample(spark, d):
     return clips.diverse(_clip_pairs(spark, d), 3)
 
 
+def _strategy(name):
+    def run(spark, d):
+        return clips.picked(_clip_pairs(spark, d), 3, name)
+
+    query(f"diversity_{name}")(run)
+
+
+for _k in clips.DIVERSITY:
+    _strategy(_k)
+
+
+@query("experiment_means", "select l_linestatus run, round(avg(l_discount), 6) l_discount, round(avg(l_tax), 6) l_tax from lineitem group by 1")
+def experiment_means(spark, d):
+    li = table(spark, d, "lineitem").withColumnRenamed("l_linestatus", "run")
+    return evaluation.experiment_means(li, "run", ["l_discount", "l_tax"]).select("run", *[F.round(c, 6).alias(c) for c in ("l_discount", "l_tax")])
+
+
+@query("positives_ratio", "select vec_id // 20 batch, round(avg((vec_id in (select doc_id from labels where quality = 1))::int), 6) ratio from embeddings group by 1")
+def positives_ratio(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 20).alias("batch"))
+    truth = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return evaluation.positives_ratio(rows, truth).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("compared_runs", f"""with {_RUNS}, m as (select run, pos, id % 7 id, score from runs)
+  select x.run "first", y.run "second", round(avg((x.id = y.id)::int), 6) same, round(avg(abs(x.score - y.score)), 6) gain_difference from m x join m y using (pos) where x.run < y.run group by all""")
+def compared_runs(spark, d):
+    runs = _runs(spark, d).select("run", "pos", (F.col("id") % 7).alias("id"), F.col("score").alias("gain"))
+    return evaluation.compared_runs(runs).select("first", "second", *[F.round(c, 6).alias(c) for c in ("same", "gain_difference")])
+
+
+@query("mean_pool", "select vec_id, p::bigint pos, round((embedding[p + 1]::double + embedding[p + 17]::double + embedding[p + 33]::double + embedding[p + 49]::double) / 4, 6) x from embeddings, unnest(generate_series(0, 15)) u(p)")
+def mean_pool(spark, d):
+    from ..functions.vectors import mean_pool as pool
+
+    e = table(spark, d, "embeddings").select("vec_id", pool(F.array(*[F.slice("embedding", i * 16 + 1, 16) for i in range(4)])).alias("v"))
+    return e.select("vec_id", F.posexplode("v").alias("pos", "x")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query("color_normalized", "select vec_id, round((embedding[1]::double - 0.45) / 0.225, 6) red, round((embedding[33]::double - 0.5) / 0.25, 6) green from embeddings")
+def color_normalized(spark, d):
+    from ..functions.geometry import color_normalized as normalized
+
+    half = lambda i: F.slice("embedding", i, 32).cast("array<double>")
+    e = table(spark, d, "embeddings").select("vec_id", normalized(F.array(half(1), half(33)), [0.45, 0.5], [0.225, 0.25]).alias("c"))
+    return e.select("vec_id", *[F.round(F.get(F.get("c", F.lit(i)), F.lit(0)), 6).alias(n) for i, n in enumerate(("red", "green"))])
+
+
 @query("assigned_classes", f"with {ASSIGN_SQL} select clustering, count(distinct k) used from assigned group by 1")
 def assigned_classes(spark, d):
     from .base import assignments

@@ -148,6 +148,21 @@ def emi_ami(spark, d):
     return agreement.adjusted_mi(cells(spark, d)).select("pair", F.round("ami", 6).alias("ami"))
 
 
+_EMI = _ENT + """, ma as (select pair, j, sum(n) a from cells group by all), mb as (select pair, i, sum(n) b from cells group by all), mt as (select pair, sum(n) t from cells group by pair),
+  em as (select pair, a, b, t, unnest(generate_series(greatest(1, a + b - t)::bigint, least(a, b)::bigint)) n from ma join mb using (pair) join mt using (pair)),
+  emi as (select pair, sum(n / t * (ln(n) + ln(t) - ln(a) - ln(b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(t - a - b + n + 1))) emi from em group by pair)"""
+
+
+@query("expected_mi", f"with {_EMI} select pair, round(emi, 6) emi from emi")
+def expected_mi(spark, d):
+    return agreement.expected_mi(cells(spark, d)).select("pair", F.round("emi", 6).alias("emi"))
+
+
+@query("usual_ami", f"with {_EMI} select pair, round((mi - emi) / greatest((ha + hb) / 2 - emi, 2.220446049250313e-16), 6) ami from mi join emi using (pair) join ha using (pair) join hb using (pair)")
+def usual_ami(spark, d):
+    return agreement.usual_ami(cells(spark, d)).select("pair", F.round("ami", 6).alias("ami"))
+
+
 @query("fowlkes_mallows", f"with {_PC} select pair, round(sqrt(tp / (tp + fp) * tp / (tp + fn)), 6) fm from pc")
 def fowlkes_mallows(spark, d):
     return agreement.fowlkes_mallows(cells(spark, d)).select("pair", F.round("fm", 6).alias("fm"))
@@ -250,6 +265,36 @@ def greedy_select_pair_measure(spark, d):
     return selection.select(_chunks(spark, d), PAIRS, 0.1, measure="fm", strategy="greedy")
 
 
+@query("greedy_select_ami")
+def greedy_select_ami(spark, d):
+    return selection.select(selection.chunked(wide(spark, d), 100, buckets=8), PAIRS[:6], 0.1, measure="ami", strategy="batch")
+
+
+@query("greedy_select_hybrid")
+def greedy_select_hybrid(spark, d):
+    return selection.select(_chunks(spark, d), PAIRS, 0.1, measure="mi", strategy="hybrid", start="cluster")
+
+
+@query("sharded_retrieval")
+def sharded_retrieval(spark, d):
+    from ..operators.retrieval import sharded_selection
+
+    return sharded_selection(wide(spark, d), PAIRS, 0.2, 4, 125, buckets=8)
+
+
+@query("shard_offsets", "select vec_id id, least((row_number() over (order by vec_id) - 1) // 125, 3) shard, row_number() over (order by vec_id) - 1 - least((row_number() over (order by vec_id) - 1) // 125, 3) * 125 \"local\" from embeddings")
+def shard_offsets(spark, d):
+    from ..operators.retrieval import sharded
+
+    return sharded(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), 4, 125, buckets=8)
+
+
+@query("kmeans_library")
+def kmeans_library(spark, d):
+    rows = vectors(spark, d).select("id", "clustering", "vec")
+    return clustering.assign(rows, clustering.cluster_all(rows, [8], "library"))
+
+
 @query("kmeans_train")
 def kmeans_train(spark, d):
     rows = vectors(spark, d).select("id", "clustering", "vec")

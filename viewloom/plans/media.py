@@ -229,6 +229,12 @@ def merge_scored(spark, d):
     return ordering.merged_scores([li.where("l_returnflag = 'A'"), li.where("l_returnflag <> 'A'")], ["l_returnflag", "l_partkey"])
 
 
+@query("ranked_merge", "select l_returnflag, l_partkey from lineitem group by all")
+def ranked_merge(spark, d):
+    li = table(spark, d, "lineitem").select("l_returnflag", "l_partkey", F.col("l_quantity").alias("score"))
+    return ordering.ranked_merge([li.where("l_returnflag = 'A'"), li.where("l_returnflag <> 'A'")], "score", ["l_returnflag", "l_partkey"])
+
+
 @query("chunking", "select vec_id, (row_number() over (order by vec_id) - 1) // 64 by_size, (row_number() over (order by vec_id) - 1) // ceil(count(*) over () / 7)::bigint by_parts from embeddings")
 def chunking(spark, d):
     e = table(spark, d, "embeddings").select("vec_id")

@@ -80,3 +80,53 @@ def run_logs(spark: SparkSession, path: str) -> DataFrame:
 def features(spark: SparkSession, path: str) -> DataFrame:
     """Feature or assignment shards; damaged files are skipped."""
     return spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "false").parquet(path)
+
+
+def _clips(rows: DataFrame, clips: int) -> DataFrame:
+    return rows.withColumn("clip", F.explode(F.sequence(F.lit(0), F.lit(clips - 1))))
+
+
+def split_lists(spark: SparkSession, folder: str, mode: str, split: int, clips: int = 1) -> DataFrame:
+    """(path, label, clip) of a list file ``splits/{mode}list{split}.txt`` of paths below class folders; ``val`` is
+    ``test``. Classes are numbered from 1 in ``splits/classInd.txt``; a class that it lacks is an error."""
+    mode = "test" if mode == "val" else mode
+    fields = F.split(F.trim("value"), r"\s+")
+    classes = spark.read.text(f"{folder}/splits/classInd.txt").where(F.trim("value") != "").select(F.get(fields, F.lit(1)).alias("class"), (F.get(fields, F.lit(0)).cast("int") - 1).alias("label"))
+    listed = spark.read.text(f"{folder}/splits/{mode}list{split:02d}.txt").where(F.trim("value") != "").select(F.get(fields, F.lit(0)).alias("path"))
+    joined = listed.withColumn("class", F.split_part("path", F.lit("/"), F.lit(1))).join(classes, "class", "left")
+    label = F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("no such class: "), "class")).cast("int")).otherwise(F.col("label"))
+    return _clips(joined.select(F.concat(F.lit(f"{folder}/"), "path").alias("path"), label.alias("label")), clips)
+
+
+def fold_files(spark: SparkSession, folder: str, mode: str, fold: int, clips: int = 1, glob: str = "*.wav") -> DataFrame:
+    """(path, label, clip) of files named fold-...-label; ``train`` has all folds but one, other modes have that one."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(f"{folder}/audio").select("path")
+    stem = F.split_part(F.regexp_extract("path", r"([^/]*)$", 1), F.lit("."), F.lit(1))
+    own = F.split_part(stem, F.lit("-"), F.lit(1)).cast("int")
+    return _clips(found.where(own != fold if mode == "train" else own == fold).select("path", F.regexp_extract(stem, "([^-]*)$", 1).cast("int").alias("label")), clips)
+
+
+def labelled_folders(spark: SparkSession, folder: str, mode: str, clips: int = 1, glob: str = "*.mp4") -> DataFrame:
+    """(path, label, clip) of files below ``folder/mode/class``; classes are numbered from 0 in name order."""
+    from ..operators.ordering import class_numbers
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(f"{folder}/{mode}").select("path")
+    named = found.withColumn("class", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1))
+    return _clips(class_numbers(named, "class").select("path", F.col("label").cast("int").alias("label")), clips)
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a list of addresses or names, without blank ones."""
+    return spark.read.text(path).select(F.trim("value").alias("line")).where(F.col("line") != "")
+
+
+def model_list(spark: SparkSession, path: str) -> DataFrame:
+    """(name, address) of a table of models in Markdown: the first column, and the first link of the row."""
+    cells = F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|")
+    link = F.regexp_extract("value", r"\]\(([^)\s]+)\)", 1)
+    return spark.read.text(path).where(link != "").select(F.trim(F.get(cells, F.lit(0))).alias("name"), link.alias("address"))
+
+
+def existing(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(at)

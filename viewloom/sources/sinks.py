@@ -43,3 +43,38 @@ def write_experiment(rows: DataFrame, path: str, keys: list[str]) -> None:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").text(path)
+
+
+def write_model(spark: SparkSession, model, path: str, epoch: int, shards: list[str]) -> None:
+    """A model's centres under its epoch and the shards that it has seen; an epoch written again is replaced."""
+    rows = [(epoch, sorted(shards), k, c.tolist(), float(n)) for k, (c, n) in enumerate(zip(model.centers, model.counts, strict=True))]
+    table = spark.createDataFrame(rows, "epoch int, shards array<string>, k int, center array<double>, count double")
+    table.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str, shards: list[str], subset: bool = True):
+    """The model of the latest epoch whose shards lie within (or cover) the wanted ones, or None."""
+    from ..operators.clustering import model_of
+    from ..operators.records import covering_models
+
+    found = covering_models(spark.read.parquet(path), shards, subset)
+    last = found.agg(F.max("epoch")).first()[0]
+    return None if last is None else model_of(found.where(F.col("epoch") == last), "count")
+
+
+def write_chunk(rows: DataFrame, path: str, chunk: int) -> None:
+    """One chunk's results; a chunk that is run again replaces its own."""
+    rows.withColumn("chunk", F.lit(chunk)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+
+
+def unfinished_chunks(spark: SparkSession, path: str, chunks: int) -> list[int]:
+    """The chunks without results so far."""
+    from .files import existing
+
+    done = {r[0] for r in spark.read.parquet(path).select("chunk").distinct().collect()} if existing(spark, path) else set()
+    return [c for c in range(chunks) if c not in done]
+
+
+def reduce_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """All chunks' results as one table, without the chunk."""
+    return spark.read.parquet(path).drop("chunk")
