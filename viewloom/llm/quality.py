@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, held, words
+from .common import SPACE, held, materialize, words
 
 
 @dataclass(frozen=True)
@@ -130,8 +130,8 @@ def ablations(entries: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules
 
 
 def verdicts(docs: DataFrame, policy: Policy = POLICIES[1]) -> DataFrame:
-    """One row per document: the base measurements, ``base_failed`` and ``kept``."""
-    out = apply_policy(ledger(docs), policy)
+    """One row per document: the base measurements, ``base_failed`` and ``kept``, from a ledger that is written first."""
+    out = apply_policy(materialize(ledger(docs), "ledger"), policy)
     base = ~_passes(F.col("fail_bits"), mask(POLICIES[0]), 0)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, jaccard, licenses, lines, packing, quality, secrets, sharding, substrings, warc
-from .common import read
+from .common import materialize, read
 
 QUERIES = {
     "op1_packing": lambda spark, d: packing.packed(read(spark, d, "documents")),
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secrets": lambda spark, d: secrets.report(read(spark, d, "documents")).drop("blob"),
     "op9_jaccard": lambda spark, d: jaccard.report(read(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.verdicts(read(spark, d, "documents")).drop("fail_bits"),
+    "quality_ablations": lambda spark, d: quality.ablations(materialize(quality.ledger(read(spark, d, "documents")), "ledger")),
 }
 
 
@@ -89,15 +90,24 @@ sym as (select a, b from link union select b, a from link),
 reach(d, c) as (select a, a from sym union select d, b from reach join sym on a = c)
 select w.doc_id, coalesce(n.n, 0) n_shingles, coalesce(least(w.doc_id, min(c)), w.doc_id) component_id from w left join n using (doc_id) left join reach on d = w.doc_id group by w.doc_id, n.n"""
 
-_OP10 = rf"""
+_MEASURED = rf"""
 with t as (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') w, list_filter(string_split(coalesce(text, ''), E'\n'), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from documents),
 g as (select doc_id, p, w[p:p + 4] x from t, unnest(generate_series(1, len(w) - 4)) u(p) where len(w) >= 5),
 r as (select doc_id, count(distinct q) n from (select doc_id, p, count(*) over (partition by doc_id, x) c from g), unnest(generate_series(p, p + 4)) u(q) where c > 1 group by 1),
-m as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
+m as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, len(ls) n_lines,
   coalesce(n, 0) n_repeat_words, len(regexp_extract_all(text, '!')) ex, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) up, length(regexp_replace(text, '\P{{L}}+', '', 'g')) letters,
-  len(regexp_extract_all(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]')) unspaced from t left join r using (doc_id)),
+  len(regexp_extract_all(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]')) unspaced from t left join r using (doc_id))"""
+
+_OP10 = _MEASURED + """,
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or 10 * n_symbols > 3 * n_words or 2 * ex > n_words or (up > 20 and 2 * up > letters) or word_chars - unspaced > 40 * n_words) kept from b"""
 
-ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_warc": _OP3, "op4_licenses": _OP4, "op6_line_dedup": _OP6, "op9_jaccard": _OP9, "op10_quality_rules": _OP10}
+_ABLATIONS = _MEASURED + """,
+f as (select [n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > 3 * n_words, 2 * ex > n_words, up > 20 and 2 * up > letters, word_chars - unspaced > 40 * n_words, 2 * n_dup_lines > n_lines]::int[] v from m),
+p(policy, rules, tolerated) as (values ('base', [1, 2], 0), ('standard', [1, 2, 3, 4, 5, 6], 0), ('lenient', [1, 2, 3, 4, 5, 6, 7], 1)),
+e as (select policy, r, tolerated, list_sum(list_transform(rules, lambda k: v[k])) fails, v[r] own from f, p, unnest(rules) u(r))
+select policy, ['few_words', 'repeat_words', 'symbol_heavy', 'shouting', 'capitals', 'long_words', 'repeat_lines'][r] "rule",
+  count(*) filter (where fails <= tolerated) kept_with, count(*) filter (where fails - own <= tolerated) kept_without from e group by all"""
+
+ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_warc": _OP3, "op4_licenses": _OP4, "op6_line_dedup": _OP6, "op9_jaccard": _OP9, "op10_quality_rules": _OP10, "quality_ablations": _ABLATIONS}
