@@ -269,6 +269,28 @@ def test_sharding_moves_only_to_the_new_shard(docs, by_id):
         assert slots == list(range(len(slots)))
 
 
+def test_shards_equal_an_independent_descent(docs):
+    """Regions 0 and 1 hold the shards of that parity, racks alternate within; a ninth shard is a region of its own."""
+    import math
+
+    import xxhash
+
+    def draw(key, name, weight):
+        h = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+        return -math.log(((h >> 12) + 1.0) / 2.0**52) / weight
+
+    def descend(key, grown):
+        regions = {"r0": {"r0/k0": [0, 4], "r0/k1": [2, 6]}, "r1": {"r1/k0": [1, 5], "r1/k1": [3, 7]}} | ({"x8": {"x8/k": [8]}} if grown else {})
+        region = min(regions, key=lambda r: draw(key, r, sum(map(len, regions[r].values()))))
+        racks = regions[region]
+        rack = min(racks, key=lambda k: draw(key, k, len(racks[k]))) if len(racks) > 1 else next(iter(racks))
+        return min(racks[rack], key=lambda s: draw(key, f"s{s}", 1)) if len(racks[rack]) > 1 else racks[rack][0]
+
+    for r in sharding.shards(docs).collect():
+        key = "null" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (descend(key, False), descend(key, True))
+
+
 def test_weights_move_keys_within_their_subtree_only(spark):
     def layout(w):
         leaf = lambda n, x: sharding.Node(f"s{n}", x, n)
@@ -283,7 +305,8 @@ def test_weights_move_keys_within_their_subtree_only(spark):
 
 
 def test_secret_scan_equals_rule(docs, by_id):
-    rules = [("assign", re.compile(secrets.KINDS[0].pattern, re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+    assign = """(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    rules = [("assign", re.compile(assign, re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
     for r in secrets.report(docs).collect():
         spans, n = [], []
         for i, (k, rule, group, least) in enumerate(rules):
@@ -366,6 +389,24 @@ def test_jaccard_of_chains_whose_rows_occur_twice(spark):
         assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(d, *x) for d, x in fx.components(data).items()}
 
 
+def test_jaccard_of_buckets_larger_than_a_block(spark, monkeypatch):
+    """A large family, several near ones that share most of its text, and copies: buckets are cut into many blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = __import__("random").Random(21)
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for family in range(5):
+        own = [f"f{family}x{i}" if i % 5 == 0 and family else w for i, w in enumerate(base)]
+        for _ in range(40 if family == 0 else 9):
+            w = list(own)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(150)] = f"n{rng.randrange(900)}"
+            rows.append(" ".join(w))
+    data = dict(enumerate(rows + rows[:7]))
+    got = jaccard.report(spark.createDataFrame(list(data.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == fx.components(data)
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
     for n in (10, 100, 1000):
