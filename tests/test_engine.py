@@ -137,7 +137,7 @@ def test_pairings_and_weights():
 
 def test_derangement_moves_all_but_the_kept(spark):
     df = spark.range(20).withColumn("label", F.col("id") % 2)
-    got = retrieval.derange_within(df, 0.5, 1, ["label"]).toPandas()
+    got = retrieval.derange_within(df, 0.5, 1, ["label"], buckets=3).toPandas()
     assert sorted(got["partner"]) == list(range(20)) and got["is_true"].sum() == 10
     assert (got["partner"] % 2 == got["label"]).all()
 
@@ -242,6 +242,31 @@ def test_online_model(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).where("batch = 0").count() == 2
 
 
+def test_online_model_goes_on_after_a_restart(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("s", "m", "c"))
+    rows = lambda v: spark.createDataFrame([([float(v), 0.0],)] * 4, "vec array<double>")
+    first = clustering.Model(np.array([[0.0, 0], [90, 90]]), np.zeros(2))
+    rows(8).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    ingest.online_model(ingest.shards(spark, src, schema), first, out, cp).awaitTermination()
+    rows(16).write.mode("append").parquet(src)
+    ingest.online_model(ingest.shards(spark, src, schema), first, out, cp).awaitTermination()
+    got = ingest.last_model(spark, out)
+    assert got.counts.tolist() == [8, 0] and got.centers[0].tolist() == [12, 0]
+
+
+def test_not_a_number_is_an_error(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
+    with pytest.raises(Exception, match="not a number in x"):
+        records.no_nan(df, "x").collect()
+
+
+def test_places_in_groups_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), (None, 5), (None, 5), ("b", 2)], "g string, v int")
+    got = ordering.numbered_by(df, ["g"], ["v"], buckets=2).collect()
+    assert sorted((r["g"] or "", r["v"], r["pos"], r["size"]) for r in got) == [("", 5, 0, 2), ("", 5, 1, 2), ("a", 1, 0, 2), ("a", 3, 1, 2), ("b", 2, 0, 1)]
+
+
 def test_positions_are_gapless(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("x"))
     got = ordering.numbered(df, ["x"], buckets=5).collect()

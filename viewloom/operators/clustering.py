@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import forget, materialize
+
 #: Numbers in a model.
 LIMIT = 16_000_000
 #: A centre with under (total / k) ** UNDER_USE rows has its distances divided by DISCOUNT.
@@ -89,21 +91,24 @@ def gather(rows: DataFrame, model: Model, vec: str = "vec", discount: bool = Tru
     got = rows.select(vec).mapInPandas(part, "k int, s array<double>, n double, far double, rows double")
     got = got.select("k", "n", "far", "rows", F.posexplode("s").alias("pos", "x")).groupBy("k", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("far").alias("far"), F.sum("rows").alias("rows"))
     out = got.toPandas().sort_values(["k", "pos"])
+    if not len(out):
+        return np.zeros((k, d)), np.zeros(k), 0.0
     sums = out["x"].to_numpy().reshape(k, d)
     first = out.drop_duplicates("k")
     return sums, first["n"].to_numpy(), float(first["far"].sum() / max(first["rows"].sum(), 1))
 
 
 def train(rows: DataFrame, k: int, epochs: int = 2, batches: int = 4, seed: int = 0, vec: str = "vec", key: str = "id", rate=lambda e: 0.1 ** (2 + e // 5)) -> Model:
-    """Mini-batch training: rows are dealt to batches by md5, each batch is one distributed aggregation."""
+    """Mini-batch training: rows are dealt to batches by md5 and written so; each batch is one distributed aggregation."""
     draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
     first = rows.select(vec).orderBy(draw, key).limit(k).collect()
     model = Model(np.array([r[0] for r in first], float), np.zeros(len(first)))
-    dealt = rows.withColumn("_batch", F.pmod(F.conv(F.substring(draw, 1, 8), 16, 10).cast("long"), F.lit(batches)))
+    dealt = materialize(rows.select(vec, F.pmod(F.conv(F.substring(draw, 1, 8), 16, 10).cast("long"), F.lit(batches)).alias("_batch")), "batches", "_batch")
     for e in range(epochs):
         for b in range(batches):
             sums, counts, _ = gather(dealt.where(F.col("_batch") == b), model, vec)
             model = step(model, sums, counts, rate(e))
+    forget(dealt)
     return model
 
 

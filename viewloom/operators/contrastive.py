@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import affine, dot, normalized
+from ..sources.scratch import forget, materialize
 from . import ordering
 
 TEMPERATURE = 0.1
@@ -70,6 +70,7 @@ def train(rows: DataFrame, m: int = 16, epochs: int = 3, size: int = 128, rate:
     m1, m2, top = ([np.zeros_like(x) for x in p.parts()] for _ in range(3))
     losses, t, slices = [], 0, 4
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(slices))
+    dealt = materialize(rows.select("va", "vb", draw.alias("_slice")), "slices", "_slice")
     for epoch in range(epochs):
         for s in range(slices):
             now = p
@@ -87,7 +88,7 @@ def train(rows: DataFrame, m: int = 16, epochs: int = 3, size: int = 128, rate:
                 if n:
                     yield pd.DataFrame({"g": [np.concatenate([x.ravel() for x in total])], "loss": [lost], "n": [n]})
 
-            got = rows.where(draw == s).select("va", "vb").mapInPandas(part, "g array<double>, loss double, n long")
+            got = dealt.where(F.col("_slice") == s).select("va", "vb").mapInPandas(part, "g array<double>, loss double, n long")
             sums = got.select("loss", "n", F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("loss").alias("loss"), F.sum("n").alias("n")).orderBy("i").toPandas()
             if not len(sums):
                 continue
@@ -102,14 +103,21 @@ def train(rows: DataFrame, m: int = 16, epochs: int = 3, size: int = 128, rate:
                 top[k] = np.maximum(top[k], m2[k] / (1 - 0.999**t))
                 new.append(x - rate * min(1, t / warm) * (m1[k] / (1 - 0.9**t)) / (np.sqrt(top[k]) + 1e-8))
             p = Projection(*new)
+    forget(dealt)
     return p, losses
 
 
 def score(rows: DataFrame, p: Projection) -> DataFrame:
-    """``rows`` with the cosine of both projections, computed in the JVM from literal weights."""
-    a = normalized(affine(F.col("va"), p.wa.T.tolist(), p.ba.tolist()))
-    b = normalized(affine(F.col("vb"), p.wb.T.tolist(), p.bb.tolist()))
-    return rows.withColumn("pa", a).withColumn("pb", b).withColumn("score", dot(F.col("pa"), F.col("pb"))).drop("pa", "pb")
+    """``rows`` with the cosine of both projections; the weights travel with the function, batch by batch as matrices."""
+
+    @F.pandas_udf("double")
+    def cosine(va: pd.Series, vb: pd.Series) -> pd.Series:
+        if not len(va):
+            return pd.Series([], dtype=float)
+        a, b = _unit(np.stack(va.to_list()).astype(float) @ p.wa + p.ba)[0], _unit(np.stack(vb.to_list()).astype(float) @ p.wb + p.bb)[0]
+        return pd.Series((a * b).sum(1))
+
+    return rows.withColumn("score", cosine("va", "vb"))
 
 
 def batched(rows: DataFrame, size: int, seed: int = 0, buckets: int = 1024) -> DataFrame:

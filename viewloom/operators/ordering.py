@@ -80,11 +80,22 @@ def shard_even(pos: Column, rows: Column, parts: int) -> Column:
     return F.least(F.floor(pos / F.floor(rows / parts)), F.lit(parts - 1))
 
 
-def split_by_class(df: DataFrame, label: str, ratio: float, order: list[Column | str]) -> DataFrame:
+def numbered_by(df: DataFrame, by: list[str], order: list[str], column: str = "pos", size: str = "size", buckets: int = 1024) -> DataFrame:
+    """``df`` with each row's place from 0 in its group and the group's size.
+
+    A group begins where its least global position is, so no window holds a whole group; the join to the groups
+    is by null-safe equality and is split where one group is large.
+    """
+    placed = numbered(df, [*by, *order], "_global", buckets)
+    groups = placed.groupBy(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)]).agg(F.min("_global").alias("_first"), F.count("*").alias(size))
+    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    return placed.join(groups, same).withColumn(column, F.col("_global") - F.col("_first")).drop("_global", "_first", *[f"_by{i}" for i in range(len(by))])
+
+
+def split_by_class(df: DataFrame, label: str, ratio: float, order: list[str], buckets: int = 1024) -> DataFrame:
     """``is_train``: of each class the first half-even-rounded share of rows in the given order."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(*order))
-    size = F.count("*").over(W.partitionBy(label))
-    return df.withColumn("is_train", rank <= F.bround(size * F.lit(ratio)))
+    n = numbered_by(df, [label], order, "_at", "_size", buckets)
+    return n.withColumn("is_train", F.col("_at") < F.bround(F.col("_size") * F.lit(ratio))).drop("_at", "_size")
 
 
 def class_numbers(df: DataFrame, by: str, column: str = "label") -> DataFrame:

@@ -17,8 +17,9 @@ def last_wins(df: DataFrame, key: str, order: str, values: list[str]) -> DataFra
 
 
 def first_wins(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """Of rows that agree in ``columns`` the first in order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*columns).orderBy(*order))).where("_n = 1").drop("_n")
+    """Of rows that agree in ``columns`` the first in order, as one aggregation that combines early."""
+    row = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(columns)]).agg(row.alias("_row")).select("_row.*")
 
 
 def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,24 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SIMILARITIES
-from .ordering import draw, numbered
+from ..sources.scratch import materialize
+from .ordering import draw, numbered, numbered_by
 
 
-def clip_classes(views: DataFrame, cap: int | None = None) -> DataFrame:
+def clip_classes(views: DataFrame, cap: int | None = None, buckets: int = 1024) -> DataFrame:
     """Rows (view, id, label) cut so that all views have the classes and class sizes that they share.
 
     Classes are those of every view in label order up to the least class count; sizes are the least over
     views, at most ``cap``.
     """
+    placed = numbered_by(views.select("view", "id", "label"), ["view", "label"], ["id"], "pos", "n", buckets)
     counts = views.groupBy("view", "label").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("c", F.dense_rank().over(W.partitionBy("view").orderBy("label")))
+    ranked = numbered_by(counts, ["view"], ["label"], "c", "classes", buckets=8).withColumn("c", F.col("c") + 1)
     n_views = counts.select("view").distinct().count()  # a handful, set by the experiment
     size = ranked.groupBy("c").agg(F.min("n").alias("m"), F.count("*").alias("k")).where(F.col("k") == n_views)
     if cap is not None:
         size = size.withColumn("m", F.least("m", F.lit(cap)))
     keep = ranked.join(size, "c").select("view", "label", "c", "m")
-    numbered = views.join(F.broadcast(keep), ["view", "label"]).withColumn("pos", F.row_number().over(W.partitionBy("view", "label").orderBy("id")))
-    return numbered.where(F.col("pos") <= F.col("m")).select("view", "id", "label", F.col("c").alias("class"), "pos")
+    out = placed.withColumn("pos", F.col("pos") + 1).join(keep, ["view", "label"])
+    return out.where(F.col("pos") <= F.col("m")).select("view", "id", "label", F.col("c").alias("class"), "pos")
 
 
 def aligned(views: DataFrame, n_views: int) -> DataFrame:
@@ -32,17 +34,20 @@ def aligned(views: DataFrame, n_views: int) -> DataFrame:
     return views.groupBy("id").agg(F.count_distinct("view").alias("n")).where(F.col("n") == n_views).select("id")
 
 
-def derange_within(rows: DataFrame, ratio: float, seed: int, by: list[str], buckets_key: str = "id") -> DataFrame:
-    """(id, partner, is_true): in each group the first rows in md5 order keep their partner, the next get each
-    other's, one on, so none of these keeps its own (unless alone)."""
-    size = F.count("*").over(W.partitionBy(*by))
-    pos = F.row_number().over(W.partitionBy(*by).orderBy(draw(seed, buckets_key), buckets_key))
-    n = rows.withColumns({"_pos": pos, "_size": size})
-    n = n.withColumn("_same", F.floor(F.col("_size") * F.lit(ratio)))
-    w = W.partitionBy(*by, F.col("_pos") > F.col("_same")).orderBy("_pos")
-    first = F.first(buckets_key).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    moved = F.coalesce(F.lead(buckets_key).over(w), first)
-    return n.withColumn("partner", F.when(F.col("_pos") <= F.col("_same"), F.col(buckets_key)).otherwise(moved)).withColumn("is_true", F.col("partner") == F.col(buckets_key)).drop("_pos", "_size", "_same")
+def derange_within(rows: DataFrame, ratio: float, seed: int, by: list[str], key: str = "id", buckets: int = 1024) -> DataFrame:
+    """``rows`` with ``partner`` and ``is_true``: in each group the first rows in md5 order keep their partner, the
+    next get each other's, one on, so none of these keeps its own (unless alone).
+
+    Partners meet by their place in the group, which is a key of its own; no group is held by one task.
+    """
+    n = numbered_by(rows.withColumn("_draw", draw(seed, key)), by, ["_draw", key], "_pos", "_size", buckets).drop("_draw")
+    same = F.floor(F.col("_size") * F.lit(ratio))
+    after = F.when(F.col("_pos") < same, F.col("_pos")).when(F.col("_pos") + 1 < F.col("_size"), F.col("_pos") + 1).otherwise(same)
+    n = materialize(n.withColumn("_next", after), "placed")
+    partner = n.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_pos").alias("_next"), F.col(key).alias("partner"))
+    on = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    out = n.alias("n").join(partner.alias("p"), [*on, F.col("n._next") == F.col("p._next")])
+    return out.select(*[F.col(f"n.{c}").alias(c) for c in rows.columns], "partner").withColumn("is_true", F.col("partner") == F.col(key))
 
 
 def by_similarity(rows: DataFrame, kind: str, n: int) -> DataFrame:

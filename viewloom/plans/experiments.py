@@ -23,7 +23,7 @@ def _two(spark, d):
   r as (select t."view", t.id, t.label, c.c, row_number() over (partition by t."view", t.label order by t.id) pos from tw t join c using ("view", label))
   select "view", id, label, r.c "class", pos from r join m on m.c = r.c where pos <= m""")
 def class_clip(spark, d):
-    return retrieval.clip_classes(_two(spark, d), 20)
+    return retrieval.clip_classes(_two(spark, d), 20, buckets=8)
 
 
 @query("align_views", f"with {_TWO} select id from tw group by id having count(distinct \"view\") = 2")
@@ -41,13 +41,13 @@ def _derange(by, n):
 @query("derange_class", _derange("partition by label", 11))
 def derange_class(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return retrieval.derange_within(e, 0.5, 11, ["label"]).select("id", "partner", "is_true")
+    return retrieval.derange_within(e, 0.5, 11, ["label"], buckets=8).select("id", "partner", "is_true")
 
 
 @query("derange_sample", _derange("partition by label % 4", 12).replace("partition by label, same", "partition by label % 4, same"))
 def derange_sample(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 4).alias("shard"))
-    return retrieval.derange_within(e, 0.5, 12, ["shard"]).select("id", "partner", "is_true")
+    return retrieval.derange_within(e, 0.5, 12, ["shard"], buckets=8).select("id", "partner", "is_true")
 
 
 @query("start_one_per_class", "select label, min(vec_id) id from embeddings group by label")
@@ -212,11 +212,12 @@ def view_geometry(spark, d):
     return table(spark, d, "documents").select("doc_id", t.alias("temporal"), s.alias("spatial"), F.round(evaluation.view_start(F.col("n_chars") - 500.0, t, 10), 6).alias("start"))
 
 
-@query("json_lines", """select o_orderkey, o_orderpriority priority from orders""")
+@query("json_lines", "select o_orderkey, o_orderpriority priority, round(o_totalprice / 7, 6) price from orders")
 def json_lines(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), "o_totalprice")
-    line = evaluation.json_line(o, ["o_orderkey", "priority", "o_totalprice"])
-    return line.select(F.get_json_object("line", "$.o_orderkey").cast("bigint").alias("o_orderkey"), F.get_json_object("line", "$.priority").alias("priority"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") / 7).alias("price"))
+    line = evaluation.json_line(o, ["o_orderkey", "priority", "price"])
+    field = lambda name, kind: F.get_json_object("line", f"$.{name}").cast(kind).alias(name)
+    return line.select(field("o_orderkey", "bigint"), field("priority", "string"), field("price", "double"))
 
 
 _PAIRSIM = "cl as (select vec_id // 10 video, vec_id clip, embedding[1:32]::double[] v from embeddings)"

@@ -184,11 +184,11 @@ def flatten_features(spark, d):
     return records.flatten_features(rows).select("vec_id", "model_key", "layer", F.round(F.get("value", F.lit(0)).cast("double"), 6).alias("head"))
 
 
-@query("group_samples", f"with {MEDIA_SQL} select shard_name, stem prefix, 2 parts from media group by all")
+@query("group_samples", f"with {MEDIA_SQL} select shard_name, stem prefix, 1 + doc_id % 3 parts, case when doc_id % 3 > 0 then n_chars::varchar end json from media")
 def group_samples(spark, d):
-    m = media(spark, d).select("shard_name", "stem", F.col("n_chars").cast("string").alias("content")).dropDuplicates(["shard_name", "stem"])
-    members = m.select("shard_name", F.explode(F.array(*[F.struct(F.concat("stem", F.lit(f".{e}")).alias("name"), F.col("content")) for e in ("mp4", "json")])).alias("f")).select("shard_name", "f.*")
-    return records.samples_by_prefix(members).select("shard_name", "prefix", F.size("sample").alias("parts"))
+    m = media(spark, d).select("shard_name", "stem", F.col("n_chars").cast("string").alias("content"), F.explode(F.slice(F.array(*map(F.lit, ("mp4", "JSON", "txt"))), 1, (F.col("doc_id") % 3 + 1).cast("int"))).alias("e"))
+    members = m.select("shard_name", F.concat("stem", F.lit("."), "e").alias("name"), "content")
+    return records.samples_by_prefix(members).select("shard_name", "prefix", F.size("sample").cast("bigint").alias("parts"), F.try_element_at("sample", F.lit("json")).alias("json"))
 
 
 @query("unselected", "select doc_id from (select doc_id from documents union all select doc_id from labels) group by 1 having count(*) = 1")
@@ -196,10 +196,10 @@ def unselected(spark, d):
     return records.once(table(spark, d, "documents").select("doc_id").unionAll(table(spark, d, "labels").select("doc_id")), ["doc_id"])
 
 
-@query("covering_models", "select c_nationkey epoch, list_sort(list(distinct c_mktsegment)) shards from customer group by 1 having len(list_filter(list(distinct c_mktsegment), lambda s: s not in ('BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE'))) = 0")
+@query("covering_models", "select s_nationkey epoch, list_sort(list(distinct s_suppkey % 5)) shards from supplier group by 1 having bool_and(s_suppkey % 5 < 3)")
 def covering_models(spark, d):
-    m = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("epoch")).agg(F.sort_array(F.collect_set("c_mktsegment")).alias("shards"))
-    return records.covering_models(m, ["BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE"])
+    m = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("epoch")).agg(F.sort_array(F.collect_set(F.col("s_suppkey") % 5)).alias("shards"))
+    return records.covering_models(m, [0, 1, 2])
 
 
 @query("det_shuffle", "select vec_id id, row_number() over (order by md5('7-' || vec_id), vec_id) - 1 pos from embeddings")
@@ -257,7 +257,7 @@ def shard_split(spark, d):
 
 @query("split_train_test", "select vec_id, row_number() over (partition by label order by vec_id) <= round_even(count(*) over (partition by label) * 0.75, 0) is_train from embeddings")
 def split_train_test(spark, d):
-    return ordering.split_by_class(table(spark, d, "embeddings").select("vec_id", "label"), "label", 0.75, ["vec_id"]).select("vec_id", "is_train")
+    return ordering.split_by_class(table(spark, d, "embeddings").select("vec_id", "label"), "label", 0.75, ["vec_id"], buckets=8).select("vec_id", "is_train")
 
 
 @query("class_index", "select doc_id, dense_rank() over (order by source) - 1 label, clip from documents, (select unnest(generate_series(0, 2)) clip)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,17 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later reads survive lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: later reads survive lost executors.
+
+    With ``by``, a column of few values, reads of one value open that value's files alone.
+    """
     path = f"{shared_dir(df.sparkSession)}/viewloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:
     """Remove tables that ``materialize`` wrote and that no later step reads."""
     for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/viewloom-" in folder:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder).getParent()
-                path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+        for root in {f[: m.end() - 1] for f in df.inputFiles() if (m := re.search("/viewloom-[0-9a-f]{32}/", f))}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
