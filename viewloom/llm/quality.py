@@ -38,7 +38,7 @@ RULES = (
     Rule("repeat_words", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbol_heavy", "10 * n_symbols > 3 * n_words"),
     Rule("shouting", "2 * n_exclaims > n_words"),
-    Rule("capitals", "n_upper > 20 and 2 * n_upper > n_letters"),
+    Rule("capitals", "n_upper > 20 and 2 * n_upper > word_chars"),
     Rule("long_words", "word_chars - n_unspaced > 40 * n_words"),
     Rule("repeat_lines", "2 * n_dup_lines > n_lines"),
 )
@@ -48,8 +48,8 @@ POLICIES = (
     Policy("lenient", tuple(r.name for r in RULES), tolerated=1),
 )
 WINDOW = 5
-#: Letters of scripts that are written without spaces between words.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Blocks of scripts that are written without spaces: Thai and Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 
 
 def mask(policy: Policy, rules: tuple[Rule, ...] = RULES) -> int:
@@ -81,7 +81,6 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("_t", F.lit("!")).cast("long").alias("n_exclaims"),
         F.length(F.regexp_replace("_t", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("_t", r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.regexp_count("_t", F.lit(UNSPACED)).cast("long").alias("n_unspaced"),
     )
     kept = [c for c in out.columns if c != "_w"]

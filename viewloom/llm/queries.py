@@ -95,16 +95,16 @@ with t as (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(t
 g as (select doc_id, p, w[p:p + 4] x from t, unnest(generate_series(1, len(w) - 4)) u(p) where len(w) >= 5),
 r as (select doc_id, count(distinct q) n from (select doc_id, p, count(*) over (partition by doc_id, x) c from g), unnest(generate_series(p, p + 4)) u(q) where c > 1 group by 1),
 m as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, len(ls) n_lines,
-  coalesce(n, 0) n_repeat_words, len(regexp_extract_all(text, '!')) ex, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) up, length(regexp_replace(text, '\P{{L}}+', '', 'g')) letters,
-  len(regexp_extract_all(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]')) unspaced from t left join r using (doc_id))"""
+  coalesce(n, 0) n_repeat_words, len(regexp_extract_all(text, '!')) ex, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) up,
+  len(regexp_extract_all(text, '[\x{{0E00}}-\x{{0EFF}}\x{{1000}}-\x{{109F}}\x{{1780}}-\x{{17FF}}\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}\x{{20000}}-\x{{3FFFF}}]')) unspaced from t left join r using (doc_id))"""
 
 _OP10 = _MEASURED + """,
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > 3 * n_words or 2 * ex > n_words or (up > 20 and 2 * up > letters) or word_chars - unspaced > 40 * n_words) kept from b"""
+  not (base_failed or 10 * n_symbols > 3 * n_words or 2 * ex > n_words or (up > 20 and 2 * up > word_chars) or word_chars - unspaced > 40 * n_words) kept from b"""
 
 _ABLATIONS = _MEASURED + """,
-f as (select [n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > 3 * n_words, 2 * ex > n_words, up > 20 and 2 * up > letters, word_chars - unspaced > 40 * n_words, 2 * n_dup_lines > n_lines]::int[] v from m),
+f as (select [n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > 3 * n_words, 2 * ex > n_words, up > 20 and 2 * up > word_chars, word_chars - unspaced > 40 * n_words, 2 * n_dup_lines > n_lines]::int[] v from m),
 p(policy, rules, tolerated) as (values ('base', [1, 2], 0), ('standard', [1, 2, 3, 4, 5, 6], 0), ('lenient', [1, 2, 3, 4, 5, 6, 7], 1)),
 e as (select policy, r, tolerated, list_sum(list_transform(rules, lambda k: v[k])) fails, v[r] own from f, p, unnest(rules) u(r))
 select policy, ['few_words', 'repeat_words', 'symbol_heavy', 'shouting', 'capitals', 'long_words', 'repeat_lines'][r] "rule",
