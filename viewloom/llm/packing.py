@@ -22,19 +22,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_in_worker, released
+
 SEQUENCE = 4096
 END = 2
 VOCABULARY = "word_bpe_49k.json"
 #: UTF-8 bytes of text that one packing group holds on average.
 GROUP_BYTES = 4 << 20
-#: Distinct words whose ids a Python worker keeps.
-CACHE = 1_000_000
+#: Bytes, about, of distinct words and their ids that a Python worker keeps.
+CACHE_BYTES = 48 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 _FEW = [chr(i) for i in range(0x180)]
@@ -44,7 +45,9 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LE
 #: Texts with other characters, odd white space or an added token's mark go through the tokenizer whole.
 _ODD = r"<\||[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{17f}]"
 #: Bytes of text encoded at once.
-_CHUNK = 8 << 20
+_CHUNK = 1 << 20
+#: Bytes that a known word takes beside its characters and ids.
+_PER_WORD = 160
 
 
 class WordEncoder:
@@ -75,7 +78,7 @@ class WordEncoder:
         self.lengths = np.zeros(1 << 12, np.int64)
         self.starts = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, self.dtype)
-        self.used = 0
+        self.used = self.size = 0
 
     def _learn(self, new: list[str]) -> None:
         pieces = [_PIECE.findall(w) for w in new]
@@ -94,11 +97,12 @@ class WordEncoder:
         self.starts[n : n + len(new)] = self.used + edge[:-1]
         self.lengths[n : n + len(new)] = np.diff(edge)
         self.used += len(got)
+        self.size += _PER_WORD * len(new) + sum(map(len, new)) + got.nbytes
         self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's followed by ``end``; the number of each text's, with that."""
-        if len(self.known) > CACHE:
+        if self.size > CACHE_BYTES:
             self.reset()
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(~odd))))
@@ -123,14 +127,9 @@ class WordEncoder:
         return out, count + 1
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return kept_in_worker(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -148,7 +147,7 @@ def pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path or vocabulary())
-        for b in batches:
+        for b in released(batches):
             texts = pc.fill_null(b.column("_text"), "")
             place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // _CHUNK
             cuts = [0, *(np.flatnonzero(np.diff(place)) + 1), len(texts)]
@@ -196,25 +195,29 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     """One row per packed piece, with its ids: ``sequence_id``, ``offset`` and ``ids`` rebuild the sequences."""
     weight = docs.select((F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("n")).agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-int(weight) // group_bytes))
-    wide = np.dtype("<u2")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "start"], kind="stable", ignore_index=True)
-        width = np.dtype("<u4") if len(pdf) and pdf["wide"].iloc[0] else wide
-        ids = [np.frombuffer(x, width) for x in pdf["ids"]]
-        keys, starts, totals, group = (pdf[c].tolist() for c in (key, "start", "doc_tokens", "group"))
-        filled: dict[int, int] = {}
-        rows = []
-        for p, first, n, s in balance(np.array([len(x) for x in ids], np.int64), sequence):
-            raw = ids[p][first : first + n].astype("<u4").tobytes()
-            rows.append((keys[p], starts[p] + first, n, zlib.crc32(raw), totals[p], (group[p] << 32) + s, filled.get(s, 0), raw))
-            filled[s] = filled.get(s, 0) + n
-        return pd.DataFrame(rows, columns=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-
     kind = docs.schema[key].dataType.simpleString()
+    narrow = encoder(path or vocabulary()).dtype.itemsize == 2
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(key, "ascending"), ("start", "ascending")])
+        ids = [np.frombuffer(x, "<u2" if narrow else "<u4") for x in group["ids"].to_pylist()]
+        starts = group["start"].to_numpy()
+        number = group["group"][0].as_py() << 32
+        placed = balance(np.array([len(x) for x in ids], np.int64), sequence)
+        p, first, n, s = (np.array(x, np.int64) for x in (zip(*placed, strict=True) if placed else [()] * 4))
+        raw = [ids[i][f : f + m].astype("<u4").tobytes() for i, f, m, _ in placed]
+        # a sequence is filled in the order of its pieces: each begins where those before it end
+        order = np.argsort(s, kind="stable")
+        end = np.cumsum(n[order])
+        new = np.concatenate([[True], s[order][1:] != s[order][:-1]])
+        offset = np.empty(len(n), np.int64)
+        offset[order] = end - n[order] - (end - n[order])[new][np.cumsum(new) - 1]
+        took = pa.array(p)
+        columns = [group[key].take(took), starts[p] + first, n, [zlib.crc32(x) for x in raw], group["doc_tokens"].take(took), number + s, offset, pa.array(raw, pa.binary())]
+        return pa.table([pa.chunked_array([pa.array(c, pa.int64())]) if isinstance(c, (list, np.ndarray)) else c for c in columns], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+
     cut = pieces(docs, path, key, text, sequence).withColumn("group", F.pmod(F.xxhash64(key, "start", F.crc32("ids")), F.lit(groups)))
-    cut = cut.withColumn("wide", F.lit(encoder(path or vocabulary()).dtype.itemsize > wide.itemsize))
-    return cut.groupBy("group").applyInPandas(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return cut.groupBy("group").applyInArrow(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def packed(docs: DataFrame) -> DataFrame:
