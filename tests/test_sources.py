@@ -74,3 +74,60 @@ def test_options():
 def test_functions_in_sql_text(spark):
     sql.register(spark)
     assert tuple(spark.sql("select n_log_n(0), n_log_n(1), pairs_of(4), mi_term(2, 2, 2, 4)").first()) == pytest.approx((0, 0, 6, 0.5 * np.log(2)))
+
+
+def test_archives_are_dealt_to_nodes_and_workers(spark, tmp_path):
+    import tarfile
+
+    from viewloom.sources import tar
+
+    (tmp_path / "a.txt").write_text("x")
+    for i in range(7):
+        with tarfile.open(tmp_path / f"shard-{i}.tar", "w") as t:
+            t.add(tmp_path / "a.txt", "a.txt")
+    tar.register(spark)
+    seen = []
+    for node in range(2):
+        for worker in range(2):
+            rows = spark.read.format("tarshard").options(paths=f"{tmp_path}/shard-{{0..6}}.tar", nodes=2, node=node, workers=2, worker=worker).load()
+            seen.append(sorted(r["shard_name"] for r in rows.collect()))
+    assert seen == [["shard-0", "shard-4"], ["shard-2", "shard-6"], ["shard-1", "shard-5"], ["shard-3"]]
+
+
+def test_shapes_of_lists_and_maps(spark):
+    from viewloom.operators import records
+
+    df = spark.createDataFrame([("k", [1, 2], ["a", "b"])], "k string, x array<int>, y array<string>")
+    assert [tuple(r) for r in records.transposed(df, ["x", "y"]).collect()] == [("k", 0, 1, "a"), ("k", 1, 2, "b")]
+    rows = spark.createDataFrame([("m", "p", 1), ("m", "q", 2), ("n", "p", 3)], "o string, i string, v int")
+    assert {r["i"]: r["v"] for r in records.levels_exchanged(rows, "o", "i", "v").collect()} == {"p": {"m": 1, "n": 3}, "q": {"m": 2}}
+    maps = spark.createDataFrame([({"x": 1}, {"x": 2})], "a map<string,int>, b map<string,int>")
+    assert records.flat_maps(maps, ["a", "b"]).first()["flat"] == {"a_x": 1, "b_x": 2}
+    files = spark.createDataFrame([("s", "f"), ("s", "g"), ("s", "g")], "shard_name string, filename string")
+    assert [tuple(r) for r in records.non_matching(files, files.where("filename = 'f'")).collect()] == [("s", "g", 2)]
+    gaps = spark.createDataFrame([(1, None), (None, 2), (3, 4)], "a int, b int")
+    assert [tuple(r) for r in records.complete_modalities(gaps, ["a", "b"]).collect()] == [(3, 4)]
+
+
+def test_best_row_and_cut(spark):
+    from viewloom.operators import ordering
+
+    df = spark.createDataFrame([(3, 1.0), (2, 5.0), (1, 5.0), (0, None)], "id int, score double")
+    assert tuple(ordering.best(df, "score").first()) == (1, 5.0) and ordering.best(df.limit(0), "score").count() == 0
+    assert [r["id"] for r in ordering.cut(df, 2).collect()] == [0, 1]
+
+
+def test_option_grids():
+    from viewloom.operators import pairing
+
+    options = pairing.grid({"weight_type": [None, "linear", "exp:1", "exp:900"], "k": [1]})
+    assert [o["weight_type"] for o in pairing.without_overflow(options)] == [None, "linear", "exp:1"]
+    assert pairing.run_grid(options, lambda o: o["k"] + 1, 2) == [2] * 4
+
+
+def test_payloads_are_prepared_and_may_be_dropped(spark):
+    from viewloom.operators import extract
+
+    only = extract.Extractor("x", "audio", lambda ps: [{"layer_0": np.array([len(p)])} for p in ps], lambda p: p[1:] if len(p) > 1 else None)
+    assert [g and int(g["layer_0"][0]) for g in only([b"abc", b"a", None])] == [2, None, None]
+    assert extract.serving(["byte_histogram", "projection"], ["audio"]) == ["byte_histogram"]

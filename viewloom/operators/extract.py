@@ -26,19 +26,34 @@ class Extractor:
     name: str
     view: str
     run: Extract
+    #: What is done to a payload first; None drops it.
+    prepare: Callable[[bytes], bytes | None] | None = None
+
+    def __call__(self, payloads: list[bytes | None]) -> list[dict[str, np.ndarray] | None]:
+        ready = [None if p is None else self.prepare(p) if self.prepare else p for p in payloads]
+        at = [i for i, p in enumerate(ready) if p is not None]
+        out: list[dict[str, np.ndarray] | None] = [None] * len(payloads)
+        for i, got in zip(at, self.run([ready[i] for i in at]), strict=True):
+            out[i] = got
+        return out
 
 
 REGISTRY: dict[str, Extractor] = {}
 
 
-def register(name: str, view: str) -> Callable[[Extract], Extract]:
+def register(name: str, view: str, prepare: Callable[[bytes], bytes | None] | None = None) -> Callable[[Extract], Extract]:
     def add(f: Extract) -> Extract:
-        REGISTRY[name] = Extractor(name, view, f)
+        REGISTRY[name] = Extractor(name, view, f, prepare)
         return f
 
     return add
 
 
+def serving(names: list[str], views: list[str]) -> list[str]:
+    """The extractors that serve one of the views, such as those of data without pictures."""
+    return [n for n in names if REGISTRY[n].view in views]
+
+
 @register("byte_histogram", "audio")
 def byte_histogram(payloads: list[bytes]) -> list[dict[str, np.ndarray] | None]:
     """A deterministic stand-in for a network: shares of byte values at two grains."""
@@ -71,9 +86,9 @@ def extract(clips: DataFrame, names: list[str], content: str = "content") -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            payloads = [bytes(x) if x is not None else b"" for x in b[content]]
+            payloads = [None if x is None else bytes(x) for x in b[content]]
             for e in chosen:
-                got = e.run(payloads)
+                got = e(payloads)
                 at = [(i, layer, v.astype(np.float32)) for i, g in enumerate(got) if g for layer, v in g.items()]
                 if at:
                     i, layers, vecs = zip(*at, strict=True)

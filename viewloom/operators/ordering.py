@@ -36,6 +36,17 @@ def top(df: DataFrame, score: str, n: int, key: str = "id") -> DataFrame:
     return df.orderBy(F.desc(score), key).limit(n)
 
 
+def best(df: DataFrame, score: str, key: str = "id") -> DataFrame:
+    """The row of the largest score, of equal ones that with the smallest key: one aggregation, no sort."""
+    row = F.min_by(F.struct(*df.columns), F.struct((-F.col(score)).alias("s"), key))
+    return df.where(F.col(score).isNotNull()).agg(row.alias("_row")).where("_row is not null").select("_row.*")
+
+
+def cut(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """The first n rows by key."""
+    return df.orderBy(key).limit(n)
+
+
 def top_by(df: DataFrame, by: list[str], score: str, n: int, key: str = "id") -> DataFrame:
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), F.col(key)))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -62,3 +62,26 @@ def weights(depths: list[float], kind: str = "linear", coefficient: float = 1.0)
 def grid(options: dict[str, list]) -> list[dict]:
     """All combinations of option values."""
     return [dict(zip(options, values, strict=True)) for values in product(*options.values())]
+
+
+def without_overflow(options: list[dict], depths: int = 5, key: str = "weight_type") -> list[dict]:
+    """Option sets whose pair weights stay finite when squared twice; ``key`` names the kind and, after a colon, its coefficient."""
+
+    def fits(o: dict) -> bool:
+        if o.get(key) is None:
+            return True
+        kind, _, coefficient = str(o[key]).partition(":")
+        try:
+            return all(math.isfinite(w**4) for w in weights([float(d) for d in range(depths)], kind, float(coefficient or 1)))
+        except OverflowError:
+            return False
+
+    return [o for o in options if fits(o)]
+
+
+def run_grid(options: list[dict], run: Callable[[dict], object], at_once: int = 4) -> list:
+    """What ``run`` gives for each option set, in order; several Spark jobs are under way at once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(run, options))

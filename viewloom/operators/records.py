@@ -58,6 +58,37 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def non_matching(files: DataFrame, listed: DataFrame, keys: tuple[str, ...] = ("shard_name", "filename")) -> DataFrame:
+    """Files that their shard's metadata does not list, with their number of rows."""
+    return not_done(files, listed, list(keys)).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def complete_modalities(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have a value in each of the columns; what could not be read is null there and goes."""
+    return rows.na.drop(subset=columns)
+
+
+def transposed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per position of equally long arrays: columns of lists as a list of rows; other columns are repeated."""
+    rest = [c for c in rows.columns if c not in columns]
+    each = rows.select(*rest, F.posexplode(F.arrays_zip(*columns)).alias("pos", "_z"))
+    return each.select(*rest, F.col("pos").cast("long").alias("pos"), *[F.col(f"_z.{c}").alias(c) for c in columns])
+
+
+def levels_exchanged(rows: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """(inner, map of outer to value) from rows that are keyed by outer, then inner."""
+    return rows.groupBy(inner).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(outer, value)))).alias(value))
+
+
+def flat_maps(rows: DataFrame, columns: list[str], separator: str = "_") -> DataFrame:
+    """``flat``: several maps as one, whose keys begin with the name of the map."""
+
+    def named(column: str) -> Column:
+        return F.transform_keys(column, lambda k, _: F.concat(F.lit(f"{column}{separator}"), k))
+
+    return rows.withColumn("flat", F.map_concat(*map(named, columns)))
+
+
 def shard_partitions(shards: DataFrame, logs: DataFrame) -> DataFrame:
     """The partition of each shard by the latest log, by its time stamp as text, that lists it; -1 if none does."""
     listed = logs.select("partition", "timestamp", F.explode("shards").alias("shard_name"))

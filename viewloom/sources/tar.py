@@ -11,7 +11,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 class TarSource(DataSource):
     """``spark.read.format("tarshard").option("paths", "a.tar,b.tar").load()``.
 
-    Options: ``paths`` (brace patterns allowed), ``content`` (false: names alone), ``skip`` (names to leave out).
+    Options: ``paths`` (brace patterns allowed), ``content`` (false: names alone), ``skip`` (names to leave out),
+    ``nodes`` and ``node``, then ``workers`` and ``worker``: every so manyth archive from that number on.
     Paths are opened with pyarrow, so any store it reaches will do.
     """
 
@@ -31,6 +32,8 @@ class TarReader(DataSourceReader):
         from .files import expand
 
         self.paths = [p for pattern in options.get("paths", options.get("path", "")).split(";") for p in expand(pattern)]
+        for many, which in (("nodes", "node"), ("workers", "worker")):
+            self.paths = self.paths[int(options.get(which, 0)) :: int(options.get(many, 1))]
         self.content = options.get("content", "true").lower() != "false"
         self.skip = set(filter(None, options.get("skip", "").split(",")))
 
