@@ -9,30 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: An occurrence: hash, document id, hash of its text (rows that repeat a document count as one), place.
 OCCURRENCE = ["h1", "h2", "id", "tx", "pos"]
 
 
+#: Repeated ids that may be broadcast; beyond, all rows are told apart by the hash of their text.
+BROADCAST_ROWS = 500_000
+
+
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, tx): each row whole, and two numbers that name its document even where ids repeat or are null."""
-    return docs.select(
-        F.struct(*docs.columns).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tx"),
-    )
+    """(row, id, tx): each row whole, and two numbers that name its document even where ids repeat or are null.
+
+    ``tx`` is 0 for ids that occur once, so that it takes no room in shuffles.
+    """
+    own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id")
+    named = docs.select(F.struct(*docs.columns).alias("row"), own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tx"))
+    repeated = materialize(docs.select(own).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(1).alias("again")), "repeated")
+    if repeated.count() > BROADCAST_ROWS:
+        return named
+    return named.join(F.broadcast(repeated), "id", "left").select("row", "id", F.when(F.col("again").isNull(), F.lit(0).cast("long")).otherwise(F.col("tx")).alias("tx"))
 
 
 def later_occurrences(runs: DataFrame, inside: Column | None = None) -> DataFrame:
     """(id, tx, pos) of every occurrence but the first of each run; where ``inside`` is false, of those in other documents.
 
     The first is found by an aggregation that combines before the shuffle, so a run that a third of the
-    documents share is no hot group. The join back to the occurrences is a plain sort-merge join
-    that adaptive execution splits where one hash is frequent.
+    documents share is no hot group. First occurrences of repeated runs are written, so that the join
+    back to the occurrences is a plain sort-merge join, which adaptive execution splits where one hash is frequent.
     """
     first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "tx", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select("h1", "h2", "first"), "first")
     at = F.struct("id", "tx", "pos")
     later = at != F.col("first")
     if inside is not None:
         later &= inside | (F.col("id") != F.col("first.id")) | (F.col("tx") != F.col("first.tx"))
-    return runs.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(later).select("id", "tx", "pos")
+    return runs.join(first, ["h1", "h2"]).where(later).select("id", "tx", "pos")
 
 
 def covered_places(later: DataFrame) -> DataFrame:

@@ -23,16 +23,15 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from .common import stack
+from .common import materialize, released
 from .spans import covered_places, identified, later_occurrences
 
 SPAN, LEAST, LONG = 2, 16, 25
@@ -100,9 +99,10 @@ def _cuts(w: list[str]) -> list[int]:
     return out
 
 
-def runs(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Two hashes and the place of each run; sentences without words are skipped."""
-    said = [w for s in sentences(text) if (w := s.lower().split())]
+def runs(text: str) -> tuple[int, list[int], list[int], list[int]]:
+    """The number of sentences, and two hashes and the place of each run; sentences without words are skipped."""
+    cut = sentences(text)
+    said = [w for s in cut if (w := s.lower().split())]
     edge = [0, *accumulate(map(len, said))]
     joined = [" ".join(w) for w in said]
     found = []
@@ -121,56 +121,70 @@ def runs(text: str) -> tuple[list[int], list[int], list[int]]:
         h1.append(d >> 64)
         h2.append(d & 0xFFFFFFFFFFFFFFFF)
         pos.append(i << _BITS | j - i)
-    return h1, h2, pos
+    return len(cut), h1, h2, pos
+
 
+#: What one text is cut into: its sentences, and the hashes and places of its runs.
+CUT = pa.schema([("id", pa.int64()), ("tx", pa.int64()), ("n_sentences", pa.int64()), ("runs", pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("pos", pa.int32())])))])
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for lo in range(0, len(b), 512):
-            part = b.iloc[lo : lo + 512]
-            h1, h2, pos, n = [], [], [], []
-            for t in stack(part["text"]):
-                a, c, p = runs(t)
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in released(batches):
+        for lo in range(0, b.num_rows, 512):
+            part = b.slice(lo, 512)
+            h1, h2, pos, n, edge = [], [], [], [], [0]
+            for t in part.column("text").to_pylist():
+                count, a, c, p = runs(t or "")
                 h1 += a
                 h2 += c
                 pos += p
-                n.append(len(p))
-            signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"h1": signed(h1), "h2": signed(h2), "id": np.repeat(part["id"].to_numpy(), n), "tx": np.repeat(part["tx"].to_numpy(), n), "pos": np.array(pos, np.int32)})
+                n.append(count)
+                edge.append(len(pos))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            each = pa.StructArray.from_arrays([signed(h1), signed(h2), pa.array(pos, pa.int32())], ["h1", "h2", "pos"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tx"), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), each)], schema=CUT)
 
 
-def _removed(text: str, places: list[int]) -> tuple[int, list[int], list[int], str]:
-    """(sentences, character offsets of each removed stretch, the text without them)."""
+def _removed(text: str, places: list[int]) -> tuple[list[int], list[int], str]:
+    """(character offsets of each removed stretch, the text without them)."""
     cut = sentences(text)
-    if not len(places):
-        return len(cut), [], [], text
     solid = [i for i, s in enumerate(cut) if s.strip()]
     gone = sorted({solid[(p >> _BITS) + k] for p in places for k in range(p & (1 << _BITS) - 1)})
     edge = np.concatenate([[0], np.cumsum([len(s) for s in cut])])
     starts = [int(edge[g]) for j, g in enumerate(gone) if j == 0 or gone[j - 1] != g - 1]
     ends = [int(edge[g + 1]) for j, g in enumerate(gone) if j == len(gone) - 1 or gone[j + 1] != g + 1]
     lost = set(gone)
-    return len(cut), starts, ends, "".join(s for i, s in enumerate(cut) if i not in lost)
+    return starts, ends, "".join(s for i, s in enumerate(cut) if i not in lost)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text deduplicated, ``n_sentences``, ``n_removed`` (characters) and the removed
-    stretches as ``starts`` and ``ends`` in the original text; these replace columns of their names."""
+    stretches as ``starts`` and ``ends`` in the original text; these replace columns of their names.
+
+    Each text is cut once, and the hashes of its runs are written; texts that lose something are cut again
+    where it is removed.
+    """
     named = identified(docs, key, text)
-    found = named.select("id", "tx", F.col("row")[text].alias("text")).mapInPandas(_occurrences, "h1 long, h2 long, id long, tx long, pos int")
+    cut = materialize(named.select("id", "tx", F.col("row")[text].alias("text")).mapInArrow(_cut, from_arrow_schema(CUT)), "cut")
+    found = cut.select("id", "tx", F.explode("runs").alias("r")).select("r.h1", "r.h2", "id", "tx", "r.pos")
     places = covered_places(later_occurrences(found, F.col("pos").bitwiseAND((1 << _BITS) - 1) == SPAN))
-    joined = named.join(places, ["id", "tx"], "left").select("row", "places")
+    known = cut.groupBy("id", "tx").agg(F.max("n_sentences").alias("n_sentences")).join(places, ["id", "tx"], "left")
+    joined = named.join(known, ["id", "tx"]).select("row", "n_sentences", "places")
     schema = StructType([joined.schema["row"], *(StructField(n, from_arrow_type(t)) for n, t in NEW.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pc.struct_field(b.column("row"), text).to_pylist()
+        for b in released(batches):
+            old = pc.struct_field(b.column("row"), text)
             rows = []
-            for t, p in zip(texts, b.column("places").to_pylist(), strict=True):
-                n, starts, ends, new = _removed(t or "", p or [])
-                rows.append((None if t is None else new, n, sum(ends) - sum(starts), starts, ends))
-            columns = zip(*rows, strict=True) if rows else [()] * len(NEW)
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(list(c), k) for c, k in zip(columns, NEW.values(), strict=True))], ["row", *NEW])
+            for i, p in enumerate(b.column("places").to_pylist()):
+                if p:
+                    starts, ends, new = _removed(old[i].as_py(), p)
+                    rows.append((new, sum(ends) - sum(starts), starts, ends))
+                else:
+                    rows.append((old[i].as_py(), 0, [], []))
+            new, removed, starts, ends = zip(*rows, strict=True) if rows else [()] * 4
+            found = {"new": new, "n_sentences": b.column("n_sentences"), "n_removed": removed, "starts": starts, "ends": ends}
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(c if isinstance(c, pa.Array) else pa.array(list(c), NEW[n]) for n, c in found.items())], ["row", *NEW])
 
     out = joined.mapInArrow(run, schema)
     kept = [F.col("new").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in NEW]
