@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-All state is in tables; the driver sees only a count and a checksum per step. The number of steps grows
-with the logarithm of the longest path.
+All state is in tables; the driver sees only a few counts per step. The number of steps grows
+with the logarithm of the longest path. It ends when each node has one edge, to a node that has none: the
+smallest id that it reaches.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,22 +19,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     joined = near.join(least, "u")
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        return joined.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to one that is only led to."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("n_out"), F.lit(0).alias("n_in")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("n_out"), F.lit(1).alias("n_in")))
+    node = ends.groupBy("id").agg(F.sum("n_out").alias("n_out"), F.max("n_in").alias("n_in"))
+    return node.where("n_out > 1 or (n_out = 1 and n_in = 1)").isEmpty()
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(id, component): every id of an edge (u, v) with the smallest id reachable."""
     at = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    before = None
     for _ in range(limit):
-        now = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
+        if _settled(at):
             break
-        before = now
-        at = materialize(_star(_star(at, True), False), "edges")
+        old, at = at, materialize(_star(_star(at, True), False), "edges")
+        forget(old)
     else:
         raise RuntimeError("components did not settle")
-    return at.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(at.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return at.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(at.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

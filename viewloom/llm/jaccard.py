@@ -8,9 +8,10 @@ every document within distance d shares one of them. Sketch and d belong to a si
 near a band's upper edge is also found in the next one.
 
 Steps: (1) equal sets become one class; (2) block keys of class representatives meet in buckets;
-(3) each member is verified against the bucket leader with which it shares most keys; (4) buckets
-that still hold several components are compared by bit sketches inside a task, whose Hamming distance
-bounds the set difference from below, and the surviving pairs are verified; (5) components.
+(3) each member is verified against the bucket leader with which it shares most keys; (4) in buckets
+that still hold several components, members outside the largest one are compared with all others by bit
+sketches inside a task, whose Hamming distance bounds the set difference from below, and the
+surviving pairs are verified; (5) components.
 No bucket's pairs are emitted, none is dropped, and every link between components is found.
 
 The order of blocks puts frequent shingles last, by a count sketch of fixed size over all documents.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, released
 from .components import components
 
 SHINGLE = 5
@@ -51,6 +52,8 @@ BROADCAST_ROWS = 500_000
 STRONG = 3
 #: Members per task of one leader, and documents of one bucket block.
 FAN, BLOCK = 2000, 4096
+#: Pairs of documents, and bytes of their sketches, that a task compares at once.
+_PAIRS, _PAIR_BYTES = 1 << 18, 1 << 24
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -150,7 +153,7 @@ def frequency_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(COUNTERS, np.int64)
-        for b in batches:
+        for b in released(batches):
             for _, texts in _chunks(b, "_text"):
                 key, _ = shingles(texts)
                 h = (key & np.uint64((1 << BITS) - 1)) >> np.uint64(BITS - COUNTERS.bit_length() + 1)
@@ -177,7 +180,7 @@ def features(docs: DataFrame, level: np.ndarray | None, key: str = "doc_id", tex
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in released(batches):
             for lo, texts in _chunks(b, "_text"):
                 sets, n = shingles(texts)
                 some = np.flatnonzero(n)
@@ -238,11 +241,14 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k", "id").mapInArrow(run, "k long, id long, lead long")
 
 
+def _few(rows: DataFrame, written: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined to a written table, which is broadcast only where it has few rows."""
+    return rows.join(F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge"), on, how)
+
+
 def _with_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """Texts of the listed ids, beside the columns of ``ids``; broadcast only where the list is short."""
-    few = ids.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(ids) if few else ids.hint("merge")
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).join(wanted, "id")
+    return _few(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")), ids, ["id"], "inner")
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -254,7 +260,7 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Each row's other columns with its set as binary."""
-    for b in batches:
+    for b in released(batches):
         for lo, texts in _chunks(b, "_text"):
             key, n = shingles(texts)
             parts = np.split(key & np.uint64((1 << BITS) - 1), np.cumsum(n)[:-1])
@@ -291,70 +297,118 @@ def _verify_leaders(docs: DataFrame, best: DataFrame, key: str, text: str) -> Da
                     v.append(lead)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return sets.repartition("lead", "part").sortWithinPartitions("lead", "part", "role").mapInArrow(run, "u long, v long")
+    out = materialize(sets.repartition("lead", "part").sortWithinPartitions("lead", "part", "role").mapInArrow(run, "u long, v long"), "led")
+    forget(wanted)
+    return out
+
+
+def _near(size: np.ndarray, bits: list[np.ndarray], n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how much each pair's sketches differ beyond what a linked pair of their sizes may; at most 0 is allowed."""
+    excess = np.empty(len(x), np.int64)
+    small = np.minimum(size[x], size[y])
+    for z in np.unique(small):
+        at = np.flatnonzero(small == z)
+        rows, back = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+        table = np.stack([_fold(bits[r], z) for r in rows])
+        a, b = back[: len(at)], back[len(at) :]
+        step = max(1, _PAIR_BYTES // z)
+        for lo in range(0, len(at), step):
+            part = slice(lo, lo + step)
+            excess[at[part]] = np.bitwise_count(table[a[part]] ^ table[b[part]]).sum(axis=1, dtype=np.int64)
+    return excess - (n[x] + n[y]) * (100 - PERCENT) // (100 + PERCENT)
+
+
+def _candidates(start: np.ndarray, stop: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs to compare of groups [start, stop), of which rows of role 1 come first: each of these with all rows
+    after it. They come in portions of about _PAIRS."""
+    first = np.concatenate([[0], np.cumsum(role)])
+    queries = first[stop] - first[start]
+    x = np.repeat(start - (np.cumsum(queries) - queries), queries) + np.arange(queries.sum())
+    count = np.repeat(stop, queries) - x - 1
+    edge = np.concatenate([[0], np.cumsum(count)])
+    cuts = np.unique(np.searchsorted(edge, np.arange(0, edge[-1] + _PAIRS, _PAIRS)).clip(0, len(x)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        n = count[lo:hi]
+        xs = np.repeat(x[lo:hi], n)
+        yield xs, xs + 1 + np.arange(len(xs)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _allowed(g: pd.DataFrame, cross: bool) -> Iterator[tuple[int, int, int, int, int]]:
-    """(component, component, excess, x, y) of a bucket's pairs in different components that sizes and sketches allow."""
-    n, comp, ids, side = (g[c].to_numpy() for c in ("n", "c", "id", "side"))
-    raw = [np.frombuffer(s, np.uint8) for s in g["sketch"]]
-    size = np.array([len(s) for s in raw])
-    folded = {z: np.stack([_fold(r, z) if len(r) >= z else np.zeros(z, np.uint8) for r in raw]) for z in np.unique(size)}
-    for a in range(len(g)):
-        near = np.arange(a + 1, np.searchsorted(n, 100 * n[a] // PERCENT, "right"))  # sizes ascend, so no later sketch is shorter
-        near = near[(comp[near] != comp[a]) & ((side[near] != side[a]) | (not cross))]
-        if len(near):
-            bits = folded[size[a]]
-            excess = np.bitwise_count(bits[near] ^ bits[a]).sum(axis=1, dtype=np.int64) - (n[near] + n[a]) * (100 - PERCENT) // (100 + PERCENT)
-            for x, e in zip(near[excess <= 0], excess[excess <= 0], strict=True):
-                yield min(comp[a], comp[x]), max(comp[a], comp[x]), e, ids[a], ids[x]
+def _least(found: list[np.ndarray]) -> np.ndarray:
+    """Of rows (k, component, component, excess, x, y, more) the least of each (k, component, component)."""
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort(rows.T[[5, 4, 3, 2, 1, 0]])]
+    new = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+    begin = np.flatnonzero(new)
+    out = rows[begin]
+    # another pair of these components in this bucket, be it here or in what was left out before
+    other = np.concatenate([[False], ~new[1:] & (rows[1:, 4:6] != rows[:-1, 4:6]).any(axis=1)])
+    out[:, 6] = np.maximum.reduceat(rows[:, 6] | other, begin)
+    return out
 
 
 def _across(rows: DataFrame, best_only: bool) -> DataFrame:
     """(k, x, y, more) of pairs in one bucket but different components that their bit sketches allow.
 
-    Streams over (bucket, block pair) groups of about 2 * BLOCK documents at most. With ``best_only``, of each
-    bucket and pair of components only the closest pair, and ``more`` if there are others.
+    ``rows`` has (k, id, c, n, sketch) and, of the bucket, its size and how many rows are outside its largest
+    component. Only these are compared with all others: a bucket of more than BLOCK rows is cut into
+    blocks of both, and what is copied grows with the rows outside the largest component. With
+    ``best_only``, of each bucket and pair of components only the closest pair, and ``more`` if there are others.
     """
 
-    def pairs(k: int, i: int, j: int, g: pd.DataFrame) -> list[tuple]:
-        if g["c"].nunique() < 2:
-            return []
-        found = _allowed(g.drop_duplicates(["id", "n", "sketch"]).sort_values("n", kind="stable"), i != j)
-        if not best_only:
-            return [(k, x, y, False) for *_, x, y in found]
-        best: dict[tuple, tuple] = {}
-        for ca, cb, e, x, y in found:
-            old = best.get((ca, cb))
-            best[ca, cb] = (e, x, y, False) if old is None else (*min(old[:3], (e, x, y)), True)
-        return [(k, x, y, more) for _, x, y, more in best.values()]
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        key = t.select(["k", "p", "q"]).combine_chunks()
+        order = np.lexsort([-t["role"].to_numpy(), *(key[c].to_numpy() for c in ("q", "p", "k"))])
+        t = t.take(pa.array(order))
+        k, p, q, role, ids, comp, n = (t[c].to_numpy() for c in ("k", "p", "q", "role", "id", "c", "n"))
+        bits = [np.frombuffer(x, np.uint8) for x in t["sketch"].to_pylist()]
+        size = np.array([len(x) for x in bits])
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+        start = np.flatnonzero(new)
+        found = []
+        for x, y in _candidates(start, np.append(start[1:], len(k)), role):
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            excess = _near(size, bits, n, x, y)
+            x, y, excess = x[excess <= 0], y[excess <= 0], excess[excess <= 0]
+            if len(x):
+                u, v = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                found.append(np.stack([k[x], np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y]), excess, u, v, np.zeros(len(x), np.int64)], axis=1))
+                if best_only and sum(map(len, found)) > _PAIRS:
+                    found = [_least(found)]
+        if not found:
+            return None
+        out = _least(found) if best_only else np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 4]), pa.array(out[:, 5]), pa.array(out[:, 6] > 0)], ["k", "x", "y", "more"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, at = [], None
-        for b in batches:
-            if not len(b):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in released(batches):
+            if not b.num_rows:
                 continue
-            group = b[["k", "i", "j"]].to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
-            out = []
-            for lo, hi in zip(edge, [*edge[1:], len(b)], strict=True):
-                part = b.iloc[lo:hi]
-                now = tuple(group[lo].tolist())
-                if at is not None and now != at:
-                    out += pairs(*at, pd.concat(held))
-                    held = []
-                at = now
-                held.append(part)
-            if out:
-                yield pd.DataFrame(out, columns=["k", "x", "y", "more"])
-        if held and (out := pairs(*at, pd.concat(held))):
-            yield pd.DataFrame(out, columns=["k", "x", "y", "more"])
-
-    count = rows.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(count, "k").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("k", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "c", "n", "sketch")
-    return dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "k long, x long, y long, more boolean")
+            group = [b.column(c).to_numpy() for c in ("k", "p", "q")]
+            change = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in group])) + 1
+            begins = not held or any(x[0] != held[-1].column(c)[-1].as_py() for x, c in zip(group, ("k", "p", "q"), strict=True))
+            if len(change) or begins:  # the last group of the batch may go on
+                whole = int(change[-1]) if len(change) else 0
+                if (ready := [*held, b.slice(0, whole)]) and (out := compare(pa.Table.from_batches(ready, b.schema))) is not None:
+                    yield out
+                held = [b.slice(whole)]
+            else:
+                held.append(b)
+        if held and (out := compare(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    large = F.col("size") > BLOCK
+    outer = F.col("c") != F.col("main")
+    parts, others = F.when(large, F.ceil(F.col("size") / BLOCK)).otherwise(1), F.when(large, F.ceil(F.col("rest") / BLOCK)).otherwise(1)
+    hashed = F.xxhash64("id", F.lit(2))
+    inner = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda q: F.struct(F.pmod(hashed, F.col("parts")).cast("int").alias("p"), q.alias("q"), F.lit(0).alias("role")))
+    query = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("p"), F.pmod(hashed, F.col("others")).cast("int").alias("q"), F.lit(1).alias("role")))
+    dealt = rows.withColumns({"parts": parts.cast("int"), "others": others.cast("int"), "outer": outer})
+    # a row of the largest component, or of a large bucket, is compared with; a row outside compares itself
+    role = F.when(~F.col("outer"), inner).when(F.col("parts") > 1, F.concat(inner, query)).otherwise(query)
+    dealt = dealt.withColumn("d", F.explode(role)).select("k", "d.p", "d.q", "d.role", "id", "c", "n", "sketch")
+    return dealt.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q").mapInArrow(run, "k long, x long, y long, more boolean")
 
 
 def _verify_pairs(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
@@ -370,47 +424,68 @@ def _verify_pairs(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> Dat
     a = sets.select(F.col("id").alias("x"), F.col("set").alias("a"))
     c = sets.select(F.col("id").alias("y"), F.col("set").alias("b"))
     out = pairs.join(a, "x").join(c, "y").select(F.col("x").alias("u"), F.col("y").alias("v"), "a", "b").mapInPandas(run, "u long, v long")
-    return materialize(out, "linked")
+    out = materialize(out, "linked")
+    forget(ids, sets)
+    return out
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (id, component) with further links (u, v), which are few: only components are searched anew."""
+    of = lambda c: links.select(c, "other").join(comp, F.col(c) == F.col("id"), "left").select(F.coalesce("component", c).alias(c), "other")
+    links = links.select("u", F.col("v").alias("other"))
+    links = of("u").select(F.col("other").alias("v"), F.col("u").alias("other"))
+    links = of("v").select(F.col("other").alias("u"), "v")
+    roots = materialize(components(links), "roots")
+    moved = comp.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return materialize(moved.unionByName(roots.join(comp, "id", "left_anti")), "components")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component) of every row."""
     feats = materialize(features(docs, frequency_levels(docs, text), key, text), "features")
     some = feats.where("n > 0 and id is not null")
-    classes = some.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    member = materialize(some.select("id", "n", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "n", "rep", "h1", "h2"), "classes")
-    copies = member.where("id != rep").select("id").join(member.where("id = rep").select("id"), "id", "left_anti").distinct()
-    few = copies.count() <= BROADCAST_ROWS
-    reps = some.join(F.broadcast(copies) if few else copies.hint("merge"), "id", "left_anti")
+    # of each set that several rows have one represents it; rows that share an id or a set are links already
+    groups = some.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("h1", "h2", "rep")
+    groups = materialize(groups, "groups")
+    copies = materialize(_few(some.select("id", "h1", "h2"), groups, ["h1", "h2"], "inner").where("id != rep").distinct(), "copies")
+    links = copies.select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    reps = _few(some, copies.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_anti")
     shared = materialize(_shared(reps.select("id", F.explode("keys").alias("k"))), "shared")
-    # rows that share an id or a set are links already
-    links = member.where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     # most links by comparing each member with the leader that it shares most with, where that is much
     met = shared.where("id != lead").groupBy("id", "lead").agg(F.count("*").alias("n"))
     best = met.groupBy("id").agg(F.max("n").alias("n"), F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
     strong = best.join(feats.select("id", F.size("keys").alias("m")), "id").where(STRONG * F.col("n") >= F.col("m")).select("id", "lead").distinct()
     strong = materialize(strong, "strong")
-    edges = links if strong.isEmpty() else links.unionByName(_verify_leaders(docs, strong, key, text))
-    comp = materialize(components(edges), "components")
+    if not strong.isEmpty():
+        links = links.unionByName(_verify_leaders(docs, strong, key, text))
+    comp = materialize(components(links), "components")
     # all other links between components
     sketches = feats.select("id", "n", "sketch")
     buckets = None
     for best_only in () if shared.isEmpty() else (True, False):
         at = shared if buckets is None else shared.join(buckets, "k", "left_semi")
-        at = at.select("k", "id").join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
+        at = materialize(_few(at.select("k", "id"), comp, ["id"], "left").select("k", "id", F.coalesce("component", "id").alias("c")), "at")
         # of buckets with the same members one will do
         who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
-        mixed = at.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), *who).where("c0 != c1").groupBy("n", "x0", "x1").agg(F.min("k").alias("k")).select("k")
-        found = materialize(_across(at.join(mixed, "k").join(sketches, "id"), best_only), "pairs")
+        mixed = at.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"), *who).where("c0 != c1").groupBy("size", "x0", "x1").agg(F.min("k").alias("k"), F.min("c0").alias("c0"))
+        mixed = materialize(mixed.select("k", "size", "c0"), "mixed")
+        dealt = mixed.select("k", "size", F.col("c0").alias("main"), F.col("size").alias("rest"))
+        if not mixed.where(F.col("size") > BLOCK).isEmpty():
+            large = _few(at, mixed.where(F.col("size") > BLOCK).select("k"), ["k"], "left_semi").groupBy("k", "c").agg(F.count("*").alias("n"))
+            main = large.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"))
+            dealt = mixed.join(main, "k", "left").select("k", "size", F.coalesce("main", "c0").alias("main"), (F.col("size") - F.coalesce("most", F.lit(0))).alias("rest"))
+            dealt = materialize(dealt, "dealt")
+        found = materialize(_across(_few(at, dealt, ["k"], "inner").join(sketches, "id"), best_only), "pairs")
+        forget(at, mixed, dealt)
         if found.isEmpty():
             break
-        edges = edges.unionByName(_verify_pairs(docs, found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), key, text))
-        comp = materialize(components(edges), "components")
+        comp = _merged(comp, _verify_pairs(docs, found.select("x", "y").distinct(), key, text))
         buckets = found.where("more").select("k").distinct()
         if not best_only or buckets.isEmpty():
             break
-    own = feats.select("id", "n").join(comp, "id", "left")
-    return own.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    forget(shared, groups, copies, strong)
+    own = feats.select("id", "n")
+    return _few(own, comp, ["id"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -420,6 +495,4 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component; rows without a set stay."""
     found = similar(docs).where("id != component").select(F.col("id").alias("doc_id")).distinct()
-    found = materialize(found, "copies")
-    few = found.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(found) if few else found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return _few(docs, materialize(found, "later"), ["doc_id"], "left_anti").select(*docs.columns)
