@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, held
+from .common import SPACE, held, materialize
 from .spans import covered_places, identified, later_occurrences, merged
 
 WINDOW = 3
@@ -29,7 +29,7 @@ def _solid(lines: Column) -> Column:
 
 
 def windows(named: DataFrame, text: str = "text") -> DataFrame:
-    """One row per window: two hashes, document, place among the lines with text."""
+    """One row per window: two hashes, document, place among the lines with text. Hashed once and written."""
     solid = named.select("id", "tx", _solid(F.split(F.col("row")[text], "\n")).alias("s"))
 
     def both(i):
@@ -37,8 +37,8 @@ def windows(named: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit(1), *reversed(said)).alias("h2"))
 
     found = F.when(F.size("s") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("s") - WINDOW), both))
-    each = solid.select("id", "tx", F.posexplode(found).alias("pos", "h"))
-    return each.select("h.h1", "h.h2", "id", "tx", "pos")
+    cut = materialize(solid.select("id", "tx", found.alias("found")), "windows")
+    return cut.select("id", "tx", F.posexplode("found").alias("pos", "h")).select("h.h1", "h.h2", "id", "tx", "pos")
 
 
 def _deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
