@@ -35,7 +35,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: UTF-8 bytes of text that one packing group holds on average.
 GROUP_BYTES = 4 << 20
 #: Bytes, about, of distinct words and their ids that a Python worker keeps.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 128 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 _FEW = [chr(i) for i in range(0x180)]
@@ -45,7 +45,7 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LE
 #: Texts with other characters, odd white space or an added token's mark go through the tokenizer whole.
 _ODD = r"<\||[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{17f}]"
 #: Bytes of text encoded at once.
-_CHUNK = 1 << 20
+_CHUNK = 4 << 20
 #: Bytes that a known word takes beside its characters and ids.
 _PER_WORD = 160
 
