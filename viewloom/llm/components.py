@@ -14,14 +14,20 @@ from .common import forget, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step over a written table. The least neighbours are written too, so that the join to them is broadcast
+    where they are few, and split where one node has many edges."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     joined = near.join(least, "u")
     if large:
-        return joined.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = out.where("u != v").distinct()
+    out = materialize(out, "edges")
+    forget(edges, least)
+    return out
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -37,8 +43,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         if _settled(at):
             break
-        old, at = at, materialize(_star(_star(at, True), False), "edges")
-        forget(old)
+        at = _star(_star(at, True), False)
     else:
         raise RuntimeError("components did not settle")
     return at.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(at.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
