@@ -6,13 +6,15 @@ import ctypes
 import platform
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, materialize, shared_dir
 
-__all__ = ["SPACE", "forget", "held", "kept_in_worker", "materialize", "read", "released", "shared_dir", "stack", "words"]
+__all__ = ["SPACE", "chunks", "forget", "held", "kept_in_worker", "materialize", "read", "released", "shared_dir", "stack", "words"]
 
 #: White space of the word rule, as a Java regular expression class body.
 SPACE = r" \t-\r"
@@ -27,6 +29,13 @@ def released(batches: Iterator) -> Iterator:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Places (first, end) at which ``texts`` are cut so that a part has about ``size`` bytes; a longer text is one part."""
+    place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edge = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
+    return ((lo, hi) for lo, hi in zip(edge[:-1], edge[1:], strict=True) if lo < hi)
+
+
 _slot: dict[str, object] = {}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licenses, lines, packing, quality, secrets, sharding, substrings, warc
+from . import decontaminate, huffman, jaccard, licenses, lines, packing, periodic, quality, secrets, sharding, spelling, substrings, warc
 from .common import materialize, read
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_secrets": lambda spark, d: secrets.report(read(spark, d, "documents")).drop("blob"),
     "op9_jaccard": lambda spark, d: jaccard.report(read(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.verdicts(read(spark, d, "documents")).drop("fail_bits"),
+    "op11_spelling": lambda spark, d: spelling.report(read(spark, d, "documents")),
+    "op12_token_ids": lambda spark, d: huffman.round_trip(read(spark, d, "documents")),
+    "op13_periodic_runs": lambda spark, d: periodic.report(read(spark, d, "documents")),
     "quality_ablations": lambda spark, d: quality.ablations(materialize(quality.ledger(read(spark, d, "documents")), "ledger")),
 }
 
