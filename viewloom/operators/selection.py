@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -50,19 +51,41 @@ class Counts:
         return self.cells[self.at, i, j], self.of_first[self.at, i], self.of_second[self.at, j]
 
 
+def over_pairs(each):
+    """A score per candidate, the mean of ``each``'s values per candidate and pair, which stay at hand as ``each``."""
+
+    @wraps(each)
+    def score(state: Counts, ids: np.ndarray) -> np.ndarray:
+        return each(state, ids).mean(axis=1)
+
+    score.each = each
+    return score
+
+
+@over_pairs
 def information(state: Counts, ids: np.ndarray) -> np.ndarray:
     """Mean MI over pairs after adding each candidate alone."""
     c, a, b = state.around(ids)
     total = [_xlogx(x).sum(axis=tuple(range(1, x.ndim))) for x in (state.cells, state.of_first, state.of_second)]
     grown = [t + _xlogx(x + 1) - _xlogx(x) for t, x in zip(total, (c, a, b), strict=True)]
     n = state.n + 1
-    return ((grown[0] - grown[1] - grown[2]) / n + math.log(n)).mean(axis=1)
+    return (grown[0] - grown[1] - grown[2]) / n + math.log(n)
+
+
+def _information_order(state: Counts) -> np.ndarray:
+    """(pairs, c, c): what orders candidates by MI. Only the cells, rows and columns of an added row change in it."""
+    grown = lambda x: _xlogx(x + 1) - _xlogx(x)
+    return grown(state.cells) - grown(state.of_first)[:, :, None] - grown(state.of_second)[:, None, :]
+
+
+information.order = _information_order
 
 
 def _entropy(t: np.ndarray, n: int) -> np.ndarray:
     return math.log(n) - t / n
 
 
+@over_pairs
 def normalized_information(state: Counts, ids: np.ndarray) -> np.ndarray:
     c, a, b = state.around(ids)
     total = [_xlogx(x).sum(axis=tuple(range(1, x.ndim))) for x in (state.cells, state.of_first, state.of_second)]
@@ -70,7 +93,7 @@ def normalized_information(state: Counts, ids: np.ndarray) -> np.ndarray:
     n = state.n + 1
     mi = (g[0] - g[1] - g[2]) / n + math.log(n)
     mean = (_entropy(g[1], n) + _entropy(g[2], n)) / 2
-    return (mi / np.maximum(mean, np.finfo(float).eps)).mean(axis=1)
+    return mi / np.maximum(mean, np.finfo(float).eps)
 
 
 def _pair_counts(state: Counts, ids: np.ndarray):
@@ -86,19 +109,22 @@ def _safe(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.divide(x, y, out=np.zeros_like(x, dtype=float), where=y != 0)
 
 
+@over_pairs
 def fowlkes_mallows(state: Counts, ids: np.ndarray) -> np.ndarray:
     tp, fp, fn, _ = _pair_counts(state, ids)
-    return np.sqrt(_safe(tp, tp + fp) * _safe(tp, tp + fn)).mean(axis=1)
+    return np.sqrt(_safe(tp, tp + fp) * _safe(tp, tp + fn))
 
 
+@over_pairs
 def rand(state: Counts, ids: np.ndarray) -> np.ndarray:
     tp, fp, fn, tn = _pair_counts(state, ids)
-    return _safe(tp + tn, tp + fp + fn + tn).mean(axis=1)
+    return _safe(tp + tn, tp + fp + fn + tn)
 
 
+@over_pairs
 def adjusted_rand(state: Counts, ids: np.ndarray) -> np.ndarray:
     tp, fp, fn, tn = _pair_counts(state, ids)
-    return _safe(2 * (tp * tn - fn * fp), (tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)).mean(axis=1)
+    return _safe(2 * (tp * tn - fn * fp), (tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))
 
 
 def _expected_information(a: np.ndarray, b: np.ndarray) -> float:
@@ -115,6 +141,7 @@ def _expected_information(a: np.ndarray, b: np.ndarray) -> float:
     return float((k / n * np.log(n * k / (x * y)) * np.exp(log_p)).sum())
 
 
+@over_pairs
 def adjusted_information(state: Counts, ids: np.ndarray) -> np.ndarray:
     """Mean usual AMI; the expectation depends on the marginals alone, so it is found once for each pair of centroids."""
     c, a, b = state.around(ids)
@@ -135,7 +162,14 @@ def adjusted_information(state: Counts, ids: np.ndarray) -> np.ndarray:
             emi[r, p] = known[at]
     below = (_entropy(g[1], n) + _entropy(g[2], n)) / 2 - emi
     eps = np.finfo(float).eps
-    return ((mi - emi) / np.where(below < 0, np.minimum(below, -eps), np.maximum(below, eps))).mean(axis=1)
+    return ((mi - emi) / np.where(below < 0, np.minimum(below, -eps), np.maximum(below, eps)))
+
+
+@over_pairs
+def covered(state: Counts, ids: np.ndarray) -> np.ndarray:
+    """Cells with a row in them; what a row adds only shrinks as others are added."""
+    c, _, _ = state.around(ids)
+    return (state.cells > 0).sum(axis=(1, 2)) + (c == 0)
 
 
 def constant(state: Counts, ids: np.ndarray) -> np.ndarray:
@@ -143,7 +177,7 @@ def constant(state: Counts, ids: np.ndarray) -> np.ndarray:
 
 
 Score = Callable[[Counts, np.ndarray], np.ndarray]
-MEASURES: dict[str, Score] = {"mi": information, "ami": adjusted_information, "nmi": normalized_information, "fm": fowlkes_mallows, "rand": rand, "arand": adjusted_rand, "constant": constant}
+MEASURES: dict[str, Score] = {"mi": information, "ami": adjusted_information, "nmi": normalized_information, "fm": fowlkes_mallows, "rand": rand, "arand": adjusted_rand, "covered": covered, "constant": constant}
 
 
 def greedy(rows: np.ndarray, pairs: list[Pair], size: int, score: Score, start: list[int]) -> list[tuple[int, float]]:

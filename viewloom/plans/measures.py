@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import agreement, clustering, pairing, selection
+from ..operators import agreement, clustering, pairing, selection, whole
 from .base import ASSIGN_SQL, CELLS_SQL, CENTERS_SQL, FEATURES_SQL, NAMES, PAIRS, WIDTH, assignments, features, models, table, vectors, wide
 from .registry import query
 
@@ -227,10 +229,7 @@ _STEP = _ADDED.replace("@selected", "select min(vec_id) id from embeddings group
 @query("greedy_step_scores", _STEP)
 def greedy_step_scores(spark, d):
     """The first step after a start of one row per class: the scores of all other rows."""
-    from ..operators.retrieval import start_per_class
-
-    rows = wide(spark, d)
-    start = start_per_class(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")).select("id")  # one per class
+    rows, start = wide(spark, d), _start(spark, d)
     return selection.step_scores(rows.join(start, "id", "left_semi"), rows.join(start, "id", "left_anti"), PAIRS).withColumn("score", F.round("score", 6))
 
 
@@ -241,6 +240,45 @@ def batch_step_topk(spark, d):
     return top(greedy_step_scores(spark, d), "score", 4)
 
 
+def _greedy_sql(steps):
+    """The first steps of a greedy selection over the whole table, each scored from the counts of the rows before it."""
+    block = _ADDED.partition("sel as (@selected), ")[2].replace("@candidates", "x.id not in (select id from sel)")
+    names = ("sel", "held", "ha", "hb", "f", "tot", "ta", "tb", "cand", "st", "added")
+    sql = f"with {CELLS_SQL}, sel0 as (select min(vec_id) id from embeddings group by label)"
+    for s in range(steps):
+        own = block
+        for n in names:
+            own = re.sub(rf"\b{n}\b", f"{n}{s}", own)
+        sql += f", {own}, best{s} as (select id, avg(mi) score from added{s} group by id order by round(score, 9) desc, id limit 1), sel{s + 1} as (select id from sel{s} union all select id from best{s})"
+    return sql + " " + " union all ".join(f'select {s}::bigint "rank", id, round(score, 6) score from best{s}' for s in range(steps))
+
+
+def _start(spark, d):
+    from ..operators.retrieval import start_per_class
+
+    return start_per_class(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")).select("id")  # one per class
+
+
+@query("greedy_whole_steps", _greedy_sql(3))
+def greedy_whole_steps(spark, d):
+    """The first three steps over all rows, after a start of one row per class."""
+    return whole.greedy(wide(spark, d), PAIRS, 3, start=_start(spark, d)).select("rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("greedy_whole_table")
+def greedy_whole_table(spark, d):
+    """A fifth of all rows, each the best to add to those before."""
+    rows = wide(spark, d)
+    return whole.greedy(rows, PAIRS, round(0.2 * rows.count()), start=_start(spark, d)).drop("scored")
+
+
+@query("lazy_whole_table")
+def lazy_whole_table(spark, d):
+    """As many rows as it takes to see most combinations of centroids, by stale gains; ``scored`` counts the rows scored again."""
+    rows = wide(spark, d)
+    return whole.greedy(rows, PAIRS, round(0.05 * rows.count()), "covered", _start(spark, d), lazy=True)
+
+
 def _chunks(spark, d):
     return selection.chunked(wide(spark, d), 500, buckets=8)
 
