@@ -192,23 +192,57 @@ def test_license_ties_and_repeated_rows(spark):
     assert [r["license"] for r in out if r["path"] is None] == ["MIT"]
 
 
+def _runs_by_hand(sizes):
+    """Every run of two sentences, or where these have too few words the shortest longer ones from its start and to its end."""
+    m, enough = len(sizes), lambda i, j: sum(sizes[i:j]) >= substrings.LEAST
+    found = set()
+    for k in range(m - 1):
+        if enough(k, k + 2):
+            found.add((k, k + 2))
+        else:
+            found |= {(k, e) for e in range(k + 3, m + 1) if enough(k, e) and not enough(k, e - 1)}
+            found |= {(b, k + 2) for b in range(k) if enough(b, k + 2) and not enough(b + 1, k + 2)}
+    return found or ({(0, m)} if m > 1 else set())
+
+
+def _deduped_by_hand(texts):
+    """Each text without the sentences of every run that an earlier place in (document, place) order has."""
+    at, out = collections.defaultdict(list), {}
+    cut = {d: [(i, s.lower().split()) for i, s in enumerate(substrings.sentences(t or "")) if s.strip()] for d, t in texts.items()}
+    for d, said in cut.items():
+        for i, j in _runs_by_hand([len(w) for _, w in said]):
+            at[tuple(tuple(w) for _, w in said[i:j])].append((d, i, j))
+    lost = collections.defaultdict(set)
+    for places in at.values():
+        for d, i, j in sorted(places)[1:]:
+            lost[d] |= {cut[d][k][0] for k in range(i, j)}
+    for d, t in texts.items():
+        out[d] = None if t is None else "".join(s for i, s in enumerate(substrings.sentences(t)) if i not in lost[d])
+    return out
+
+
 def test_substring_dedup_equals_brute_force(docs, by_id):
-    seen, later = {}, collections.defaultdict(set)
-    for d in sorted(by_id):
-        cut = substrings.sentences(by_id[d] or "")
-        assert "".join(cut) == (by_id[d] or "")
-        said = [(i, s.lower().split()) for i, s in enumerate(cut) if s.strip()]
-        for (i, a), (j, b) in zip(said, said[1:], strict=False):
-            if len(a) + len(b) >= substrings.LEAST and seen.setdefault((tuple(a), tuple(b)), (d, i)) != (d, i):
-                later[d] |= {i, j}
+    want = _deduped_by_hand(by_id)
     out = substrings.dedup(docs)
     assert [c for c in docs.columns if c in out.columns] == docs.columns
     for r in out.collect():
         t = by_id[r["doc_id"]]
-        want = None if t is None else "".join(s for i, s in enumerate(substrings.sentences(t)) if i not in later[r["doc_id"]])
-        assert r["text"] == want and r["n_removed"] == len(t or "") - len(want or "")
+        assert "".join(substrings.sentences(t or "")) == (t or "")
+        assert r["text"] == want[r["doc_id"]] and r["n_removed"] == len(t or "") - len(want[r["doc_id"]] or "")
         assert r["n_removed"] == sum(e - s for s, e in zip(r["starts"], r["ends"], strict=True))
-    assert len(later) >= 4
+    assert sum(want[d] != t for d, t in by_id.items()) >= 6
+
+
+def test_repeats_within_a_document_and_short_copies_go(spark):
+    rng = __import__("random").Random(6)
+    line = "One short line of text."
+    passage = " ".join(fx.prose(rng, 9) + "." for _ in range(7))
+    texts = ["\n".join([line] * 30), f"{fx.prose(rng, 20)}. {passage} {fx.prose(rng, 20)}. {passage} {fx.prose(rng, 20)}.", "Two words. And three more.", "Two words. And three more.", "alone", "alone"]
+    texts += [" ".join(f"{rng.choice('abc')} {rng.choice('xyz')}." for _ in range(rng.randrange(2, 40))) for _ in range(40)]
+    texts = dict(enumerate(texts))
+    got = {d: r["text"] for d, r in fx.as_dict(substrings.dedup(_passage_rows(spark, list(texts.values())))).items()}
+    assert got == _deduped_by_hand(texts)
+    assert got[0].split("\n").count(line) == 1 and got[1].count(passage) == 1 and (got[2], got[3], got[5]) == (texts[2], "", "alone")
 
 
 def test_passages_go_from_all_but_the_first(docs, by_id):

@@ -32,8 +32,8 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return named.join(F.broadcast(repeated), "id", "left").select("row", "id", F.when(F.col("again").isNull(), F.lit(0).cast("long")).otherwise(F.col("tx")).alias("tx"))
 
 
-def later_occurrences(runs: DataFrame, inside: Column | None = None) -> DataFrame:
-    """(id, tx, pos) of every occurrence but the first of each run; where ``inside`` is false, of those in other documents.
+def later_occurrences(runs: DataFrame) -> DataFrame:
+    """(id, tx, pos) of every occurrence but the first of each run.
 
     The first is found by an aggregation that combines before the shuffle, so a run that a third of the
     documents share is no hot group. First occurrences of repeated runs are written, so that the join
@@ -41,11 +41,7 @@ def later_occurrences(runs: DataFrame, inside: Column | None = None) -> DataFram
     """
     first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "tx", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = materialize(first.select("h1", "h2", "first"), "first")
-    at = F.struct("id", "tx", "pos")
-    later = at != F.col("first")
-    if inside is not None:
-        later &= inside | (F.col("id") != F.col("first.id")) | (F.col("tx") != F.col("first.tx"))
-    return runs.join(first, ["h1", "h2"]).where(later).select("id", "tx", "pos")
+    return runs.join(first, ["h1", "h2"]).where(F.struct("id", "tx", "pos") != F.col("first")).select("id", "tx", "pos")
 
 
 def covered_places(later: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 Texts are cut into sentences; a sentence of more than LONG words counts as several, cut where a hash of
 the words around is least, so that equal stretches are cut alike wherever they begin. At every sentence
 the run of SPAN sentences that begins there is hashed by its lower-case words; where it has fewer than LEAST
-words, the shortest longer runs that begin and that end there and reach LEAST are. A run that occurs more
-than once in the corpus keeps its first occurrence, by (doc_id, place), and the sentences of all others are
-removed; runs of more than SPAN sentences count only outside the document of the first occurrence.
+words, the shortest longer runs that begin and that end there and reach LEAST are; a text of fewer words is one
+run. A run that occurs more than once in the corpus, also within one document, keeps its first occurrence, by
+(doc_id, place), and the sentences of all others are removed. Of a passage that overlaps itself so much stays
+as it takes to hold each of its sentences once.
 
 A shared passage of over 50 words is found whole where it begins and ends at sentences. Of one that begins
 or ends inside a sentence of more than LONG words the parts between common cuts are found; a piece has LEAST / 2
@@ -115,6 +116,8 @@ def runs(text: str) -> tuple[int, list[int], list[int], list[int]]:
             found.append((j, end))
         if begin >= 0:
             found.append((begin, j + SPAN))
+    if not found and len(said) >= SPAN:
+        found.append((0, len(said)))
     h1, h2, pos = [], [], []
     for i, j in dict.fromkeys(found):
         d = xxhash.xxh3_128_intdigest("\n".join(joined[i:j]).encode("utf-8", "surrogatepass"))
@@ -167,7 +170,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     named = identified(docs, key, text)
     cut = materialize(named.select("id", "tx", F.col("row")[text].alias("text")).mapInArrow(_cut, from_arrow_schema(CUT)), "cut")
     found = cut.select("id", "tx", F.explode("runs").alias("r")).select("r.h1", "r.h2", "id", "tx", "r.pos")
-    places = covered_places(later_occurrences(found, F.col("pos").bitwiseAND((1 << _BITS) - 1) == SPAN))
+    places = covered_places(later_occurrences(found))
     known = cut.groupBy("id", "tx").agg(F.max("n_sentences").alias("n_sentences")).join(places, ["id", "tx"], "left")
     joined = named.join(known, ["id", "tx"]).select("row", "n_sentences", "places")
     schema = StructType([joined.schema["row"], *(StructField(n, from_arrow_type(t)) for n, t in NEW.items())])
