@@ -31,25 +31,42 @@ def contingency(rows: DataFrame, pairs: list[Pair]) -> DataFrame:
 
 
 def with_marginals(cells: DataFrame) -> DataFrame:
-    """Adds a (total of j), b (total of i) and the pair's total."""
-    return cells.withColumns({
+    """Adds a (total of j), b (total of i) and the pair's total; rows are dealt by pair once for all three."""
+    return cells.repartition("pair").withColumns({
         "a": F.sum("n").over(W.partitionBy("pair", "j")), "b": F.sum("n").over(W.partitionBy("pair", "i")), "total": F.sum("n").over(W.partitionBy("pair")),
     })
 
 
+def tallies(cells: DataFrame) -> DataFrame:
+    """(pair, kind, n): the counts of cells, of both marginals and of the pair as a whole, from one aggregation by grouping sets.
+
+    ``kind`` is ``cell``, ``first`` (a total of i), ``second`` (a total of j) or ``all``.
+    """
+    sets = [[F.col(c) for c in x] for x in (("pair", "i", "j"), ("pair", "i"), ("pair", "j"), ("pair",))]
+    each = cells.groupingSets(sets, "pair", "i", "j").agg(F.sum("n").alias("n"), F.grouping("i").alias("gi"), F.grouping("j").alias("gj"))
+    kind = F.when(F.col("gi") + F.col("gj") == 0, "cell").when(F.col("gi") == 0, "first").when(F.col("gj") == 0, "second").otherwise("all")
+    return each.select("pair", kind.alias("kind"), "n")
+
+
+def moments(cells: DataFrame) -> DataFrame:
+    """One row per pair with what all measures are made of: ``n``, the sums of x ln x (``nn`` of cells, ``bb`` of the first
+    marginal, ``aa`` of the second), and the pairs of rows together (``tp`` in both, ``pb`` in the first, ``pa`` in the second)."""
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
+    log, two = n_log_n(F.col("n")), pairs_of(F.col("n"))
+    return tallies(cells).groupBy("pair").agg(
+        of("all", F.col("n")).alias("n"), of("cell", log).alias("nn"), of("second", log).alias("aa"), of("first", log).alias("bb"),
+        of("cell", two).alias("tp"), of("second", two).alias("pa"), of("first", two).alias("pb"),
+    )
+
+
 def mutual_information(cells: DataFrame) -> DataFrame:
     """(pair, mi) over non-empty cells, in double."""
-    m = with_marginals(cells)
-    term = F.col("n") / F.col("total") * (F.ln("n") + F.ln("total") - F.ln("a") - F.ln("b"))
-    return m.groupBy("pair").agg(F.sum(term).alias("mi"))
+    return moments(cells).select("pair", mi_from_sums(*map(F.col, ("nn", "aa", "bb", "n"))).alias("mi"))
 
 
 def sums(cells: DataFrame) -> DataFrame:
     """(pair, nn, aa, bb, n): the sums of x ln x over cells and both marginals, the state of the incremental form."""
-    m = with_marginals(cells)
-    once = lambda column, by: F.sum(n_log_n(F.col(column)) / F.col(f"_{by}"))
-    m = m.withColumns({"_j": F.count("*").over(W.partitionBy("pair", "j")), "_i": F.count("*").over(W.partitionBy("pair", "i"))})
-    return m.groupBy("pair").agg(F.sum(n_log_n(F.col("n"))).alias("nn"), once("a", "j").alias("aa"), once("b", "i").alias("bb"), F.first("total").alias("n"))
+    return moments(cells).select("pair", "nn", "aa", "bb", "n")
 
 
 def mi_from_sums(nn: Column, aa: Column, bb: Column, n: Column) -> Column:
@@ -77,14 +94,15 @@ def co_assigned(assignments: DataFrame) -> DataFrame:
     return n.groupBy("clustering").agg(F.sum(pairs_of(F.col("n"))).alias("pairs"))
 
 
-def entropies(cells: DataFrame) -> DataFrame:
-    """(pair, ha, hb): entropies of both marginals."""
+def informations(cells: DataFrame) -> DataFrame:
+    """(pair, mi, ha, hb): MI and the entropies of both marginals, of the second's totals and of the first's."""
+    n = F.col("n")
+    return moments(cells).select("pair", mi_from_sums(*map(F.col, ("nn", "aa", "bb", "n"))).alias("mi"), (F.ln(n) - F.col("aa") / n).alias("ha"), (F.ln(n) - F.col("bb") / n).alias("hb"))
 
-    def of(by: str, name: str) -> DataFrame:
-        t = cells.groupBy("pair", by).agg(F.sum("n").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("pair")))
-        return t.groupBy("pair").agg(F.sum(-F.col("p") * F.ln("p")).alias(name))
 
-    return of("j", "ha").join(of("i", "hb"), "pair")
+def entropies(cells: DataFrame) -> DataFrame:
+    """(pair, ha, hb): entropies of both marginals."""
+    return informations(cells).drop("mi")
 
 
 MEANS = {"arithmetic": lambda x, y: (x + y) / 2, "max": F.greatest, "min": F.least}
@@ -92,8 +110,7 @@ MEANS = {"arithmetic": lambda x, y: (x + y) / 2, "max": F.greatest, "min": F.lea
 
 def doubled_nmi(cells: DataFrame, mean: str = "arithmetic") -> DataFrame:
     """2 MI over the mean entropy: with the arithmetic mean twice the usual normalised value."""
-    both = mutual_information(cells).join(entropies(cells), "pair")
-    return both.select("pair", (2 * F.col("mi") / F.greatest(MEANS[mean](F.col("ha"), F.col("hb")), F.lit(EPS))).alias("nmi"))
+    return informations(cells).select("pair", (2 * F.col("mi") / F.greatest(MEANS[mean](F.col("ha"), F.col("hb")), F.lit(EPS))).alias("nmi"))
 
 
 def normalized_mi(cells: DataFrame, mean: str = "arithmetic") -> DataFrame:
@@ -113,7 +130,7 @@ def cell_expected_mi(cells: DataFrame) -> DataFrame:
 
 def adjusted_mi(cells: DataFrame, mean: str = "arithmetic") -> DataFrame:
     """(MI - EMI) / max(mean entropy - EMI, eps), EMI as in ``cell_expected_mi``."""
-    j = mutual_information(cells).join(entropies(cells), "pair").join(cell_expected_mi(cells), "pair")
+    j = informations(cells).join(cell_expected_mi(cells), "pair")
     below = F.greatest(MEANS[mean](F.col("ha"), F.col("hb")) - F.col("emi"), F.lit(EPS))
     return j.select("pair", ((F.col("mi") - F.col("emi")) / below).alias("ami"))
 
@@ -147,7 +164,7 @@ def expected_mi(cells: DataFrame) -> DataFrame:
 
 def usual_ami(cells: DataFrame, mean: str = "arithmetic") -> DataFrame:
     """(MI - EMI) / (mean entropy - EMI) with the mean over all tables; the divisor keeps its sign and eps as least size."""
-    j = mutual_information(cells).join(entropies(cells), "pair").join(expected_mi(cells), "pair")
+    j = informations(cells).join(expected_mi(cells), "pair")
     below = MEANS[mean](F.col("ha"), F.col("hb")) - F.col("emi")
     below = F.when(below < 0, F.least(below, F.lit(-EPS))).otherwise(F.greatest(below, F.lit(EPS)))
     return j.select("pair", ((F.col("mi") - F.col("emi")) / below).alias("ami"))
@@ -155,10 +172,8 @@ def usual_ami(cells: DataFrame, mean: str = "arithmetic") -> DataFrame:
 
 def pair_counts(cells: DataFrame) -> DataFrame:
     """(pair, tp, fp, fn, tn): pairs of rows together in both, in the second, in the first, in neither."""
-    grain = lambda by, name: cells.groupBy("pair", by).agg(F.sum("n").alias("n")).groupBy("pair").agg(F.sum(pairs_of(F.col("n"))).alias(name))
-    both = cells.groupBy("pair").agg(F.sum(pairs_of(F.col("n"))).alias("tp"), pairs_of(F.sum("n")).alias("all"))
-    j = both.join(grain("j", "pa"), "pair").join(grain("i", "pb"), "pair")
-    return j.select("pair", "tp", (F.col("pa") - F.col("tp")).alias("fp"), (F.col("pb") - F.col("tp")).alias("fn"), (F.col("all") - F.col("pa") - F.col("pb") + F.col("tp")).alias("tn"))
+    tp, pa, pb = (F.col(c) for c in ("tp", "pa", "pb"))
+    return moments(cells).select("pair", "tp", (pa - tp).alias("fp"), (pb - tp).alias("fn"), (pairs_of(F.col("n")) - pa - pb + tp).alias("tn"))
 
 
 def fowlkes_mallows(cells: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import numbered_by
+
 
 def shots(boundaries: DataFrame) -> DataFrame:
     """Consecutive boundaries (video, t) as intervals, the first from 0; what follows the last is no shot."""
@@ -53,11 +55,21 @@ def annealed(scored: DataFrame, wanted: int, least: float, start: float = 10.0,
     return counted.groupBy("video").agg(best.alias("b")).select("video", F.col("b.threshold").alias("threshold"), F.col("b.n").alias("n"))
 
 
-def similar_pairs(clips: DataFrame, score) -> DataFrame:
-    """All pairs of clips of one video with ``score(a, b)`` of their vectors; a video's clips are few."""
-    a = clips.select("video", F.col("clip").alias("a"), F.col("vec").alias("va"))
-    b = clips.select("video", F.col("clip").alias("b"), F.col("vec").alias("vb"))
-    return a.join(b, "video").where("a < b").select("video", "a", "b", score(F.col("va"), F.col("vb")).alias("score"))
+#: Clips of a video that one task compares with as many others.
+TILE = 256
+
+
+def similar_pairs(clips: DataFrame, score, tile: int = TILE) -> DataFrame:
+    """All pairs of clips (video, clip, vec) of one video, the smaller first, with ``score(a, b)`` of their vectors.
+
+    A video's clips are dealt to tiles in order, and each pair of tiles is a group of the join of its own, so a video that holds
+    all clips is spread like any other. A clip is copied once for each tile of its video. Clips with equal numbers make no pair.
+    """
+    n = numbered_by(clips.select("video", "clip", "vec"), ["video"], ["clip"], "_at", "_n")
+    n = n.select("video", "clip", "vec", F.floor(F.col("_at") / tile).cast("int").alias("tile"), F.ceil(F.col("_n") / tile).cast("int").alias("tiles"))
+    a = n.select("video", F.col("clip").alias("a"), F.col("vec").alias("va"), F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"))
+    b = n.select("video", F.col("clip").alias("b"), F.col("vec").alias("vb"), F.col("tile").alias("tb"), F.explode(F.sequence(F.lit(0), "tile")).alias("ta"))
+    return a.join(b, ["video", "ta", "tb"]).where("a < b").select("video", "a", "b", score(F.col("va"), F.col("vb")).alias("score"))
 
 
 def diverse(pairs: DataFrame, k: int) -> DataFrame:
@@ -111,30 +123,25 @@ def _greedy_sum(sim, k: int, rng) -> list[int]:
     return chosen
 
 
-def _local_search(sim, k: int, rng, eps: float = 0.1) -> list[int]:
-    """The least similar pair and clips in order, then swaps as long as one lowers the sum by the factor 1 + eps / n."""
+def _local_search(sim, k: int, rng, rounds: int = 1000) -> list[int]:
+    """A set of k clips whose summed similarity no exchange of one member for another clip lowers.
+
+    With x the 0/1 vector of the set, the sum is x S x / 2, and exchanging i for j changes it by (S x)_j - (S x)_i - S_ij.
+    All exchanges of a round are one matrix, of which the steepest is made; the sum falls each round, so rounds end.
+    """
     import numpy as np
 
-    n = len(sim)
-    if k >= n:
-        return list(range(n))
-    off = sim + np.where(np.eye(n, dtype=bool), np.inf, 0)
-    first = [int(x) for x in np.unravel_index(off.argmin(), off.shape)][:k]
-    now = sorted(first) + [i for i in range(n) if i not in first][: k - len(first)]
-    swapped = True
-    while swapped:
-        swapped = False
-        for i in now:
-            rest = [x for x in now if x != i]
-            to_rest = sim[rest].sum(axis=0)
-            own = to_rest[i]
-            to_rest[rest] = np.inf
-            best = int(to_rest.argmin())
-            if best != i and (1 + eps / n) * to_rest[best] < own:
-                now = [*rest, best]
-                swapped = True
-                break
-    return now
+    x = np.zeros(len(sim), bool)
+    x[np.argsort(sim.sum(axis=0), kind="stable")[:k]] = True
+    for _ in range(rounds):
+        pull = sim[:, x].sum(axis=1)
+        inside, outside = np.flatnonzero(x), np.flatnonzero(~x)
+        change = pull[outside][None, :] - pull[inside][:, None] - sim[np.ix_(inside, outside)]
+        if not change.size or change.min() > -1e-9:
+            break
+        i, j = divmod(int(change.argmin()), len(outside))
+        x[inside[i]], x[outside[j]] = False, True
+    return np.flatnonzero(x).tolist()
 
 
 def _random(sim, k: int, rng) -> list[int]:

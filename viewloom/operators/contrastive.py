@@ -120,7 +120,7 @@ def score(rows: DataFrame, p: Projection) -> DataFrame:
     return rows.withColumn("score", cosine("va", "vb"))
 
 
-def batched(rows: DataFrame, size: int, seed: int = 0, buckets: int = 1024) -> DataFrame:
+def batched(rows: DataFrame, size: int, seed: int = 0, buckets: int | None = None) -> DataFrame:
     """``rows`` with ``batch``: every ``size`` rows in md5(seed-id) order make one."""
     drawn = ordering.numbered(rows.withColumn("_draw", ordering.draw(seed)), ["_draw", "id"], "_pos", buckets)
     return drawn.withColumn("batch", ordering.chunks_of(F.col("_pos"), size)).drop("_draw", "_pos")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def true_rank(scores: DataFrame) -> DataFrame:
     """(id, rank): the rank of the true class among the class scores (id, label, class, score), ties by class.
@@ -33,15 +35,18 @@ def ensemble(clips: DataFrame, views: int, how: str = "sum") -> DataFrame:
     return first.groupBy(point, "class").agg(got.alias("score"))
 
 
-def rolling(log: DataFrame, window: int) -> DataFrame:
-    """Median and mean of the last ``window`` values and the mean of all, for each run's series (run, step, value)."""
-    last = W.partitionBy("run").orderBy("step").rowsBetween(-(window - 1), 0)
-    all_ = W.partitionBy("run").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    values = F.sort_array(F.collect_list("value").over(last))
-    log = log.withColumn("_v", values)
-    n = F.size("_v")
-    middle = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
-    return log.withColumns({"win_median": middle, "win_avg": F.avg("value").over(last), "global_avg": F.avg("value").over(all_)}).drop("_v")
+def rolling(log: DataFrame, window: int, size: int = scan.CHUNK) -> DataFrame:
+    """Median and mean of the last ``window`` values and the mean of all, for each run's series (run, step, value); a
+    series of any length is cut into chunks."""
+
+    def median(value, last: W) -> Column:
+        v = F.sort_array(F.collect_list(value("value")).over(last))
+        n = F.size(v)
+        return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+
+    recent = scan.rolled(log, ["run"], ["step"], window, {"win_median": median, "win_avg": lambda value, last: F.avg(value("value")).over(last)}, size)
+    summed = scan.running(recent, ["run"], ["step"], {"_sum": F.col("value"), "_n": F.col("value").isNotNull().cast("int")}, size)
+    return summed.withColumn("global_avg", F.try_divide("_sum", "_n")).drop("_sum", "_n")
 
 
 def weighted_epochs(log: DataFrame, value: str, weight: str) -> DataFrame:

@@ -52,16 +52,16 @@ def top_by(df: DataFrame, by: list[str], score: str, n: int, key: str = "id") ->
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def numbered(df: DataFrame, order: list[str], column: str = "pos", buckets: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], column: str = "pos", buckets: int | None = None) -> DataFrame:
     """Gapless positions from 0 in a total order without one global window; ties are numbered in any order.
 
-    The rows are range-partitioned, sorted and written once, since the bounds of a range partition are drawn anew
-    whenever it is computed. Positions are counted within a partition and start after the counts of
+    The rows are range-partitioned into ``buckets`` (without them as many as the session shuffles into, of which adaptive
+    execution joins small ones), sorted and written once, since the bounds of a range partition are drawn anew whenever it is computed. Positions are counted within a partition and start after the counts of
     those before, of which there are as many as partitions. Extra columns stay, whatever their names.
     """
     row = df.select(F.struct(*df.columns).alias("row"))
     by = [F.col("row")[c] for c in order]
-    ranged = row.repartitionByRange(buckets, *by).sortWithinPartitions(*by)
+    ranged = row.repartitionByRange(*([buckets] if buckets else []), *by).sortWithinPartitions(*by)
     # an id holds the partition in its upper bits and the row's place there in the lower 33
     at = materialize(ranged.select("row", F.monotonically_increasing_id().alias("at")), "ranged")
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
@@ -91,7 +91,7 @@ def shard_even(pos: Column, rows: Column, parts: int) -> Column:
     return F.least(F.floor(pos / F.floor(rows / parts)), F.lit(parts - 1))
 
 
-def numbered_by(df: DataFrame, by: list[str], order: list[str], column: str = "pos", size: str = "size", buckets: int = 1024) -> DataFrame:
+def numbered_by(df: DataFrame, by: list[str], order: list[str], column: str = "pos", size: str = "size", buckets: int | None = None) -> DataFrame:
     """``df`` with each row's place from 0 in its group and the group's size.
 
     A group begins where its least global position is, so no window holds a whole group; the join to the groups
@@ -103,7 +103,7 @@ def numbered_by(df: DataFrame, by: list[str], order: list[str], column: str = "p
     return placed.join(groups, same).withColumn(column, F.col("_global") - F.col("_first")).drop("_global", "_first", *[f"_by{i}" for i in range(len(by))])
 
 
-def split_by_class(df: DataFrame, label: str, ratio: float, order: list[str], buckets: int = 1024) -> DataFrame:
+def split_by_class(df: DataFrame, label: str, ratio: float, order: list[str], buckets: int | None = None) -> DataFrame:
     """``is_train``: of each class the first half-even-rounded share of rows in the given order."""
     n = numbered_by(df, [label], order, "_at", "_size", buckets)
     return n.withColumn("is_train", F.col("_at") < F.bround(F.col("_size") * F.lit(ratio))).drop("_at", "_size")
@@ -114,7 +114,7 @@ def class_numbers(df: DataFrame, by: str, column: str = "label") -> DataFrame:
 
     There may be as many classes as rows, so Spark chooses the join by their size.
     """
-    classes = numbered(df.select(by).distinct(), [by], column, buckets=8)
+    classes = numbered(df.select(by).distinct(), [by], column)
     return df.join(classes, by)
 
 

@@ -260,7 +260,7 @@ def start_rows(kind: str, rows: np.ndarray, labels: np.ndarray | None = None) ->
     return out
 
 
-def chunked(rows: DataFrame, size: int, seed: int = 98052, buckets: int = 1024) -> DataFrame:
+def chunked(rows: DataFrame, size: int, seed: int = 98052, buckets: int | None = None) -> DataFrame:
     """``rows`` with ``chunk``: every ``size`` rows in md5(seed-id) order make one, however many there are."""
     drawn = ordering.numbered(rows.withColumn("_draw", ordering.draw(seed)), ["_draw", "id"], "_pos", buckets)
     return drawn.withColumn("chunk", ordering.chunks_of(F.col("_pos"), size)).drop("_draw", "_pos")

@@ -101,4 +101,4 @@ PAIRS = pairing.combination(NAMES)
 
 
 def positions(df: DataFrame, order: list[str]) -> DataFrame:
-    return ordering.numbered(df, order, buckets=8)
+    return ordering.numbered(df, order)

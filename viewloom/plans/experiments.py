@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import clips, contrastive, evaluation, retrieval
+from ..operators import clips, contrastive, evaluation, ordering, retrieval
 from .base import ASSIGN_SQL, VIEWS_SQL, label_centers, table, vectors, views
 from .registry import query
 
@@ -23,7 +23,7 @@ def _two(spark, d):
   r as (select t."view", t.id, t.label, c.c, row_number() over (partition by t."view", t.label order by t.id) pos from tw t join c using ("view", label))
   select "view", id, label, r.c "class", pos from r join m on m.c = r.c where pos <= m""")
 def class_clip(spark, d):
-    return retrieval.clip_classes(_two(spark, d), 20, buckets=8)
+    return retrieval.clip_classes(_two(spark, d), 20)
 
 
 @query("align_views", f"with {_TWO} select id from tw group by id having count(distinct \"view\") = 2")
@@ -41,13 +41,13 @@ def _derange(by, n):
 @query("derange_class", _derange("partition by label", 11))
 def derange_class(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return retrieval.derange_within(e, 0.5, 11, ["label"], buckets=8).select("id", "partner", "is_true")
+    return retrieval.derange_within(e, 0.5, 11, ["label"]).select("id", "partner", "is_true")
 
 
 @query("derange_sample", _derange("partition by label % 4", 12).replace("partition by label, same", "partition by label % 4, same"))
 def derange_sample(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 4).alias("shard"))
-    return retrieval.derange_within(e, 0.5, 12, ["shard"], buckets=8).select("id", "partner", "is_true")
+    return retrieval.derange_within(e, 0.5, 12, ["shard"]).select("id", "partner", "is_true")
 
 
 @query("start_one_per_class", "select label, min(vec_id) id from embeddings group by label")
@@ -73,27 +73,34 @@ def _distance(kind):
 for _k in _SIM:
     _distance(_k)
 
-_RUNS = "runs as (select label run, vec_id id, row_number() over (partition by label order by md5('5-' || vec_id), vec_id) pos, embedding[1]::double score from embeddings)"
+def _runs_sql(run):
+    return f"runs as (select {run} run, vec_id id, row_number() over (partition by {run} order by md5('5-' || vec_id), vec_id) pos, embedding[1]::double score from embeddings)"
 
 
-def _runs(spark, d):
-    from pyspark.sql import Window as W
+def _runs(spark, d, run):
+    e = table(spark, d, "embeddings").select(run.alias("run"), F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
+    placed = ordering.numbered_by(e.withColumn("_draw", ordering.draw(5)), ["run"], ["_draw", "id"], "pos", "_size")
+    return placed.select("run", "id", "score", (F.col("pos") + 1).alias("pos"))
 
-    e = table(spark, d, "embeddings").select(F.col("label").alias("run"), F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
-    return e.withColumn("pos", F.row_number().over(W.partitionBy("run").orderBy(F.md5(F.concat(F.lit("5-"), F.col("id").cast("string"))), "id")))
 
+def _run_queries(suffix, run, column):
+    """Gains and prefix metrics of runs named by ``run``: by label, and of one run that holds all rows."""
 
-@query("gain_prev", f"with {_RUNS} select run, id, round(score + lag(score, 1, 0.0) over (partition by run order by pos), 6) gain from runs")
-def gain_prev(spark, d):
-    return retrieval.gain(_runs(spark, d)).select("run", "id", F.round("gain", 6).alias("gain"))
+    def gain_prev(spark, d):
+        return retrieval.gain(_runs(spark, d, column())).select("run", "id", F.round("gain", 6).alias("gain"))
 
+    def prf_prefix(spark, d):
+        runs = _runs(spark, d, column())
+        out = retrieval.prefix_metrics(runs.select("run", "pos", "id"), runs.where("id % 2 = 0").select("id"))
+        return out.select("run", "pos", "id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
-@query("prf_prefix", f"""with {_RUNS}, h as (select *, sum((id % 2 = 0)::int) over (partition by run order by pos) hits, count(*) over (partition by run order by pos) n, (select count(*) from embeddings where vec_id % 2 = 0) total from runs),
-  p as (select run, pos, id, hits / n p, hits / total r from h) select run, pos, id, round(p, 6) "precision", round(r, 6) recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) f1 from p""")
-def prf_prefix(spark, d):
-    runs = _runs(spark, d)
-    out = retrieval.prefix_metrics(runs.select("run", "pos", "id"), runs.where("id % 2 = 0").select("id"))
-    return out.select("run", "pos", "id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    query(f"gain_prev{suffix}", f"with {_runs_sql(run)} select run, id, round(score + lag(score, 1, 0.0) over (partition by run order by pos), 6) gain from runs")(gain_prev)
+    query(f"prf_prefix{suffix}", f"""with {_runs_sql(run)}, h as (select *, sum((id % 2 = 0)::int) over (partition by run order by pos) hits, count(*) over (partition by run order by pos) n, (select count(*) from embeddings where vec_id % 2 = 0) total from runs),
+  p as (select run, pos, id, hits / n p, hits / total r from h) select run, pos, id, round(p, 6) "precision", round(r, 6) recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) f1 from p""")(prf_prefix)
+
+
+_run_queries("", "label", lambda: F.col("label"))
+_run_queries("_one_run", "0", lambda: F.lit(0))
 
 
 @query("precision_recall", """with c as (select distinct doc_id id from labels where quality = 1), t as (select doc_id id from documents where n_chars > 1000),
@@ -126,7 +133,7 @@ def contrastive_score(spark, d):
   t as (select batch, avg(s / 0.1) t, count(*) n from s where a = b group by batch)
   select batch, n, round((za.z + zb.z) / 2 - t, 6) loss from za join zb using (batch) join t using (batch)""")
 def infonce_loss(spark, d):
-    return contrastive.batch_losses(contrastive.batched(views(spark, d), 128, buckets=8)).withColumn("loss", F.round("loss", 6))
+    return contrastive.batch_losses(contrastive.batched(views(spark, d), 128)).withColumn("loss", F.round("loss", 6))
 
 
 @query("contrastive_train")
@@ -167,14 +174,21 @@ _ensemble("sum", "sum(score)")
 _ensemble("max", "greatest(0, max(score))")
 
 
-def _log(spark, d):
-    return table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value")
+def _rolling(name, run, column):
+    """Averages of values of two decimals end in a 5 now and then; what is added lets sums in any order round alike."""
+    sql = f"""select {run} run, event_id step, round(median(value) over w, 8) win_median, round(avg(value) over w, 8) win_avg, round(avg(value) over (partition by {run} order by event_id) + 1e-10, 8) global_avg
+  from events window w as (partition by {run} order by event_id rows between 9 preceding and current row)"""
+
+    def rolling(spark, d):
+        log = table(spark, d, "events").select(column().alias("run"), F.col("event_id").alias("step"), "value")
+        out = evaluation.rolling(log, 10)
+        return out.select("run", "step", F.round("win_median", 8).alias("win_median"), F.round("win_avg", 8).alias("win_avg"), F.round(F.col("global_avg") + 1e-10, 8).alias("global_avg"))
+
+    query(name, sql)(rolling)
 
 
-@query("win_median", """select user_id run, event_id step, round(median(value) over w, 8) win_median, round(avg(value) over w, 8) win_avg, round(avg(value) over (partition by user_id order by event_id), 8) global_avg
-  from events window w as (partition by user_id order by event_id rows between 9 preceding and current row)""")
-def win_median(spark, d):
-    return evaluation.rolling(_log(spark, d), 10).select("run", "step", *[F.round(c, 8).alias(c) for c in ("win_median", "win_avg", "global_avg")])
+_rolling("win_median", "user_id", lambda: F.col("user_id"))
+_rolling("win_median_one_series", "0", lambda: F.lit(0))
 
 
 @query("epoch_avg", "select l_linenumber epoch, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) mean from lineitem group by 1")
@@ -228,13 +242,22 @@ def clip_similarity(spark, d):
     return _clip_pairs(spark, d).withColumn("score", F.round("score", 6))
 
 
-def _clip_pairs(spark, d):
+def _clip_pairs(spark, d, video=None):
     from ..functions.vectors import cosine
 
-    c = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("video"), F.col("vec_id").alias("clip"), F.slice("embedding", 1, 32).cast("array<double>").alias("vec"))
+    c = table(spark, d, "embeddings").select((F.floor(F.col("vec_id") / 10) if video is None else video).alias("video"), F.col("vec_id").alias("clip"), F.slice("embedding", 1, 32).cast("array<double>").alias("vec"))
     return clips.similar_pairs(c, cosine)
 
 
+_ONE_VIDEO = _PAIRSIM.replace("vec_id // 10 video", "0::bigint video")
+
+
+@query("clip_similarity_one_video", f"with {_ONE_VIDEO} select x.video, x.clip a, y.clip b, round(list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v)) / sqrt(list_inner_product(y.v, y.v)), 6) score from cl x join cl y on x.clip < y.clip")
+def clip_similarity_one_video(spark, d):
+    """One video holds all clips."""
+    return _clip_pairs(spark, d, F.lit(0).cast("bigint")).withColumn("score", F.round("score", 6))
+
+
 @query("diversity_sample")
 def diversity_sample(spark, d):
     return clips.diverse(_clip_pairs(spark, d), 3)
@@ -264,10 +287,10 @@ def positives_ratio(spark, d):
     return evaluation.positives_ratio(rows, truth).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("compared_runs", f"""with {_RUNS}, m as (select run, pos, id % 7 id, score from runs)
+@query("compared_runs", f"""with {_runs_sql("label")}, m as (select run, pos, id % 7 id, score from runs)
   select x.run "first", y.run "second", round(avg((x.id = y.id)::int), 6) same, round(avg(abs(x.score - y.score)), 6) gain_difference from m x join m y using (pos) where x.run < y.run group by all""")
 def compared_runs(spark, d):
-    runs = _runs(spark, d).select("run", "pos", (F.col("id") % 7).alias("id"), F.col("score").alias("gain"))
+    runs = _runs(spark, d, F.col("label")).select("run", "pos", (F.col("id") % 7).alias("id"), F.col("score").alias("gain"))
     return evaluation.compared_runs(runs).select("first", "second", *[F.round(c, 6).alias(c) for c in ("same", "gain_difference")])
 
 

@@ -280,7 +280,7 @@ def lazy_whole_table(spark, d):
 
 
 def _chunks(spark, d):
-    return selection.chunked(wide(spark, d), 500, buckets=8)
+    return selection.chunked(wide(spark, d), 500)
 
 
 @query("greedy_select_batch")
@@ -305,7 +305,7 @@ def greedy_select_pair_measure(spark, d):
 
 @query("greedy_select_ami")
 def greedy_select_ami(spark, d):
-    return selection.select(selection.chunked(wide(spark, d), 100, buckets=8), PAIRS[:6], 0.1, measure="ami", strategy="batch")
+    return selection.select(selection.chunked(wide(spark, d), 100), PAIRS[:6], 0.1, measure="ami", strategy="batch")
 
 
 @query("greedy_select_hybrid")
@@ -315,16 +315,17 @@ def greedy_select_hybrid(spark, d):
 
 @query("sharded_retrieval")
 def sharded_retrieval(spark, d):
-    from ..operators.retrieval import sharded_selection
+    from ..operators.retrieval import sharded_selection, shards_for
 
-    return sharded_selection(wide(spark, d), PAIRS, 0.2, 4, 125, buckets=8)
+    rows = wide(spark, d)
+    return sharded_selection(rows, PAIRS, 0.2, shards_for(rows.count(), 1000))
 
 
 @query("shard_offsets", "select vec_id id, least((row_number() over (order by vec_id) - 1) // 125, 3) shard, row_number() over (order by vec_id) - 1 - least((row_number() over (order by vec_id) - 1) // 125, 3) * 125 \"local\" from embeddings")
 def shard_offsets(spark, d):
     from ..operators.retrieval import sharded
 
-    return sharded(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), 4, 125, buckets=8)
+    return sharded(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), 4, 125)
 
 
 @query("kmeans_library")

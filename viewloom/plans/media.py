@@ -205,7 +205,7 @@ def covering_models(spark, d):
 @query("det_shuffle", "select vec_id id, row_number() over (order by md5('7-' || vec_id), vec_id) - 1 pos from embeddings")
 def det_shuffle(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id")).withColumn("draw", ordering.draw(7))
-    return ordering.numbered(e, ["draw", "id"], buckets=8).select("id", "pos")
+    return ordering.numbered(e, ["draw", "id"]).select("id", "pos")
 
 
 @query("sample_n", "select doc_id id from documents order by md5('98052-' || doc_id), doc_id limit 50")
@@ -238,26 +238,26 @@ def ranked_merge(spark, d):
 @query("chunking", "select vec_id, (row_number() over (order by vec_id) - 1) // 64 by_size, (row_number() over (order by vec_id) - 1) // ceil(count(*) over () / 7)::bigint by_parts from embeddings")
 def chunking(spark, d):
     e = table(spark, d, "embeddings").select("vec_id")
-    n = ordering.numbered(e, ["vec_id"], buckets=8).crossJoin(F.broadcast(e.agg(F.count("*").alias("rows"))))
+    n = ordering.numbered(e, ["vec_id"]).crossJoin(F.broadcast(e.agg(F.count("*").alias("rows"))))
     return n.select("vec_id", ordering.chunks_of(F.col("pos"), 64).alias("by_size"), ordering.chunks_into(F.col("pos"), F.col("rows"), 7).alias("by_parts"))
 
 
 @query("striding", "select vec_id, (row_number() over (order by vec_id) - 1) % 4 worker from embeddings")
 def striding(spark, d):
-    n = ordering.numbered(table(spark, d, "embeddings").select("vec_id"), ["vec_id"], buckets=8)
+    n = ordering.numbered(table(spark, d, "embeddings").select("vec_id"), ["vec_id"])
     return n.select("vec_id", ordering.strides(F.col("pos"), 4).alias("worker"))
 
 
 @query("shard_split", "select vec_id, least((row_number() over (order by vec_id) - 1) // (count(*) over () // 6), 5) shard from embeddings")
 def shard_split(spark, d):
     e = table(spark, d, "embeddings").select("vec_id")
-    n = ordering.numbered(e, ["vec_id"], buckets=8).crossJoin(F.broadcast(e.agg(F.count("*").alias("rows"))))
+    n = ordering.numbered(e, ["vec_id"]).crossJoin(F.broadcast(e.agg(F.count("*").alias("rows"))))
     return n.select("vec_id", ordering.shard_even(F.col("pos"), F.col("rows"), 6).alias("shard"))
 
 
 @query("split_train_test", "select vec_id, row_number() over (partition by label order by vec_id) <= round_even(count(*) over (partition by label) * 0.75, 0) is_train from embeddings")
 def split_train_test(spark, d):
-    return ordering.split_by_class(table(spark, d, "embeddings").select("vec_id", "label"), "label", 0.75, ["vec_id"], buckets=8).select("vec_id", "is_train")
+    return ordering.split_by_class(table(spark, d, "embeddings").select("vec_id", "label"), "label", 0.75, ["vec_id"]).select("vec_id", "is_train")
 
 
 @query("class_index", "select doc_id, dense_rank() over (order by source) - 1 label, clip from documents, (select unnest(generate_series(0, 2)) clip)")
