@@ -1,15 +1,17 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 The windows of all benchmark items (13 consecutive normalised words, or the whole item if it has
-fewer) form one automaton. Each text is scanned once, in normalised form; matches are mapped to word
-places and from there to character offsets of the original text.
+fewer) form one automaton over word numbers. Each text is scanned once, in normalised form; matches are
+word places, mapped to character offsets of the original text.
 
-The benchmark is measured first. Up to BLOCK_BYTES of it make one automaton; a larger one is cut by
-hash into blocks of that size, and each block is a pass of its own over the documents.
+The benchmark is measured first. Up to BLOCK_BYTES of it make one automaton; a larger one is written in blocks
+of that size, dealt by hash, and each block is a pass of its own over the documents. The driver sends a block's
+texts; each Python worker builds the automaton, which takes some 100 MB for each MB of text.
 
 Defined results: null or empty text has no words and is clean; items without words match nothing;
 rows with equal item ids count as one item, null item ids as item "null"; repeated documents each get
-their row; extra columns are kept whatever their names; empty tables give clean or no rows.
+their row; extra columns are kept whatever their names; texts of any length are scanned whole; empty tables
+give clean or no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql.types import StructField, StructType
 from .common import forget, kept_in_worker, materialize, released
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of text whose results are held at once.
 _CHUNK = 4 << 20
 #: A word in a text before it is lower-cased.
@@ -43,38 +45,31 @@ def normal(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows(items: list[tuple[str, str]]) -> dict[str, list[str]]:
-    """Each window's words, spaced, and the items that have it."""
-    out: dict[str, set[str]] = {}
-    for item, text in items:
-        w = normal(text)
-        for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-            out.setdefault(b" ".join(w[i : i + WINDOW]).decode("utf-8", "replace"), set()).add(item)
-    return {k: sorted(v) for k, v in out.items()}
-
-
 class Matcher:
-    def __init__(self, patterns: dict[str, list[str]]):
+    """The automaton of some items' windows. Words are numbered from 1; 0 stands for those of no window."""
+
+    def __init__(self, items: list[tuple[str, str]]):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        for text, items in patterns.items():
-            self.automaton.add_word(f" {text} ", (len(text), text.count(" ") + 1, items))
-        if patterns:
+        self.automaton, self.number = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
+        for item, text in items:
+            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in normal(text))
+            for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
+                window = w[i : i + WINDOW]
+                size, known = self.automaton.get(window, (len(window), ()))
+                if item not in known:
+                    self.automaton.add_word(window, (size, (*known, item)))
+        if self.number:
             self.automaton.make_automaton()
 
     def match(self, text: str) -> tuple[int, np.ndarray, list[str]]:
         """(words, which words are hit, items with an occurring window)."""
         w = normal(text)
         hit, items = np.zeros(len(w), bool), set()
-        if w and len(self.automaton):
-            line = f" {b' '.join(w).decode('utf-8', 'replace')} "
-            at, word = 0, -1
-            for end, (size, n, found) in self.automaton.iter(line):
-                start = end - size  # of the window's first character; its word's place is counted on from the last one
-                word += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
-                at = start
-                hit[word : word + n] = True
+        if w and self.number:
+            get = self.number.get
+            for last, (size, found) in self.automaton.iter(tuple([get(x, 0) for x in w])):
+                hit[last + 1 - size : last + 1] = True
                 items.update(found)
         return len(w), hit, sorted(items)
 
@@ -91,9 +86,9 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 MATCHED = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
 
-def _scanned(docs: DataFrame, patterns: dict[str, list[str]], text: str, before: bool) -> DataFrame:
+def _scanned(docs: DataFrame, items: list[tuple[str, str]], text: str, before: bool) -> DataFrame:
     """(row, found): ``found`` as MATCHED, with what ``before`` says is in it already."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     kind = pa.struct(list(MATCHED.items()))
     schema = StructType([docs.schema["row"], StructField("found", from_arrow_type(kind))])
 
@@ -119,14 +114,16 @@ def _scanned(docs: DataFrame, patterns: dict[str, list[str]], text: str, before:
     return docs.mapInArrow(run, schema)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, dict[str, list[str]]]]:
-    """(how many follow, windows) of each block of items."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """(how many follow, items) of each block; of several the items are read once and written by block."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
+    if n > 1:
+        written = materialize(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), "blocks", by="block")
     for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else items
-        yield n - 1 - i, windows([tuple(r) for r in part.collect()])
+        part = written.where(F.col("block") == i).select("item", "text") if n > 1 else items
+        yield n - 1 - i, [tuple(r) for r in part.collect()]
 
 
 def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -137,8 +134,8 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes
     rows that the one before has written, so driver and tasks hold one block at a time.
     """
     out, written = docs.select(F.struct(*docs.columns).alias("row")), None
-    for left, patterns in _blocks(benchmark, block_bytes):
-        out = _scanned(out, patterns, text, written is not None)
+    for left, items in _blocks(benchmark, block_bytes):
+        out = _scanned(out, items, text, written is not None)
         if left:
             last, written = written, materialize(out, "scanned")
             out = written
