@@ -5,8 +5,9 @@ Within a group of documents, pieces in descending order go to the lowest-cost se
 A piece that fits nowhere is cut to fill the sequence with the most room. Each group opens just
 as many sequences as its tokens need, so the padding is below one sequence per group.
 
-Documents are dealt to groups by hash. A group holds a bounded number of text bytes, whatever the
-size of the corpus, and documents longer than a sequence are cut before they are dealt.
+Documents are dealt to groups by a hash of their places in the table, so that equal rows are spread like others. A
+group holds a bounded number of text bytes, whatever the size of the corpus, and documents longer than a
+sequence are cut before they are dealt. A table should be given as it is read from files: its places must not change between attempts.
 
 Defined results: null or empty text is the end token alone; repeated rows are packed each; extra
 columns are ignored; an empty table gives no pieces.
@@ -141,7 +142,7 @@ def vocabulary(name: str = VOCABULARY) -> str:
 def pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     """Token ids of every document with the end token, cut into pieces of at most ``sequence`` ids.
 
-    Columns: the key, ``start`` (ids before the piece), ``doc_tokens``, ``ids`` (little-endian binary).
+    Columns: the key, ``start`` (ids before the piece), ``doc_tokens``, ``ids`` (little-endian binary), ``place`` (of the document).
     ``path`` defaults to the public vocabulary as installed on each executor.
     """
 
@@ -161,10 +162,10 @@ def pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
                 length = np.minimum(sequence, totals[row] - start)
                 offsets = np.concatenate([[0], np.cumsum(length)]) * enc.dtype.itemsize
                 data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(lo, hi - lo).take(pa.array(row)), pa.array(start), pa.array(totals[row]), data], [key, "start", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(lo, hi - lo).take(pa.array(row)), pa.array(start), pa.array(totals[row]), data, b.column("place").slice(lo, hi - lo).take(pa.array(row))], [key, "start", "doc_tokens", "ids", "place"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, f"{key} {kind}, start long, doc_tokens long, ids binary")
+    return docs.select(key, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("place")).mapInArrow(run, f"{key} {kind}, start long, doc_tokens long, ids binary, place long")
 
 
 def cost(n):
@@ -216,7 +217,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
         columns = [group[key].take(took), starts[p] + first, n, [zlib.crc32(x) for x in raw], group["doc_tokens"].take(took), number + s, offset, pa.array(raw, pa.binary())]
         return pa.table([pa.chunked_array([pa.array(c, pa.int64())]) if isinstance(c, (list, np.ndarray)) else c for c in columns], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    cut = pieces(docs, path, key, text, sequence).withColumn("group", F.pmod(F.xxhash64(key, "start", F.crc32("ids")), F.lit(groups)))
+    cut = pieces(docs, path, key, text, sequence).withColumn("group", F.pmod(F.xxhash64("place", "start"), F.lit(groups))).drop("place")
     return cut.groupBy("group").applyInArrow(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
