@@ -50,6 +50,12 @@ def test_packing_places_each_id_once(docs, by_id):
     assert len(sequences) == -(-sum(map(len, [*ids.values(), ids[9]])) // 4096)
 
 
+def test_equal_rows_are_spread_over_all_groups(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"))
+    got = packing.pack(docs, group_bytes=100_000).groupBy(F.shiftright("sequence_id", 32).alias("group")).agg(F.sum(F.when(F.col("start") == 0, 1)).alias("n")).collect()
+    assert len(got) == 17 and sum(r["n"] for r in got) == 20_000 and max(r["n"] for r in got) < 1500
+
+
 def test_packing_balances_cost():
     n = np.random.default_rng(1).integers(1, 4097, 500)
     placed = packing.balance(n)
@@ -93,6 +99,24 @@ def test_decontamination_equals_brute_force(spark, block):
     assert kept.columns == docs.columns and kept.count() == sum(not fx.hits(r["text"], items)[4] for r in docs.collect())
 
 
+def test_automaton_of_a_block_fits_a_worker():
+    """Its memory for each byte of benchmark, which a block of BLOCK_BYTES must keep under 1 GB."""
+    import subprocess
+
+    code = """
+import random, resource
+from viewloom.llm import decontaminate
+rng = random.Random(1)
+items = [(str(i), " ".join(f"w{rng.randrange(60000)}" for _ in range(170))) for i in range(400)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+matcher = decontaminate.Matcher(items)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / sum(len(t) for _, t in items))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=300, check=True)
+    assert float(out.stdout.split()[-1]) * decontaminate.BLOCK_BYTES < 400 << 20
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/\r\nx", "<p>é</p>", 1), (2, None, None, 1), (3, "u", "", 1), (9, "u", "<p>é</p>", 1), (5, "u", "x" * 3_000_000, 1), (None, "n", "<p>é</p>", 1)]
     pages += [(100 + i, f"http://h/{i}", f"<html>{'word ' * 30}{i}</html>", 1) for i in range(300)]

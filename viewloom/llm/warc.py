@@ -185,8 +185,12 @@ READ = pa.schema([
 ])
 
 
-def read(manifest: DataFrame, uri: str, tasks: int = 64) -> DataFrame:
-    """The records of the manifest's archives; a response's payload is checked against its digest."""
+def read(manifest: DataFrame, uri: str, tasks: int | None = None) -> DataFrame:
+    """The records of the manifest's archives; a response's payload is checked against its digest.
+
+    Each archive is one task's, unless a number of ``tasks`` is given.
+    """
+    tasks = tasks or max(1, manifest.count())
 
     def rows(store, path: str) -> Iterator[tuple]:
         with store.open_input_stream(path) as f:
@@ -212,7 +216,7 @@ def read(manifest: DataFrame, uri: str, tasks: int = 64) -> DataFrame:
                 if held:
                     yield _batch(held)
 
-    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, from_arrow_schema(READ))
+    return manifest.select("path").repartitionByRange(tasks, "path").mapInArrow(run, from_arrow_schema(READ))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
