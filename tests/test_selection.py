@@ -167,28 +167,66 @@ def test_batch_losses_equal_their_definition(spark):
         assert got[b] == (len(mine), pytest.approx(loss))
 
 
-def test_training_equals_its_steps_done_by_hand(spark):
-    x = RNG.normal(size=(120, 3))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+def _trained_by_hand(x, k, epochs, batch, initial_rounds, group_rows, parallel, seed=0):
+    """Batches in the order of md5(seed-id); groups of a round go on from one model and are averaged by the rows each gave a centre."""
     import hashlib
 
-    draw = {i: hashlib.md5(f"0-{i}".encode()).hexdigest() for i in range(120)}
-    order = sorted(range(120), key=lambda i: draw[i])
-    centers, counts = x[order[:4]].copy(), np.zeros(4)
-    for epoch in range(2):
-        for b in range(4):
-            mine = [i for i in range(120) if int(draw[i][:8], 16) % 4 == b]
-            d = ((x[mine][:, None] - centers[None]) ** 2).sum(2)
-            few = counts < (counts.sum() / 4) ** 0.7
-            at = (d / np.where(few, 5.0, 1.0)).argmin(1)
-            for k in range(4):
-                own = x[mine][at == k]
-                if len(own):
-                    rate = max(0.1 ** (2 + epoch // 5), len(own) / (counts[k] + len(own)))
-                    centers[k] += rate * (own.mean(0) - centers[k])
-                    counts[k] += len(own)
-    got = clustering.train(df, 4)
-    assert np.allclose(got.centers, centers) and np.allclose(got.counts, counts)
+    order = sorted(range(len(x)), key=lambda i: hashlib.md5(f"{seed}-{i}".encode()).hexdigest())
+    centers, counts = np.random.default_rng(seed).random((k, x.shape[1])) * 1e-5, np.zeros(k)
+    groups = [order[i : i + group_rows] for i in range(0, len(x), group_rows)]
+    for epoch in range(epochs):
+        for first in range(0, len(groups), parallel):
+            ends = []
+            for g in range(first, min(first + parallel, len(groups))):
+                c, n, rng = centers.copy(), counts.copy(), np.random.default_rng([seed, epoch, g])
+                for lo in range(0, len(groups[g]), batch):
+                    part = x[groups[g][lo : lo + batch]]
+                    if n.sum() < initial_rounds * k:
+                        at = rng.random((len(part), k)).argmin(1)
+                    else:
+                        few = n < (n.sum() / k) ** 0.7
+                        at = (((part[:, None] - c[None]) ** 2).sum(2) / np.where(few, 5.0, 1.0)).argmin(1)
+                    own = np.bincount(at, minlength=k)
+                    rate = 0.1 ** (2 + epoch // 5)
+                    rate = 0.5 / own.max() if own.max() * rate >= 1 else rate
+                    for j in range(k):
+                        c[j] = c[j] * (1 - own[j] * rate) + rate * part[at == j].sum(0)
+                    n += own
+                ends.append((c, n - counts))
+            total = sum(n for _, n in ends)
+            for j in range(k):
+                if total[j]:
+                    centers[j] = sum(n[j] * c[j] for c, n in ends) / total[j]
+            counts = counts + total
+    return centers, counts
+
+
+@pytest.mark.parametrize(("batch", "rounds_", "group_rows", "parallel"), [(32, 2, 65_536, 64), (8, 1, 30, 2), (300, 0, 300, 1)])
+def test_training_equals_its_steps_done_by_hand(spark, batch, rounds_, group_rows, parallel):
+    x = RNG.normal(size=(240, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = clustering.train(df, 4, batch=batch, initial_rounds=rounds_, group_rows=group_rows, parallel=parallel)
+    centers, counts = _trained_by_hand(x, 4, 2, batch, rounds_, group_rows, parallel)
+    assert np.allclose(got.centers, centers) and np.allclose(got.counts, counts) and counts.sum() == 480
+    again = clustering.train(df.repartition(7), 4, batch=batch, initial_rounds=rounds_, group_rows=group_rows, parallel=parallel)
+    assert (again.centers == got.centers).all() and (again.counts == got.counts).all()
+
+
+def test_contrastive_steps_grow_with_rows_and_repeat_exactly(spark):
+    from viewloom.operators import contrastive
+
+    base = RNG.normal(size=(600, 3))
+    x, y = base @ RNG.normal(size=(3, 5)), base @ RNG.normal(size=(3, 4))
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, va array<double>, vb array<double>")
+    state = {}
+    for n, options in ((600, {}), (150, {}), (600, {"group_rows": 100, "parallel": 3})):
+        part = df.where(F.col("id") < n)
+        p, losses = contrastive.train(part, m=4, epochs=3, size=50, rate=0.02, **options)
+        q, again = contrastive.train(part.repartition(5), m=4, epochs=3, size=50, rate=0.02, **options)
+        assert losses == again and all((a == b).all() for a, b in zip(p.parts(), q.parts(), strict=True))
+        state[n, bool(options)] = losses
+    assert len(state[600, False]) == 3 and len(state[600, True]) == 6
+    assert state[600, False][-1] < state[150, False][-1] < state[150, False][0] and state[600, True][-1] < state[600, True][0]
 
 
 def test_library_clusters_find_separate_groups(spark):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import forget, materialize
+from . import rounds
 
 #: Numbers in a model.
 LIMIT = 16_000_000
@@ -62,13 +62,12 @@ def assign(rows: DataFrame, models: dict[str, Model], vec: str = "vec", clusteri
 
 
 def step(model: Model, sums: np.ndarray, counts: np.ndarray, rate: float) -> Model:
-    """One update from the sums and numbers of rows per centre: each moves to its rows' mean at a rate of at
-    least ``rate`` and at least its share of new rows."""
-    total = model.counts + counts
-    share = np.divide(counts, total, out=np.zeros_like(total), where=total > 0)
-    pace = np.where(counts > 0, np.maximum(rate, share), 0.0)
-    mean = np.divide(sums, counts[:, None], out=model.centers.copy(), where=counts[:, None] > 0)
-    return Model(model.centers + pace[:, None] * (mean - model.centers), total)
+    """One update from the sums and numbers of a batch's rows per centre: a centre keeps 1 - n * rate of itself and
+    takes ``rate`` of each of its n rows. Where the largest n would leave nothing of a centre the rate is half its inverse."""
+    most = counts.max(initial=0)
+    if most * rate >= 1:
+        rate = 0.5 / most
+    return Model(model.centers * (1 - counts * rate)[:, None] + rate * sums, model.counts + counts)
 
 
 def gather(rows: DataFrame, model: Model, vec: str = "vec", discount: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
@@ -98,17 +97,48 @@ def gather(rows: DataFrame, model: Model, vec: str = "vec", discount: bool = Tru
     return sums, first["n"].to_numpy(), float(first["far"].sum() / max(first["rows"].sum(), 1))
 
 
-def train(rows: DataFrame, k: int, epochs: int = 2, batches: int = 4, seed: int = 0, vec: str = "vec", key: str = "id", rate=lambda e: 0.1 ** (2 + e // 5)) -> Model:
-    """Mini-batch training: rows are dealt to batches by md5 and written so; each batch is one distributed aggregation."""
-    draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
-    first = rows.select(vec).orderBy(draw, key).limit(k).collect()
-    model = Model(np.array([r[0] for r in first], float), np.zeros(len(first)))
-    dealt = materialize(rows.select(vec, F.pmod(F.conv(F.substring(draw, 1, 8), 16, 10).cast("long"), F.lit(batches)).alias("_batch")), "batches", "_batch")
+def local_steps(model: Model, x: np.ndarray, batch: int, rate: float, initial_rounds: int, rng: np.random.Generator) -> Model:
+    """Steps over batches of rows in order. Until ``initial_rounds`` rows per centre have been seen, rows go to random centres."""
+    k = len(model.centers)
+    for lo in range(0, len(x), batch):
+        part = x[lo : lo + batch]
+        random = model.counts.sum() < initial_rounds * k
+        at = (rng.random((len(part), k)) if random else model.distances(part, True)).argmin(1)
+        sums = np.zeros_like(model.centers)
+        np.add.at(sums, at, part)
+        model = step(model, sums, np.bincount(at, minlength=k).astype(float), rate)
+    return model
+
+
+def averaged(model: Model, found: list[Model]) -> Model:
+    """Models that went on from ``model`` side by side as one: centres weighted by the rows each has given them, counts added up."""
+    if len(found) == 1:
+        return found[0]
+    new = [m.counts - model.counts for m in found]
+    total = sum(new)
+    moved = sum(n[:, None] * m.centers for n, m in zip(new, found, strict=True))
+    centers = np.where(total[:, None] > 0, moved / np.maximum(total, 1)[:, None], model.centers)
+    return Model(centers, model.counts + total)
+
+
+def train(rows: DataFrame, k: int, epochs: int = 2, batch: int = 32, seed: int = 0, vec: str = "vec", key: str = "id", rate=lambda e: 0.1 ** (2 + e // 5), initial_rounds: int = 10, group_rows: int = rounds.GROUP_ROWS, parallel: int = rounds.PARALLEL) -> Model:
+    """Training in batches of ``batch`` rows, as many steps as the rows make: local steps in groups whose models are averaged.
+
+    Centres start near zero. A table of at most ``group_rows`` rows is trained in one sequence.
+    """
+    width = rows.select(F.size(vec).alias("d")).first()
+    model = Model(np.random.default_rng(seed).random((k, width["d"] if width else 0)) * 1e-5, np.zeros(k))
+    dealt = rounds.deal(rows, [vec], key, seed, group_rows, parallel)
     for e in range(epochs):
-        for b in range(batches):
-            sums, counts, _ = gather(dealt.where(F.col("_batch") == b), model, vec)
-            model = step(model, sums, counts, rate(e))
-    forget(dealt)
+        for r in range(dealt.rounds):
+            now = model
+
+            def work(group: int, pdf: pd.DataFrame, now: Model = now, e: int = e) -> list[np.ndarray]:
+                m = local_steps(now, np.stack(pdf[vec].to_list()).astype(float), batch, rate(e), initial_rounds, np.random.default_rng([seed, e, group]))
+                return [m.centers, m.counts]
+
+            model = averaged(now, [Model(c.reshape(now.centers.shape), n) for c, n in dealt.round(r, work)])
+    dealt.drop()
     return model
 
 

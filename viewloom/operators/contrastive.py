@@ -13,8 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import forget, materialize
-from . import ordering
+from . import ordering, rounds
 
 TEMPERATURE = 0.1
 
@@ -59,52 +58,71 @@ def loss_and_gradient(p: Projection, a: np.ndarray, b: np.ndarray) -> tuple[floa
     return (l1 + l2) / 2, [a.T @ ga, ga.sum(0), b.T @ gb, gb.sum(0)]
 
 
-def train(rows: DataFrame, m: int = 16, epochs: int = 3, size: int = 128, rate: float = 2e-3, warm: int = 10, seed: int = 0) -> tuple[Projection, list[float]]:
-    """Adam with its largest second moment kept; the gradient of each epoch's slices is summed by tasks.
+@dataclass
+class Adam:
+    """Parameters with the running moments of their gradients, of which the largest second one is kept."""
+
+    x: list[np.ndarray]
+    first: list[np.ndarray]
+    second: list[np.ndarray]
+    top: list[np.ndarray]
+
+    @staticmethod
+    def start(x: list[np.ndarray]) -> Adam:
+        return Adam(x, *([np.zeros_like(v) for v in x] for _ in range(3)))
+
+    def parts(self) -> list[np.ndarray]:
+        return [*self.x, *self.first, *self.second, *self.top]
+
+    @staticmethod
+    def of(parts: list[np.ndarray], like: Adam) -> Adam:
+        n = len(like.x)
+        each = [p.reshape(v.shape) for p, v in zip(parts, like.parts(), strict=True)]
+        return Adam(*(each[i : i + n] for i in range(0, 4 * n, n)))
+
+    def step(self, gradient: list[np.ndarray], rate: float, t: int) -> Adam:
+        """The ``t``-th step, counted from 1."""
+        first = [0.9 * m + 0.1 * g for m, g in zip(self.first, gradient, strict=True)]
+        second = [0.999 * v + 0.001 * g * g for v, g in zip(self.second, gradient, strict=True)]
+        top = [np.maximum(a, v / (1 - 0.999**t)) for a, v in zip(self.top, second, strict=True)]
+        moved = [x - rate * (m / (1 - 0.9**t)) / (np.sqrt(a) + 1e-8) for x, m, a in zip(self.x, first, top, strict=True)]
+        return Adam(moved, first, second, top)
+
+
+def train(rows: DataFrame, m: int = 16, epochs: int = 3, size: int = 128, rate: float = 2e-3, warm: int = 10, seed: int = 0, group_rows: int = rounds.GROUP_ROWS, parallel: int = rounds.PARALLEL) -> tuple[Projection, list[float]]:
+    """The projection trained in batches of ``size`` rows (id, va, vb), and the mean loss of each round and epoch's batches.
 
-    ``rows`` has (id, va, vb). A slice of rows is cut into batches of ``size`` inside the tasks, so the driver
-    sees one gradient per task.
+    There are as many steps as the rows make batches: local steps in groups, whose parameters and moments are averaged;
+    a table of at most ``group_rows`` rows is trained in one sequence. A batch of one row has no loss and makes no step.
     """
     head = rows.select("va", "vb").first()
-    p = Projection.start(len(head["va"]), len(head["vb"]), m, seed)
-    m1, m2, top = ([np.zeros_like(x) for x in p.parts()] for _ in range(3))
-    losses, t, slices = [], 0, 4
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(slices))
-    dealt = materialize(rows.select("va", "vb", draw.alias("_slice")), "slices", "_slice")
-    for epoch in range(epochs):
-        for s in range(slices):
-            now = p
-
-            def part(batches, now=now):
-                total, lost, n = None, 0.0, 0
-                for pdf in batches:
-                    for lo in range(0, len(pdf), size):
-                        a, b = (np.stack(pdf[c].iloc[lo : lo + size].to_list()).astype(float) for c in ("va", "vb"))
-                        if len(a) < 2:
-                            continue
-                        loss, g = loss_and_gradient(now, a, b)
-                        total = g if total is None else [x + y for x, y in zip(total, g, strict=True)]
-                        lost, n = lost + loss, n + 1
-                if n:
-                    yield pd.DataFrame({"g": [np.concatenate([x.ravel() for x in total])], "loss": [lost], "n": [n]})
-
-            got = dealt.where(F.col("_slice") == s).select("va", "vb").mapInPandas(part, "g array<double>, loss double, n long")
-            sums = got.select("loss", "n", F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("loss").alias("loss"), F.sum("n").alias("n")).orderBy("i").toPandas()
-            if not len(sums):
-                continue
-            t += 1
-            flat = sums["x"].to_numpy() / sums["n"].iloc[0]
-            losses.append(float(sums["loss"].iloc[0] / sums["n"].iloc[0]))
-            cut = np.cumsum([x.size for x in p.parts()])[:-1]
-            new = []
-            for k, (x, g) in enumerate(zip(p.parts(), np.split(flat, cut), strict=True)):
-                g = g.reshape(x.shape)
-                m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g * g
-                top[k] = np.maximum(top[k], m2[k] / (1 - 0.999**t))
-                new.append(x - rate * min(1, t / warm) * (m1[k] / (1 - 0.9**t)) / (np.sqrt(top[k]) + 1e-8))
-            p = Projection(*new)
-    forget(dealt)
-    return p, losses
+    if head is None:
+        raise ValueError("no rows to train on")
+    state = Adam.start(Projection.start(len(head["va"]), len(head["vb"]), m, seed).parts())
+    dealt = rounds.deal(rows, ["va", "vb"], "id", seed, group_rows, parallel)
+    losses, t = [], 0
+    for _ in range(epochs):
+        for r in range(dealt.rounds):
+            now, before = state, t
+
+            def work(group: int, pdf: pd.DataFrame, now: Adam = now, before: int = before) -> list[np.ndarray]:
+                s, lost, n = now, 0.0, 0
+                for lo in range(0, len(pdf), size):
+                    a, b = (np.stack(pdf[c].iloc[lo : lo + size].to_list()).astype(float) for c in ("va", "vb"))
+                    if len(a) > 1:
+                        loss, gradient = loss_and_gradient(Projection(*s.x), a, b)
+                        n += 1
+                        s, lost = s.step(gradient, rate * min(1, (before + n) / warm), before + n), lost + loss
+                return [*s.parts(), np.array([lost, n], float)]
+
+            found = list(dealt.round(r, work))
+            steps = max((int(f[-1][1]) for f in found), default=0)
+            if steps:
+                state = Adam.of([sum(p) / len(found) for p in zip(*(f[:-1] for f in found), strict=True)], now)
+                losses.append(float(sum(f[-1][0] for f in found) / sum(f[-1][1] for f in found)))
+                t += steps
+    dealt.drop()
+    return Projection(*state.x), losses
 
 
 def score(rows: DataFrame, p: Projection) -> DataFrame:

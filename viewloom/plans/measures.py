@@ -46,8 +46,9 @@ _WHOLE = """e as (select vec_id id, label, unnest(generate_series(0, 63)) pos, u
 
 @query("sgd_step", f"""with {_WHOLE}, dist as (select id, k, sum((x - c) * (x - c)) d from e join c0 using (pos) group by all),
   near as (select id, k from (select *, row_number() over (partition by id order by d, k) rn from dist) where rn = 1),
-  cnt as (select k, count(*) n from near group by k), mean as (select k, pos, avg(x) m from near join e using (id) group by all)
-  select k, pos::bigint pos, round(c + coalesce(greatest(0.01, n / (n + 1.0)), 0) * coalesce(m - c, 0), 6) x, 1 + coalesce(n, 0) n from c0 left join cnt using (k) left join mean using (k, pos)""")
+  cnt as (select k, count(*) n from near group by k), mean as (select k, pos, avg(x) m from near join e using (id) group by all),
+  lr as (select case when max(n) * 0.01 >= 1 then 0.5 / max(n) else 0.01 end lr from cnt)
+  select k, pos::bigint pos, round(c * (1 - coalesce(n, 0) * lr) + lr * coalesce(n * m, 0), 6) x, 1 + coalesce(n, 0) n from c0 cross join lr left join cnt using (k) left join mean using (k, pos)""")
 def sgd_step(spark, d):
     rows = vectors(spark, d)
     model = models(rows)["all"]
