@@ -30,6 +30,8 @@ LEAST_LENGTH, LEAST_COUNT = 5, 3
 SLIPS = 97
 #: Bigrams that one edit leaves one of: two may be touched.
 RAREST = 3
+#: Bigrams whose counts are broadcast at most; the letters of the rule make 8,100.
+BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,11 +59,17 @@ def _bigrams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: word.substr(i, F.lit(2)))
 
 
+def letters(word: Column) -> Column:
+    """A bit for each character that occurs, by its code modulo 64; one edit changes two bits at most."""
+    return F.aggregate(F.array_distinct(F.split(word, "")), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % 64).cast("int"))))
+
+
 def keys(words: DataFrame) -> DataFrame:
     """(word, n, size, end, part): ``part`` is a word's text up to the end of a rare bigram (``end`` false), or from its start on."""
     grams = words.select("word", "n", F.posexplode(_bigrams(F.col("word"))).alias("at", "gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
-    ranked = grams.join(often, "gram").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram", "at"))).alias("g"))
+    often = materialize(grams.groupBy("gram").agg(F.count("*").alias("often")), "often")
+    few = often.count() <= BROADCAST_ROWS
+    ranked = grams.join(F.broadcast(often) if few else often.hint("merge"), "gram").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram", "at"))).alias("g"))
     rank = lambda x: F.struct(x["often"].alias("often"), x["gram"].alias("gram"))
     rare = ranked.select("word", "n", F.explode(F.filter("g", lambda x: rank(x) <= rank(F.col("g")[RAREST - 1]))).alias("g"))
     word, at = F.col("word"), F.col("g.at")
@@ -73,13 +81,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, an, b, bn): each pair of near words once, a < b, with their counts.
 
     The join is an equi-join also in the lengths, which the right side lists as its own and both next to it, so
-    that adaptive execution can split it where a key is frequent; candidates are verified inside it.
+    that adaptive execution can split it where a key is frequent; candidates are verified inside it, those whose letters
+    differ too much by comparing bits.
     """
-    listed = materialize(keys(words), "keys")
-    left = listed.select("end", "part", "size", F.col("word").alias("a"), F.col("n").alias("an"))
+    listed = materialize(keys(words).withColumn("bits", letters(F.col("word"))), "keys")
+    left = listed.select("end", "part", "size", F.col("word").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
     sizes = F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1))
-    right = listed.select("end", "part", sizes.alias("size"), F.col("word").alias("b"), F.col("n").alias("bn"))
-    met = left.join(right, ["end", "part", "size"]).where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
+    right = listed.select("end", "part", sizes.alias("size"), F.col("word").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
+    alike = (F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= 2) & (F.col("a") < F.col("b"))
+    met = left.join(right, ["end", "part", "size"]).where(alike & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "an", "b", "bn").distinct()
 
 
