@@ -117,6 +117,19 @@ def mi(spark, d):
     return agreement.mutual_information(cells(spark, d)).select("pair", F.round("mi", 6).alias("mi"))
 
 
+@query("mi_sql", f"with {_MI} select pair, round(mi, 6) mi from mi")
+def mi_sql(spark, d):
+    """The same from SQL text alone: pairs by an unfolded list, cells by one aggregation, MI by the registered aggregate."""
+    from ..functions import sql
+
+    sql.register(spark)
+    rows = wide(spark, d)
+    pairs = ", ".join(f"named_struct('pair', {p}, 'i', a[{x}], 'j', a[{y}])" for p, (x, y) in enumerate(PAIRS))
+    text = f"""with cells as (select c.pair, c.i, c.j, count(*) n from (select explode(array({pairs})) c from {{rows}}) group by all)
+      select pair, round(mi_of_cells(i, j, n), 6) mi from cells group by pair"""
+    return spark.sql(text, rows=rows)
+
+
 _ADDED = f"""with {CELLS_SQL}, sel as (@selected), held as (select pair, x.k i, y.k j, count(*) n from pairs join assigned x on x.clustering = c1 join assigned y on y.clustering = c2 and y.id = x.id where x.id in (select id from sel) group by all),
   ha as (select pair, j, sum(n) a from held group by all), hb as (select pair, i, sum(n) b from held group by all), f as (select 0 v),
   tot as (select pair, sum(n)::double n, sum(n * ln(n)) nn from held group by pair), ta as (select pair, sum(a * ln(a)) aa from ha group by pair), tb as (select pair, sum(b * ln(b)) bb from hb group by pair),
