@@ -113,4 +113,20 @@ e as (select policy, r, tolerated, list_sum(list_transform(rules, lambda k: v[k]
 select policy, ['few_words', 'repeat_words', 'symbol_heavy', 'shouting', 'capitals', 'long_words', 'repeat_lines'][r] "rule",
   count(*) filter (where fails <= tolerated) kept_with, count(*) filter (where fails - own <= tolerated) kept_without from e group by all"""
 
-ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_warc": _OP3, "op4_licenses": _OP4, "op6_line_dedup": _OP6, "op9_jaccard": _OP9, "op10_quality_rules": _OP10, "quality_ablations": _ABLATIONS}
+#: ``tab`` is the table of the checksum, from its rule; near words share what is left without one character.
+_OP11 = r"""
+with recursive t as materialized (select list(c order by i) tab from (select i, list_reduce(list_prepend(i::bigint, [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from generate_series(0, 255) g(i))),
+r as (select coalesce(doc_id::varchar, 'null') id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run from documents),
+d as (select id, run, count(*) k, hex(encode(id || ':' || run)) x from r group by id, run),
+h as (select run, k, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(generate_series(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) h from d, t),
+w as materialized (select word, sum(k)::bigint n from (select k, case when h % 97 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word from h) where length(word) >= 5 group by word having sum(k) >= 3),
+cut as materialized (select word, n, length(word) size, i, left(word, i::int - 1) || substr(word, i::int + 1) part from w, unnest(generate_series(1, length(word))) u(i)),
+near as materialized (select distinct a.word, b.word near, b.n m from cut a join cut b on a.part = b.part and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join w b on a.part = b.word union select b.word, a.word, a.n from cut a join w b on a.part = b.word),
+best as materialized (select w.word, w.n, count(near) n_near, arg_min(near, (-m, near)) b, max(m) m from w left join near using (word) group by w.word, w.n),
+f as materialized (select word, n, n_near, case when m >= 2 * n then b end form, case when m >= 2 * n then m end form_n from best),
+up(word, root) as (select word, form from f where form is not null union all select up.word, form from up join f on f.word = up.root where form is not null),
+ends as (select up.word, up.root from up join f on f.word = up.root where f.form is null)
+select f.word, form, coalesce(root, f.word) root, n, n_near, form_n from f left join ends using (word)"""
+
+ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_warc": _OP3, "op4_licenses": _OP4, "op6_line_dedup": _OP6, "op9_jaccard": _OP9, "op10_quality_rules": _OP10, "op11_spelling": _OP11, "quality_ablations": _ABLATIONS}
