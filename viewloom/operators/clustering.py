@@ -151,7 +151,14 @@ def whiten(rows: DataFrame, by: str = "clustering", vec: str = "vec") -> DataFra
 
 
 def principal(rows: DataFrame, n: int, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
-    """(mean, n principal axes) from d x d sums that each task forms."""
+    """(mean, n principal axes) from sums of products that each task forms.
+
+    A task returns them as d + 1 rows of arrays, which are added up row by row before the driver gets one matrix of
+    (d + 1)² numbers, LIMIT at most.
+    """
+    width = rows.select(F.size(vec).alias("d")).first()["d"]
+    if (width + 1) ** 2 > LIMIT:
+        raise ValueError(f"a matrix of over {LIMIT} numbers")
 
     def part(batches):
         total = None
@@ -161,12 +168,14 @@ def principal(rows: DataFrame, n: int, vec: str = "vec") -> tuple[np.ndarray, np
                 x = np.hstack([np.ones((len(x), 1)), x])
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            yield pd.DataFrame({"i": np.repeat(np.arange(len(total)), len(total)), "j": np.tile(np.arange(len(total)), len(total)), "v": total.ravel()})
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": list(total)})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "v": [np.sum(np.stack(pdf["v"].to_list()), axis=0)]})
 
-    got = rows.select(vec).mapInPandas(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    d = int(got["i"].max()) + 1
-    m = np.zeros((d, d))
-    m[got["i"], got["j"]] = got["v"]
+    kind = "i int, v array<double>"
+    got = rows.select(vec).mapInPandas(part, kind).groupBy("i").applyInPandas(added, kind).collect()
+    m = np.array([r["v"] for r in sorted(got, key=lambda r: r["i"])])
     count, mean = m[0, 0], m[0, 1:] / m[0, 0]
     cov = m[1:, 1:] / count - np.outer(mean, mean)
     _, axes = np.linalg.eigh(cov)

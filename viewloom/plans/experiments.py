@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import clips, contrastive, evaluation, ordering, retrieval
+from ..sources.scratch import materialize
 from .base import ASSIGN_SQL, VIEWS_SQL, label_centers, table, vectors, views
 from .registry import query
 
@@ -151,7 +152,9 @@ def _scores(spark, d):
     from ..functions.vectors import l2
 
     rows = vectors(spark, d)
-    centers = label_centers(rows).select(F.col("k").alias("class"), "center")  # one per label
+    centers = materialize(label_centers(rows).select(F.col("k").alias("class"), "center"), "centers")  # one per label
+    if centers.count() > 10_000:
+        raise ValueError("more classes than a table of scores has columns for")
     return rows.crossJoin(F.broadcast(centers)).select("id", "label", "class", F.round(l2(F.col("vec"), F.col("center")), 6).alias("score"))
 
 
