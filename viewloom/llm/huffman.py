@@ -47,7 +47,7 @@ MARK, HEAD = b"VLH1", struct.Struct("<6Q")
 #: Bits of the longest code; ids between two checkpoints; ids coded at once; ids of a file, about.
 LIMIT, BLOCK, SLICE, FILE_IDS = 20, 256, 1 << 20, 8 << 20
 #: Bytes of text encoded at once; bytes, about, of units and ids that a Python worker keeps.
-CHUNK_BYTES, CACHE_BYTES = 4 << 20, 128 << 20
+CHUNK_BYTES, CACHE_BYTES = 8 << 20, 320 << 20
 _PER_UNIT = 160
 #: White space of the vocabulary's word rule.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -58,7 +58,7 @@ _FEW = [chr(i) for i in range(0x180)]
 _LETTER, _NUMBER = ("".join(re.escape(c) for c in _FEW if unicodedata.category(c)[0] == k) for k in "LN")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WHITE}{_LETTER}{_NUMBER}]+|[{_WHITE}]+")
 #: Pieces with other characters, or with the byte that parts them here, go through the tokenizer on their own.
-_OTHER = re.compile("[^\x01-\u017f]")
+_OTHER = "[^\x01-\u017f]"
 #: Texts in which white space is more than single spaces, and single or double ends of lines, between words.
 _ODD = r"[\t\x0b-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| [ \n]|\n |\n\n\n|\A[ \n]|[ \n]\z"
 
@@ -75,7 +75,7 @@ class UnitEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = "|".join(map(re.escape, marks)) or "[^\\x00-\U0010ffff]"
-        self.marks, self.odd = re.compile(self.mark), f"{_ODD}|{self.mark}"
+        self.marks, self.other, self.odd = re.compile(self.mark), re.compile(f"{_OTHER}|{self.mark}"), f"{_ODD}|{self.mark}"
         # the file's model without a cache of its own, for pieces whose bytes are already written as its characters
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -114,11 +114,12 @@ class UnitEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Units of known characters are cut into pieces, which recur more often; others go through the tokenizer whole."""
-        whole = [u for u in new if _OTHER.search(u) or self.marks.search(u)]
+        other = set(filter(self.other.search, new)) if self.other.search("\x01".join(new)) else set()
+        whole = list(other)
         got = [x.ids for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         self._keep(whole, np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum())), sizes)
-        units = [u for u in new if not (_OTHER.search(u) or self.marks.search(u))]
+        units = [u for u in new if u not in other] if other else new
         cut = list(map(_PIECE.findall, units))
         fresh = [p for p in set(chain.from_iterable(cut)) if p not in self.known]
         for lo in range(0, len(fresh), 1024):
@@ -150,7 +151,7 @@ class UnitEncoder:
         # plain texts are cut at spaces; a word has the space before it, but for a text's first one and those at ends of lines
         lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n "), " ")
         coded = lists.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
         line = np.array([w == "\n" or not w for w in words], bool)[code] if words else np.zeros(0, bool)
         edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         bare = line | np.concatenate([[True], line[:-1]])[: len(line)]
@@ -166,10 +167,15 @@ class UnitEncoder:
         units = [[t] if self.marks.search(t) else _UNIT.findall(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         other, n = self._ids(self._places(list(chain.from_iterable(units))))
         count[odd] = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(x) for x in units])]).astype(np.int64)])
-        of = np.repeat(odd.astype(np.int8), count + 1)
-        of[np.cumsum(count + 1) - 1] = 2
-        out = np.full(len(of), END, self.dtype)
-        out[of == 0], out[of == 1] = ids, other
+        inner = np.ones(int(count.sum()) + len(texts), bool)
+        inner[np.cumsum(count + 1) - 1] = False
+        out = np.full(len(inner), END, self.dtype)
+        if odd.any():
+            given = np.repeat(odd, count)
+            both = np.empty(len(given), self.dtype)
+            both[~given], both[given] = ids, other
+            ids = both
+        out[inner] = ids
         return out, count + 1
 
 
@@ -202,8 +208,8 @@ def counts(coded: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                n += np.bincount(np.frombuffer(x.as_buffer(), width), minlength=size)
+            if b.num_rows:
+                n += np.bincount(np.concatenate([np.frombuffer(x.as_buffer(), width) for x in b.column("ids")]), minlength=size)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"id": used, "n": n[used]})
 
@@ -262,11 +268,15 @@ class Code:
         end = np.cumsum(n)
         at = end - n
         total = -(-int(end[-1]) // 8) if len(n) else 0
-        word = self.code[ids] << (32 - n - (at & 7)).astype(np.uint64)
-        out = np.zeros(total + 4)
-        for k in range(4):
-            out += np.bincount((at >> 3) + k, ((word >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64), total + 4)
-        return out[:total].astype(np.uint8).tobytes(), at[::block]
+        # a code lies in one word of 32 bits or runs over into the next; codes of one word are added up in one go
+        place = at >> 5
+        word = self.code[ids] << (64 - n - (at & 31)).astype(np.uint64)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        out = np.zeros(-(-total // 4) + 1, np.uint64)
+        if len(n):
+            out[place[first]] += np.add.reduceat(word >> np.uint64(32), first)
+            out[place[first] + 1] += np.add.reduceat(word & np.uint64(0xFFFFFFFF), first)
+        return out.astype(">u4").tobytes()[:total], at[::block]
 
     def unpack(self, data: bytes, begins: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
         """``n`` ids of the blocks that begin at these bits of ``data``; all blocks are read side by side."""
