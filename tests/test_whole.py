@@ -90,3 +90,27 @@ def test_equal_rows_go_in_the_order_of_their_ids(spark):
     rows = np.zeros((90, 4), int)
     got = whole.greedy(table(spark, rows), PAIRS, 30, keep=4, part_rows=20).orderBy("rank").collect()
     assert [r["id"] for r in got] == list(range(1, 31))
+
+
+def test_few_steps_need_a_job(spark):
+    rng = np.random.default_rng(5)
+    true = rng.integers(0, 6, 1500)
+    rows = np.where(rng.random((1500, 4)) < 0.5, true[:, None], rng.integers(0, 6, (1500, 4)))
+    got = whole.greedy(table(spark, rows), PAIRS, 100, keep=100, part_rows=500).orderBy("rank").collect()
+    same(got, by_hand(rows, [0], 100, selection.MEASURES["mi"]))
+    assert sum(r["scored"] > 0 for r in got) < 12  # about 20 where bounds grow step by step
+
+
+def test_no_value_grows_by_more_than_the_bound():
+    grown = RNG.normal(size=(len(PAIRS), 3, 3))
+    rows = np.array(np.unravel_index(np.arange(3**4), (3,) * 4)).T
+    bound, most = whole.Growth(PAIRS)(grown, np.zeros_like(grown)), whole.value_of(grown, rows, PAIRS).max()
+    assert most <= bound + 1e-8 and bound <= grown.max(axis=(1, 2)).sum() + 1e-8
+
+
+def test_candidates_off_the_short_list_come_back(spark, monkeypatch):
+    monkeypatch.setattr(whole, "LISTED", 3)
+    rows = RNG.integers(0, 4, (200, 4))
+    for lazy, measure in ((False, "mi"), (True, "covered")):
+        got = whole.greedy(table(spark, rows), PAIRS, 30, measure, lazy=lazy, keep=40, part_rows=100).orderBy("rank").collect()
+        same(got, by_hand(rows, [0], 30, selection.MEASURES[measure]))
