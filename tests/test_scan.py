@@ -91,6 +91,25 @@ def test_tiled_pairs_equal_all_pairs(spark, tile):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("tile", [2, 256])
+def test_pairs_of_odd_vectors_and_equal_numbers(spark, tile, monkeypatch):
+    monkeypatch.setattr(clips, "BATCH", 5)
+    vecs = [[3.0, 4.0], [0.0, 0.0], None, [1.0, None], [4.0, 3.0, 0.0], [1.0, 0.0], [1.0, 0.0]]
+    rows = [("v", c, x) for c, x in zip("abcdeff", vecs, strict=True)] + [("v", None, [1.0, 1.0]), (None, "a", [1.0, 1.0]), (None, "b", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "video string, clip string, vec array<double>").repartition(3)
+    found = clips.similar_pairs(df, cosine, tile, places=6)
+    got = [(r["a"], r["b"], r["score"]) for r in found.collect()]
+    want = []
+    for (_, a, x), (_, b, y) in itertools.product(rows[:7], rows[:7]):
+        if a < b:
+            whole = x and y and None not in x + y and len(x) == len(y)
+            zero = whole and not (any(x) and any(y))
+            want.append((a, b, "nan" if zero else round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 6) if whole else None))
+    assert sorted(((a, b, "nan" if s is not None and np.isnan(s) else s) for a, b, s in got), key=repr) == sorted(want, key=repr)
+    plain = clips.similar_pairs(df.where("vec[0] > 0 or vec is null"), lambda a, b: cosine(a, b), tile, places=6)
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted((tuple(r) for r in found.collect() if "b" not in (r["a"], r["b"])), key=repr)
+
+
 def test_no_exchange_lowers_the_sum_of_a_local_search():
     best = []
     for trial in range(60):
