@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -110,6 +111,48 @@ def test_units_encode_as_the_tokenizer_does():
         assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == (tokenized(texts) if texts else [[]])
 
 
+class Asked(dict):
+    """A dict that counts how often it is asked."""
+
+    asked = 0
+
+    def get(self, *a):
+        self.asked += 1
+        return super().get(*a)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+
+def test_units_are_looked_up_once_and_pieces_go_through_the_model_alone(monkeypatch):
+    import public_tokenizers
+
+    e = huffman.UnitEncoder(public_tokenizers.path(huffman.VOCABULARY))
+    words = ["".join(x) for x in itertools.product("abcdefghij", repeat=3)]
+    texts = pa.array([" ".join(["a", *words, *(f"{w}, {w}! {w}-{w}" for w in words)])] * 3)
+    units, pieces = 1 + len(words) * 4, 1 + len(words) * 2 + 3  # " w", " w,", " w!" and " w-w"; "a", " w", "w" and three marks
+    sent, model = [], e.bare
+
+    class Bare:
+        def encode_batch_fast(self, lines, **options):
+            out = model.encode_batch_fast(lines, **options)
+            sent.extend(out[0].ids)
+            return out
+
+    monkeypatch.setattr(e, "bare", Bare())
+    e.known = Asked()
+    ids, n = e.encode(texts)
+    assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == tokenized(texts.to_pylist())
+    assert e.known.asked == units + pieces and len(sent) == sum(len(x) - 1 for x in tokenized(["a", *words, *(f" {w}" for w in words), ",", "!", "-"]))
+    e.encode(texts)
+    assert e.known.asked == 2 * units + pieces
+
+
 def test_coded_ids_come_back_in_order(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     ids = tokenized([r["text"] for r in rows])

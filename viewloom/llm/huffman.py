@@ -28,8 +28,8 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +53,27 @@ _PER_UNIT = 160
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Parts of a text that its word rule never joins: a word with one space before it, and white space up to the last before a word.
 _UNIT = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
-#: The word rule itself, written out for characters below U+0180.
+#: The word rule itself, written out for characters below U+0180, of which these are white space, as Arrow's expressions are.
 _FEW = [chr(i) for i in range(0x180)]
 _LETTER, _NUMBER = ("".join(re.escape(c) for c in _FEW if unicodedata.category(c)[0] == k) for k in "LN")
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WHITE}{_LETTER}{_NUMBER}]+|[{_WHITE}]+")
-#: Pieces with other characters, or with the byte that parts them here, go through the tokenizer on their own.
-_OTHER = "[^\x01-\u017f]"
+_BLANK = r"\t-\r \x{85}\x{a0}"
+_PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+"
+#: Units with other characters, or with the byte that parts pieces here, go through the tokenizer on their own.
+_OTHER = r"[^\x{1}-\x{17f}]"
 #: Texts in which white space is more than single spaces, and single or double ends of lines, between words.
 _ODD = r"[\t\x0b-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| [ \n]|\n |\n\n\n|\A[ \n]|[ \n]\z"
 
 
+def _by_text(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of ``x`` between edges."""
+    return np.diff(np.concatenate([[0], np.cumsum(x)])[edge])
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    """The texts as a list; ``to_pylist`` makes an Arrow scalar of each on the way."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class UnitEncoder:
     """Ids as the tokenizer gives them, computed once per distinct unit and worker."""
 
@@ -75,16 +86,17 @@ class UnitEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = "|".join(map(re.escape, marks)) or "[^\\x00-\U0010ffff]"
-        self.marks, self.other, self.odd = re.compile(self.mark), re.compile(f"{_OTHER}|{self.mark}"), f"{_ODD}|{self.mark}"
+        self.marks, self.other, self.odd = re.compile(self.mark), f"{_OTHER}|{self.mark}", f"{_ODD}|{self.mark}"
         # the file's model without a cache of its own, for pieces whose bytes are already written as its characters
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.bare = Tokenizer(models.BPE(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], cache_capacity=0))
-        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = "".join(chr(b if b in shown else 256 + hidden.index(b)) for b in range(256))
-        self.between = self.tokenizer.token_to_id(self.letters[0])
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.letters[0])
+        self.bytes = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+        self.bytes[list(model["vocab"].values())] = [len(t) for t in model["vocab"]]
         self.reset()
 
     def reset(self) -> None:
@@ -93,55 +105,70 @@ class UnitEncoder:
         self.ids = np.zeros(1 << 14, self.dtype)
         self.used = self.held = 0
 
-    def _keep(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of units that were not known, now kept."""
         n = len(self.known)
-        while n + len(units) > len(self.starts):
+        at = np.arange(n, n + len(names))
+        while n + len(names) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(units)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[n : n + len(units)] = sizes
+        self.starts[at], self.lengths[at] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
-        self.held += _PER_UNIT * len(units) + sum(map(len, units)) + len(ids) * self.dtype.itemsize
-        self.known.update(zip(units, range(n, n + len(units)), strict=True))
+        self.held += _PER_UNIT * len(names) + sum(map(len, names)) + len(ids) * self.dtype.itemsize
+        self.known.update(zip(names, at.tolist(), strict=True))
+        return at
 
     def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known units one after the other, and how many each has."""
         n = self.lengths[at]
         before = np.cumsum(n)
-        return self.ids[np.repeat(self.starts[at] - before + n, n) + np.arange(before[-1] if len(n) else 0)], n
-
-    def _learn(self, new: list[str]) -> None:
+        place = np.repeat(self.starts[at] - before + n, n)
+        place += np.arange(len(place))
+        return self.ids[place], n
+
+    def _places(self, names: pa.Array, learn: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+        """The numbers of distinct units, of which new ones are learned."""
+        at = np.fromiter(map(self.known.get, _strings(names), repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = learn(names.take(pa.array(new)))
+        return at
+
+    def _merge(self, pieces: pa.Array) -> np.ndarray:
+        """Pieces of known characters go through the bare model, many at once; each has the ids that make up its bytes."""
+        names, got = _strings(pieces), []
+        for lo in range(0, len(names), 1024):
+            line = codecs.charmap_decode("\0".join(names[lo : lo + 1024]).encode(), "strict", self.letters)[0]
+            got.append(np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype))
+        ids = np.concatenate(got)
+        end, want = np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(pieces).to_numpy().astype(np.int64))
+        last = np.minimum(np.searchsorted(end, want), len(end) - 1)
+        assert end[-1] == want[-1] and (end[last] == want).all(), "a piece did not end where its ids do"
+        return self._keep(names, ids, np.diff(last, prepend=-1))
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
         """Units of known characters are cut into pieces, which recur more often; others go through the tokenizer whole."""
-        other = set(filter(self.other.search, new)) if self.other.search("\x01".join(new)) else set()
-        whole = list(other)
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self._keep(whole, np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum())), sizes)
-        units = [u for u in new if u not in other] if other else new
-        cut = list(map(_PIECE.findall, units))
-        fresh = [p for p in set(chain.from_iterable(cut)) if p not in self.known]
-        for lo in range(0, len(fresh), 1024):
-            part = fresh[lo : lo + 1024]
-            raw = "\0".join(part).encode("utf-8", "surrogatepass")
-            line = codecs.charmap_decode(raw, "strict", self.letters)[0].replace(self.letters[0], f" {self.letters[0]} ")
-            ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids)
-            edge = np.flatnonzero(np.concatenate([ids == self.between, [True]]))
-            assert len(edge) == len(part), "a piece did not end where its ids do"
-            self._keep(part, ids[ids != self.between], np.diff(edge, prepend=-1) - 1)
-        several = [(u, x) for u, x in zip(units, cut, strict=True) if len(x) != 1]
-        pieces = [p for _, x in several for p in x]
-        ids, sizes = self._ids(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
-        edge = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for _, x in several])]).astype(np.int64)]
-        self._keep([u for u, _ in several], ids, np.diff(edge))
-
-    def _places(self, units: list[str]) -> np.ndarray:
-        """The numbers of units, of which new ones are learned."""
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        for lo in range(0, len(new), 1 << 14):
-            self._learn(new[lo : lo + (1 << 14)])
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        other = pc.match_substring_regex(new, self.other).to_numpy(zero_copy_only=False)
+        units = new.filter(pa.array(~other))
+        cut = pc.split_pattern(pc.replace_substring_regex(units, _PIECE, "\\0\0"), "\0")
+        flat = cut.flatten()
+        coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+        piece = self._places(coded.dictionary, self._merge)[coded.indices.to_numpy()]
+        edge = cut.offsets.to_numpy().astype(np.int64) - np.arange(len(cut) + 1)  # a cut unit ends in an empty piece
+        several = np.diff(edge) != 1
+        ids, n = self._ids(piece[np.repeat(several, np.diff(edge))])
+        plain = np.empty(len(units), np.int64)
+        plain[~several] = piece[edge[:-1][~several]]
+        plain[several] = self._keep(_strings(units.filter(pa.array(several))), ids, _by_text(n, np.cumsum(np.concatenate([[0], np.diff(edge)[several]]))))
+        out = np.empty(len(new), np.int64)
+        out[~other] = plain
+        if other.any():
+            whole = _strings(new.filter(pa.array(other)))
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+            out[other] = self._keep(whole, np.fromiter(chain.from_iterable(got), self.dtype), np.fromiter(map(len, got), np.int64))
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's followed by END; the number of each text's, with that."""
@@ -151,30 +178,31 @@ class UnitEncoder:
         # plain texts are cut at spaces; a word has the space before it, but for a text's first one and those at ends of lines
         lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n "), " ")
         coded = lists.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
-        line = np.array([w == "\n" or not w for w in words], bool)[code] if words else np.zeros(0, bool)
+        words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        line = pc.or_(pc.equal(words, "\n"), pc.equal(words, "")).to_numpy(zero_copy_only=False)[code]
         edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         bare = line | np.concatenate([[True], line[:-1]])[: len(line)]
         bare[edge[:-1][np.diff(edge) > 0]] = True
         code = code * 2 + bare
         used = np.flatnonzero(np.bincount(code, minlength=1))
-        place = np.zeros(2 * len(words) + 1, np.int64)
-        place[used] = self._places([words[i >> 1] if i & 1 else f" {words[i >> 1]}" for i in used.tolist()])
+        place, some = np.zeros(2 * len(words) + 1, np.int64), words.take(pa.array(used >> 1))
+        place[used] = self._places(pc.if_else(pa.array(used % 2 == 1), some, pc.binary_join_element_wise(" ", some, "")), self._learn)
         ids, n = self._ids(place[code])
         count = np.zeros(len(texts), np.int64)
-        count[~odd] = np.diff(np.concatenate([[0], np.cumsum(n)])[edge])
-        # in others the word rule cuts the units; a text that holds an added token's mark is one
-        units = [[t] if self.marks.search(t) else _UNIT.findall(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-        other, n = self._ids(self._places(list(chain.from_iterable(units))))
-        count[odd] = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(x) for x in units])]).astype(np.int64)])
-        inner = np.ones(int(count.sum()) + len(texts), bool)
-        inner[np.cumsum(count + 1) - 1] = False
-        out = np.full(len(inner), END, self.dtype)
+        count[~odd] = _by_text(n, edge)
         if odd.any():
+            # in others the word rule cuts the units; a text that holds an added token's mark is one
+            units = [[t] if self.marks.search(t) else _UNIT.findall(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+            coded = pa.array(list(chain.from_iterable(units)), pa.string()).dictionary_encode()
+            other, n = self._ids(self._places(coded.dictionary, self._learn)[coded.indices.to_numpy()])
+            count[odd] = _by_text(n, np.concatenate([[0], np.cumsum([len(x) for x in units])]).astype(np.int64))
             given = np.repeat(odd, count)
             both = np.empty(len(given), self.dtype)
             both[~given], both[given] = ids, other
             ids = both
+        inner = np.ones(int(count.sum()) + len(texts), bool)
+        inner[np.cumsum(count + 1) - 1] = False
+        out = np.full(len(inner), END, self.dtype)
         out[inner] = ids
         return out, count + 1
 
