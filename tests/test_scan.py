@@ -110,6 +110,26 @@ def test_pairs_of_odd_vectors_and_equal_numbers(spark, tile, monkeypatch):
     assert sorted(map(tuple, plain.collect()), key=repr) == sorted((tuple(r) for r in found.collect() if "b" not in (r["a"], r["b"])), key=repr)
 
 
+def test_shuffled_bytes_grow_with_the_clips_and_not_with_their_pairs(spark):
+    def shuffled(n):
+        store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+        total = lambda: bus.waitUntilEmpty(30_000) or store.executorSummary("driver").totalShuffleWrite()
+        df = spark.createDataFrame([("v", i, x.tolist()) for i, x in enumerate(np.random.default_rng(1).normal(size=(n, 32)))], "video string, clip int, vec array<double>")
+        before = total()
+        assert clips.similar_pairs(df, cosine, 8).count() == n * (n - 1) // 2
+        return total() - before
+
+    small, large = shuffled(250), shuffled(1000)
+    assert 0 < large < 6 * small
+
+
+def test_equal_scores_lie_side_by_side_in_each_pair_of_tiles(spark):
+    rows = [("v", i, [float(RNG.integers(1, 4)), 1.0]) for i in range(60)]
+    got = [r["score"] for r in clips.similar_pairs(spark.createDataFrame(rows, "video string, clip int, vec array<double>"), cosine, 64, places=6).collect()]
+    assert len(got) == 60 * 59 // 2 and len(set(got)) > 3
+    assert len(list(itertools.groupby(got))) == len(set(got))
+
+
 def test_no_exchange_lowers_the_sum_of_a_local_search():
     best = []
     for trial in range(60):
